@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import metrics
+from ..operators import cohorts, funnel, metrics
 from .context import Finance
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,61 @@ def _q_products(f: Finance) -> DataFrame:
 @query("expenses_by_category")
 def _q_categories(f: Finance) -> DataFrame:
     return metrics.expenses_by_category(f.fact_transactions, f.dim_expense_categories)
+
+
+# ----------------------------------------------------------------------------
+# cohorts
+# ----------------------------------------------------------------------------
+
+@query("client_cohorts")
+def _q_client_cohorts(f: Finance) -> DataFrame:
+    return cohorts.client_cohorts(f.fact_transactions)
+
+
+@query("client_monthly_revenue")
+def _q_client_monthly(f: Finance) -> DataFrame:
+    return cohorts.client_monthly_revenue_out(f.fact_transactions)
+
+
+@query("cohort_sizes")
+def _q_cohort_sizes(f: Finance) -> DataFrame:
+    return cohorts.cohort_sizes(f.fact_transactions)
+
+
+@query("revenue_cohorts")
+def _q_revenue_cohorts(f: Finance) -> DataFrame:
+    return cohorts.revenue_cohorts(f.fact_transactions)
+
+
+@query("cohort_summary")
+def _q_cohort_summary(f: Finance) -> DataFrame:
+    return cohorts.cohort_summary(cohorts.revenue_cohorts(f.fact_transactions))
+
+
+@query("cohort_pivot_revenue")
+def _q_pivot_revenue(f: Finance) -> DataFrame:
+    return cohorts.cohort_pivot(cohorts.revenue_cohorts(f.fact_transactions), "revenue_retention_pct")
+
+
+@query("cohort_pivot_clients")
+def _q_pivot_clients(f: Finance) -> DataFrame:
+    return cohorts.cohort_pivot(cohorts.revenue_cohorts(f.fact_transactions), "client_retention_pct")
+
+
+# ----------------------------------------------------------------------------
+# invoice funnel
+# ----------------------------------------------------------------------------
+
+@query("invoice_funnel")
+def _q_funnel(f: Finance) -> DataFrame:
+    return funnel.invoice_funnel(f.fact_invoices)
+
+
+@query("invoice_funnel_theta")
+def _q_funnel_theta(f: Finance) -> DataFrame:
+    return funnel.invoice_funnel_theta(f.fact_invoices)
+
+
+@query("collection_summary")
+def _q_collection(f: Finance) -> DataFrame:
+    return funnel.collection_summary(f.fact_invoices)

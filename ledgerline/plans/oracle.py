@@ -111,3 +111,67 @@ SELECT d.category_name AS category, {money('e')} AS expenses, {pct('e', 'sum(e)
 FROM (SELECT category_id, {dsum('expenses')} AS e FROM fact_transactions
       WHERE category_id IS NOT NULL GROUP BY 1) a
 LEFT JOIN dim_expense_categories d ON a.category_id = d.category_id""")
+
+# ---------------------------------------------------------------------------
+# cohorts
+# ---------------------------------------------------------------------------
+COHORT_CTES = f"""
+cm AS (
+  SELECT client_id, strftime(date, '%Y-%m') AS trans_month, sum(revenue) AS revenue FROM fact_transactions
+  WHERE revenue > 0 AND client_id IS NOT NULL AND client_id <> '' AND date IS NOT NULL GROUP BY 1, 2
+),
+cc AS (SELECT client_id, min(trans_month) AS cohort_month FROM cm GROUP BY 1),
+cells AS (
+  SELECT cc.cohort_month,
+    CAST((CAST(substr(cm.trans_month, 1, 4) AS INTEGER) - CAST(substr(cc.cohort_month, 1, 4) AS INTEGER)) * 12
+         + CAST(substr(cm.trans_month, 6, 2) AS INTEGER) - CAST(substr(cc.cohort_month, 6, 2) AS INTEGER) AS INTEGER)
+      AS elapsed_months,
+    sum(cm.revenue) AS cohort_revenue, count(DISTINCT cm.client_id) AS active_clients
+  FROM cm JOIN cc ON cm.client_id = cc.client_id GROUP BY 1, 2
+),
+sizes AS (SELECT cohort_month, count(DISTINCT client_id) AS total_clients FROM cc GROUP BY 1),
+base AS (SELECT cohort_month, cohort_revenue AS base_rev FROM cells WHERE elapsed_months = 0),
+rc AS (
+  SELECT c.cohort_month, CAST(s.total_clients AS BIGINT) AS total_clients, {money('b.base_rev')} AS base_rev,
+    c.elapsed_months, {money('c.cohort_revenue')} AS cohort_revenue, CAST(c.active_clients AS BIGINT) AS active_clients,
+    {pct('c.cohort_revenue', 'b.base_rev')} AS revenue_retention_pct,
+    {pct('c.active_clients', 's.total_clients')} AS client_retention_pct
+  FROM cells c LEFT JOIN sizes s ON c.cohort_month = s.cohort_month
+  LEFT JOIN base b ON c.cohort_month = b.cohort_month
+  WHERE c.elapsed_months >= 0 AND c.elapsed_months < 12
+)"""
+
+sql("client_cohorts", "SELECT client_id, cohort_month FROM cc", COHORT_CTES)
+sql("client_monthly_revenue", f"SELECT client_id, trans_month, {dbl('revenue')} AS revenue FROM cm", COHORT_CTES)
+sql("cohort_sizes", "SELECT cohort_month, CAST(total_clients AS BIGINT) AS total_clients FROM sizes", COHORT_CTES)
+sql("revenue_cohorts", "SELECT * FROM rc", COHORT_CTES)
+sql("cohort_summary", """
+SELECT round(avg(CASE WHEN elapsed_months = 1 THEN revenue_retention_pct END), 4) AS avg_m1_revenue_retention,
+  round(avg(CASE WHEN elapsed_months = 3 THEN client_retention_pct END), 4) AS avg_m3_client_retention,
+  count(DISTINCT cohort_month) AS active_cohorts
+FROM rc""", COHORT_CTES)
+for _key, _val in (("cohort_pivot_revenue", "revenue_retention_pct"), ("cohort_pivot_clients", "client_retention_pct")):
+    _cols = ", ".join(f"max(CASE WHEN elapsed_months = {i} THEN {_val} END) AS m{i}" for i in range(12))
+    sql(_key, f"SELECT cohort_month, {_cols} FROM rc GROUP BY cohort_month", COHORT_CTES)
+
+# ---------------------------------------------------------------------------
+# invoice funnel
+# ---------------------------------------------------------------------------
+FUNNEL_CTES = """
+stages AS (SELECT * FROM (VALUES (1, '1. Created'), (2, '2. Delivered'), (3, '3. Approved'),
+  (4, '4. Pending Payment'), (5, '5. Settled')) t(stage_num, stage)),
+funnel AS (
+  SELECT s.stage_num, s.stage, count(i.invoice_id) AS cnt, coalesce(sum(i.amount), 0) AS amount,
+    (SELECT count(*) FROM fact_invoices) AS all_invoices
+  FROM stages s LEFT JOIN fact_invoices i ON i.status_num >= s.stage_num
+  GROUP BY s.stage_num, s.stage
+)"""
+_FUNNEL_SELECT = f"""
+SELECT stage, CAST(cnt AS BIGINT) AS invoice_count, {money('amount')} AS total_amount,
+  {pct('cnt', 'all_invoices')} AS pct_conversion FROM funnel"""
+sql("invoice_funnel", _FUNNEL_SELECT, FUNNEL_CTES)
+sql("invoice_funnel_theta", _FUNNEL_SELECT, FUNNEL_CTES)
+sql("collection_summary", f"""
+SELECT {money('c.amount')} AS total_created, {money('s.amount')} AS total_settled,
+  {pct('s.cnt', 's.all_invoices')} AS collection_rate_pct, {money('c.amount - s.amount')} AS uncollected
+FROM funnel c, funnel s WHERE c.stage_num = 1 AND s.stage_num = 5""", FUNNEL_CTES)
