@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import cohorts, funnel, metrics
+from pyspark.sql import functions as F
+
+from ..functions import headers
+from ..operators import cohorts, funnel, ingest, metrics, quality
+from ..sources import fixtures
 from .context import Finance
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +162,94 @@ def _q_funnel_theta(f: Finance) -> DataFrame:
 @query("collection_summary")
 def _q_collection(f: Finance) -> DataFrame:
     return funnel.collection_summary(f.fact_invoices)
+
+
+# ----------------------------------------------------------------------------
+# ingestion: mapping, cleaning, audit, verdict, merge, log
+# ----------------------------------------------------------------------------
+
+@query("ingest_mapped")
+def _q_ingest_mapped(f: Finance) -> DataFrame:
+    return f.upload_mapped
+
+
+@query("ingest_clean")
+def _q_ingest_clean(f: Finance) -> DataFrame:
+    return f.upload_clean
+
+
+@query("ingest_mapping_report")
+def _q_mapping_report(f: Finance) -> DataFrame:
+    return headers.mapping_report(f.raw_upload.drop("event_id", "copy"), ["batch_id"], keep=["filename"])
+
+
+@query("ingest_preview")
+def _q_preview(f: Finance) -> DataFrame:
+    return ingest.preview(f.upload_numbered)
+
+
+@query("dq_issues")
+def _q_dq_issues(f: Finance) -> DataFrame:
+    return f.upload_issues
+
+
+@query("dq_rule_counts")
+def _q_dq_rule_counts(f: Finance) -> DataFrame:
+    return quality.rule_counts(f.upload_issues)
+
+
+@query("dq_failed_rows")
+def _q_dq_failed(f: Finance) -> DataFrame:
+    return quality.failed_rows(f.upload_clean, fixtures.UPLOAD_AS_OF)
+
+
+@query("dq_duplicates")
+def _q_dq_duplicates(f: Finance) -> DataFrame:
+    return quality.duplicate_rows(f.upload_clean)
+
+
+@query("dq_issue_summary")
+def _q_dq_summary(f: Finance) -> DataFrame:
+    return quality.issue_summary(f.upload_issues)
+
+
+@query("ingest_verdict")
+def _q_verdict(f: Finance) -> DataFrame:
+    return f.upload_verdicts
+
+
+@query("merge_dim_departments")
+def _q_merge_departments(f: Finance) -> DataFrame:
+    return f.extended_dims["dim_departments"]
+
+
+@query("merge_dim_regions")
+def _q_merge_regions(f: Finance) -> DataFrame:
+    return f.extended_dims["dim_regions"]
+
+
+@query("merge_dim_products")
+def _q_merge_products(f: Finance) -> DataFrame:
+    return f.extended_dims["dim_products"]
+
+
+@query("merge_dim_categories")
+def _q_merge_categories(f: Finance) -> DataFrame:
+    return f.extended_dims["dim_expense_categories"]
+
+
+@query("merge_transactions")
+def _q_merge_transactions(f: Finance) -> DataFrame:
+    return ingest.new_transactions(f.fact_transactions, f.upload_clean, f.merged_batches, f.extended_dims)
+
+
+@query("ingestion_log_entry")
+def _q_log_entry(f: Finance) -> DataFrame:
+    seed = ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT)
+    log_max = seed.agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("log_max"))
+    return ingest.log_entries(f.upload_verdicts, f.upload_issues, log_max, fixtures.UPLOAD_SUBMITTED_AT)
+
+
+@query("integrity_audit")
+def _q_integrity(f: Finance) -> DataFrame:
+    return ingest.integrity_audit(f.fact_transactions, f.dim_departments, f.dim_regions)

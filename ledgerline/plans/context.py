@@ -85,3 +85,47 @@ class Finance:
     @cached_property
     def dim_calendar(self) -> DataFrame:
         return star_ops.dim_calendar(self.fact_transactions)
+
+    # dirty upload stream -------------------------------------------------------
+    @cached_property
+    def upload_numbered(self) -> DataFrame:
+        from ..operators import ingest
+
+        return ingest.number_rows(self.raw_upload, ["event_id", "copy"])
+
+    @cached_property
+    def upload_mapped(self) -> DataFrame:
+        from ..operators import ingest
+
+        return ingest.mapped(self.upload_numbered)
+
+    @cached_property
+    def upload_clean(self) -> DataFrame:
+        from ..operators import ingest
+
+        return ingest.clean(self.upload_mapped)
+
+    @cached_property
+    def upload_issues(self) -> DataFrame:
+        from ..operators import quality
+
+        return quality.issues(self.upload_clean, fixtures.UPLOAD_AS_OF)
+
+    @cached_property
+    def upload_verdicts(self) -> DataFrame:
+        from ..operators import ingest
+
+        return ingest.verdicts(self.upload_clean, fixtures.UPLOAD_AS_OF)
+
+    @cached_property
+    def merged_batches(self) -> DataFrame:
+        from ..operators import ingest
+
+        return ingest.merged_batches(self.upload_verdicts)
+
+    @cached_property
+    def extended_dims(self) -> dict[str, DataFrame]:
+        from ..operators import ingest
+
+        dims = {k: v for k, v in self.star.tables().items() if k.startswith("dim_")}
+        return ingest.extended_dimensions(dims, self.upload_clean, self.merged_batches)

@@ -175,3 +175,211 @@ sql("collection_summary", f"""
 SELECT {money('c.amount')} AS total_created, {money('s.amount')} AS total_settled,
   {pct('s.cnt', 's.all_invoices')} AS collection_rate_pct, {money('c.amount - s.amount')} AS uncollected
 FROM funnel c, funnel s WHERE c.stage_num = 1 AND s.stage_num = 5""", FUNNEL_CTES)
+
+# ---------------------------------------------------------------------------
+# ingestion: mapping, cleaning, audit, verdict, merge, log
+# ---------------------------------------------------------------------------
+from ..functions.cleaning import DATE_PATTERNS, FALLBACK_PATTERNS, FLOAT_TEXT  # noqa: E402
+from ..functions.constants import DQ_RULES, NULL_TOKENS  # noqa: E402
+from ..sources.fixtures import UPLOAD_AS_OF, UPLOAD_SUBMITTED_AT  # noqa: E402
+
+_TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in NULL_TOKENS)
+
+
+def nt(x: str) -> str:
+    return f"(CASE WHEN {x} IN ({_TOKENS}) THEN NULL ELSE {x} END)"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def clean_numeric(x: str) -> str:
+    s1 = f"replace(replace({strip(x)}, '$', ''), ',', '')"
+    s2 = f"(CASE WHEN starts_with({s1}, '(') AND ends_with({s1}, ')') THEN '-' || substr({s1}, 2, length({s1}) - 2) ELSE {s1} END)"
+    v = f"(CASE WHEN regexp_full_match({s2}, '{FLOAT_TEXT}') THEN TRY_CAST(replace({strip(s2)}, '_', '') AS DOUBLE) END)"
+    return f"(CASE WHEN {v} IS NOT NULL AND isfinite({v}) THEN {v} ELSE 0.0 END)"
+
+
+def parse_date(x: str) -> str:
+    s = strip(x)
+    tries = ", ".join(f"CAST(try_strptime({s}, '{fmt}') AS DATE)" for _, fmt in DATE_PATTERNS + FALLBACK_PATTERNS)
+    return f"coalesce({tries})"
+
+
+def blank(x: str) -> str:
+    return f"({x} IS NULL OR {strip(x)} = '')"
+
+
+_MSG = {r: m for r, _, m in DQ_RULES}
+_SEV = {r: s for r, s, _ in DQ_RULES}
+_ORD = " ".join(f"WHEN '{r}' THEN {i}" for i, (r, _, _) in enumerate(DQ_RULES, start=1))
+_DIMS_SQL = ", ".join(f"c.{c}" for c in ("date", "revenue", "expenses", "department", "region", "product_line",
+                                         "expense_category", "client_id"))
+_BLANK_LIST = ("concat_ws(', ', " + ", ".join(
+    f"CASE WHEN {blank(c)} THEN '{c}' END" for c in ("department", "region", "product_line", "expense_category"))
+    + ")")
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _msg_sql(rule: str, value: str | None = None) -> str:
+    text = _MSG[rule]
+    if value is None:
+        return _lit(text)
+    head, tail = text.split("{}")
+    return f"{_lit(head)} || {value} || {_lit(tail)}"
+
+
+def _issue(rule: str, where: str, amount: str = "NULL", date: str = "NULL", cols: str = "NULL",
+           value: str | None = None) -> str:
+    return (f"SELECT c.batch_id, c.row_num, '{rule}' AS rule, '{_SEV[rule]}' AS severity, "
+            f"CAST({amount} AS DOUBLE) AS amount, CAST({date} AS DATE) AS date, CAST({cols} AS VARCHAR) AS columns, "
+            f"{_msg_sql(rule, value)} AS msg FROM upload_clean c WHERE {where}")
+
+
+_AS_OF = f"DATE '{UPLOAD_AS_OF}'"
+_FAILED = (f"(c.date IS NULL OR c.date > {_AS_OF} OR c.revenue < 0 OR c.expenses < 0 "
+           f"OR (coalesce(c.revenue, 0) = 0 AND coalesce(c.expenses, 0) = 0) OR {_BLANK_LIST.replace('(department', '(c.department')} <> '')")
+
+INGEST_CTES = f"""
+upload_numbered AS (
+  SELECT batch_id, filename, transaction_date, sales, spending, division, area, segment, type, customer,
+    CAST(row_number() OVER (PARTITION BY batch_id ORDER BY event_id, copy) AS BIGINT) AS row_num
+  FROM raw_upload
+),
+upload_mapped AS (
+  SELECT batch_id, filename, row_num, {nt('transaction_date')} AS date, {nt('sales')} AS revenue,
+    {nt('spending')} AS expenses, {nt('division')} AS department, {nt('area')} AS region,
+    {nt('segment')} AS product_line, {nt('type')} AS expense_category, {nt('customer')} AS client_id
+  FROM upload_numbered
+),
+upload_clean AS (
+  SELECT batch_id, filename, row_num, {parse_date('date')} AS date, {clean_numeric('revenue')} AS revenue,
+    {clean_numeric('expenses')} AS expenses, {strip('department')} AS department, {strip('region')} AS region,
+    {strip('product_line')} AS product_line, {strip('expense_category')} AS expense_category,
+    {strip('client_id')} AS client_id
+  FROM upload_mapped
+),
+upload_dups AS (
+  SELECT batch_id, row_num, first_row_num FROM (
+    SELECT c.batch_id, c.row_num, min(c.row_num) OVER (PARTITION BY c.batch_id, {_DIMS_SQL}) AS first_row_num
+    FROM upload_clean c) WHERE row_num <> first_row_num
+),
+upload_issues AS (
+  {_issue('missing_date', 'c.date IS NULL')}
+  UNION ALL {_issue('future_dates', f'c.date > {_AS_OF}', date='c.date', value="strftime(c.date, '%Y-%m-%d')")}
+  UNION ALL {_issue('negative_revenue', 'c.revenue < 0', amount='c.revenue', value="printf('%.2f', c.revenue)")}
+  UNION ALL {_issue('negative_expenses', 'c.expenses < 0', amount='c.expenses', value="printf('%.2f', c.expenses)")}
+  UNION ALL {_issue('null_amounts', 'coalesce(c.revenue, 0) = 0 AND coalesce(c.expenses, 0) = 0')}
+  UNION ALL {_issue('blank_fields', _BLANK_LIST.replace('(department', '(c.department') + " <> ''",
+                    cols=_BLANK_LIST, value=_BLANK_LIST)}
+  UNION ALL SELECT d.batch_id, d.row_num, 'overlapping_rows', 'Info', CAST(NULL AS DOUBLE), CAST(NULL AS DATE),
+    CAST(NULL AS VARCHAR), {_msg_sql('overlapping_rows')} FROM upload_dups d
+  UNION ALL {_issue('extreme_revenue', 'c.revenue > 50000', amount='c.revenue', value="printf('%.2f', c.revenue)")}
+  UNION ALL {_issue('extreme_expenses', 'c.expenses > 25000', amount='c.expenses', value="printf('%.2f', c.expenses)")}
+),
+upload_failed AS (SELECT c.batch_id, c.row_num, {_FAILED} AS failed FROM upload_clean c),
+upload_verdict AS (
+  SELECT batch_id, row_count, failed_rows, health_score,
+    CASE WHEN health_score >= 0.8 THEN 'Accepted' WHEN health_score >= 0.5 THEN 'Needs Review' ELSE 'Rejected' END
+      AS status, filename
+  FROM (SELECT f.batch_id, count(*) AS row_count, count_if(f.failed) AS failed_rows,
+          (1.0 - CAST(count_if(f.failed) AS DOUBLE) / CAST(count(*) AS DOUBLE)) + 0.0 AS health_score,
+          min(c.filename) AS filename
+        FROM upload_failed f JOIN upload_clean c ON f.batch_id = c.batch_id AND f.row_num = c.row_num
+        GROUP BY f.batch_id)
+),
+verdicts AS (
+  SELECT batch_id, row_count, failed_rows, health_score, status,
+    CAST(CASE WHEN status IN ('Accepted', 'Needs Review') THEN row_count ELSE 0 END AS BIGINT) AS accepted_rows,
+    CAST(CASE WHEN status IN ('Accepted', 'Needs Review') THEN 0 ELSE row_count END AS BIGINT) AS rejected_rows,
+    status IN ('Accepted', 'Needs Review') AS success, filename
+  FROM upload_verdict
+),
+merged AS (
+  SELECT batch_id, row_count,
+    coalesce(sum(row_count) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rows_before
+  FROM verdicts WHERE success
+),
+issue_ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id, rule ORDER BY row_num) AS rn FROM upload_issues),
+issue_rules AS (
+  SELECT batch_id, rule, severity, count(*) AS issue_count, arg_min(msg, row_num) AS first_msg,
+    string_agg('Row ' || CAST(row_num AS VARCHAR), ', ' ORDER BY row_num) FILTER (WHERE rn <= 10) AS row_list,
+    string_agg(CAST(row_num AS VARCHAR), ', ' ORDER BY row_num) FILTER (WHERE rn <= 10) AS row_ids,
+    CASE rule {_ORD} END AS ord
+  FROM issue_ranked GROUP BY batch_id, rule, severity
+),
+issues_json AS (
+  SELECT batch_id, '{{' || string_agg('"' || rule || '": {{"count": ' || CAST(issue_count AS VARCHAR)
+    || ', "rows": [' || row_ids || ']}}', ', ' ORDER BY ord) || '}}' AS issues_json
+  FROM issue_rules GROUP BY batch_id
+)"""
+
+
+def _ext_dim(dim: str, id_col: str, name_col: str, raw_col: str) -> str:
+    return f"""
+SELECT {id_col}, {name_col} FROM {dim}
+UNION ALL
+SELECT CAST((SELECT count(*) FROM {dim}) + row_number() OVER (ORDER BY fb, fr) AS INTEGER), name FROM (
+  SELECT name, batch_id AS fb, row_num AS fr FROM (
+    SELECT nullif({strip('c.' + raw_col)}, '') AS name, c.batch_id, c.row_num,
+      row_number() OVER (PARTITION BY nullif({strip('c.' + raw_col)}, '') ORDER BY c.batch_id, c.row_num) AS k
+    FROM upload_clean c WHERE c.batch_id IN (SELECT batch_id FROM merged))
+  WHERE k = 1 AND name IS NOT NULL AND name NOT IN (SELECT {name_col} FROM {dim}))"""
+
+
+_EXT = {
+    "ext_departments": ("dim_departments", "dept_id", "dept_name", "department"),
+    "ext_regions": ("dim_regions", "region_id", "region_name", "region"),
+    "ext_products": ("dim_products", "product_id", "product_name", "product_line"),
+    "ext_categories": ("dim_expense_categories", "category_id", "category_name", "expense_category"),
+}
+EXT_CTES = INGEST_CTES + ",\n" + ",\n".join(f"{k} AS ({_ext_dim(*v)})" for k, v in _EXT.items())
+
+sql("ingest_mapped", "SELECT * FROM upload_mapped", INGEST_CTES)
+sql("ingest_clean", "SELECT * FROM upload_clean", INGEST_CTES)
+_MAP = [("date", "transaction_date"), ("revenue", "sales"), ("expenses", "spending"), ("department", "division"),
+        ("region", "area"), ("product_line", "segment"), ("expense_category", "type"), ("client_id", "customer")]
+sql("ingest_mapping_report", " UNION ALL ".join(
+    f"SELECT batch_id, '{canon}' AS canonical, '{src}' AS source_column, count({nt(src)}) AS non_null_count, "
+    f"count({nt(src)}) > 0 AS mapped FROM raw_upload GROUP BY batch_id" for canon, src in _MAP), INGEST_CTES)
+sql("ingest_preview", "SELECT * FROM upload_numbered WHERE row_num <= 5", INGEST_CTES)
+sql("dq_issues", "SELECT * FROM upload_issues", INGEST_CTES)
+sql("dq_rule_counts", "SELECT batch_id, rule, severity, count(*) AS issue_count FROM upload_issues "
+    "GROUP BY batch_id, rule, severity", INGEST_CTES)
+sql("dq_failed_rows", "SELECT * FROM upload_failed", INGEST_CTES)
+sql("dq_duplicates", "SELECT * FROM upload_dups", INGEST_CTES)
+sql("dq_issue_summary", """
+SELECT batch_id, rule, severity, issue_count, first_msg,
+  row_list || CASE WHEN issue_count > 10 THEN ' and ' || CAST(issue_count - 10 AS VARCHAR) || ' more rows...'
+                   ELSE '' END AS affected
+FROM issue_rules""", INGEST_CTES)
+sql("ingest_verdict", "SELECT * FROM verdicts", INGEST_CTES)
+sql("merge_dim_departments", "SELECT * FROM ext_departments", EXT_CTES)
+sql("merge_dim_regions", "SELECT * FROM ext_regions", EXT_CTES)
+sql("merge_dim_products", "SELECT * FROM ext_products", EXT_CTES)
+sql("merge_dim_categories", "SELECT * FROM ext_categories", EXT_CTES)
+sql("merge_transactions", f"""
+SELECT CAST(m0.max_id + mb.rows_before + c.row_num AS BIGINT) AS transaction_id, c.date,
+  CAST(c.revenue AS DECIMAL(18,4)) AS revenue, CAST(c.expenses AS DECIMAL(18,4)) AS expenses,
+  d.dept_id, g.region_id, p.product_id, k.category_id, coalesce(c.client_id, '') AS client_id, c.batch_id
+FROM upload_clean c JOIN merged mb ON c.batch_id = mb.batch_id
+CROSS JOIN (SELECT coalesce(max(transaction_id), 0) AS max_id FROM fact_transactions) m0
+LEFT JOIN ext_departments d ON nullif({strip('c.department')}, '') = d.dept_name
+LEFT JOIN ext_regions g ON nullif({strip('c.region')}, '') = g.region_name
+LEFT JOIN ext_products p ON nullif({strip('c.product_line')}, '') = p.product_name
+LEFT JOIN ext_categories k ON nullif({strip('c.expense_category')}, '') = k.category_name""", EXT_CTES)
+sql("ingestion_log_entry", f"""
+SELECT CAST(1 + row_number() OVER (ORDER BY v.batch_id) AS BIGINT) AS batch_id,
+  CAST(TIMESTAMP '{UPLOAD_SUBMITTED_AT}' AS TIMESTAMP) AS submitted_at, v.filename, CAST(v.row_count AS BIGINT) AS row_count,
+  v.status, round(v.health_score * 100.0, 2) + 0.0 AS health_score, coalesce(j.issues_json, '{{}}') AS issues_json,
+  v.accepted_rows, v.rejected_rows
+FROM verdicts v LEFT JOIN issues_json j ON v.batch_id = j.batch_id""", INGEST_CTES)
+sql("integrity_audit", """
+SELECT (SELECT count(*) FROM dim_departments) AS total_departments, (SELECT count(*) FROM dim_regions) AS total_regions,
+  count(*) AS total_transactions, count_if(revenue < 0) AS negative_revenue_rows,
+  count_if(expenses < 0) AS negative_expense_rows
+FROM fact_transactions""")
