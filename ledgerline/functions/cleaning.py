@@ -80,4 +80,7 @@ def bi_number(c: Column) -> Column:
 
 
 def bi_date(c: Column) -> Column:
-    return F.to_date(F.try_to_timestamp(strip(c.cast("string")), F.lit("yyyy-M-d")))
+    """Type text as a date the way a US-culture BI load does: ISO, then M/d/yyyy."""
+    s = strip(c.cast("string"))
+    return F.coalesce(F.to_date(F.try_to_timestamp(s, F.lit("yyyy-M-d"))),
+                      F.to_date(F.try_to_timestamp(s, F.lit("M/d/yyyy"))))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import headers
-from ..operators import cohorts, funnel, ingest, metrics, quality
+from ..operators import bi, cohorts, funnel, ingest, metrics, quality, reports
 from ..sources import fixtures
 from .context import Finance
 
@@ -253,3 +253,97 @@ def _q_log_entry(f: Finance) -> DataFrame:
 @query("integrity_audit")
 def _q_integrity(f: Finance) -> DataFrame:
     return ingest.integrity_audit(f.fact_transactions, f.dim_departments, f.dim_regions)
+
+
+# ----------------------------------------------------------------------------
+# report tables
+# ----------------------------------------------------------------------------
+
+@query("report_monthly_margin")
+def _q_report_monthly(f: Finance) -> DataFrame:
+    return reports.report_monthly_margin(f.fact_transactions)
+
+
+@query("report_budget_vs_actual")
+def _q_report_bva(f: Finance) -> DataFrame:
+    return reports.report_budget_vs_actual(f.fact_transactions, f.fact_budgets, f.dim_departments)
+
+
+@query("report_segment_region")
+def _q_report_region(f: Finance) -> DataFrame:
+    return reports.report_segment_region(f.fact_transactions, f.dim_regions)
+
+
+@query("report_segment_product")
+def _q_report_product(f: Finance) -> DataFrame:
+    return reports.report_segment_product(f.fact_transactions, f.dim_products)
+
+
+@query("report_kpi_cards")
+def _q_report_cards(f: Finance) -> DataFrame:
+    return reports.report_kpi_cards(reports.report_monthly_margin(f.fact_transactions))
+
+
+@query("report_overview")
+def _q_report_overview(f: Finance) -> DataFrame:
+    return reports.report_overview(
+        reports.report_monthly_margin(f.fact_transactions),
+        reports.report_budget_vs_actual(f.fact_transactions, f.fact_budgets, f.dim_departments))
+
+
+# ----------------------------------------------------------------------------
+# BI measures
+# ----------------------------------------------------------------------------
+
+def _dims(f: Finance) -> dict[str, DataFrame]:
+    return {k: v for k, v in f.star.tables().items() if k.startswith("dim_")}
+
+
+@query("bi_core_measures")
+def _q_bi_core(f: Finance) -> DataFrame:
+    return bi.measures(f.fact_transactions, _dims(f))
+
+
+@query("bi_core_measures_by_region")
+def _q_bi_core_region(f: Finance) -> DataFrame:
+    return bi.measures(f.fact_transactions, _dims(f), by=["region"])
+
+
+@query("bi_core_measures_by_month")
+def _q_bi_core_month(f: Finance) -> DataFrame:
+    return bi.measures(f.fact_transactions, _dims(f), by=["month"])
+
+
+@query("bi_variance_measures")
+def _q_bi_variance(f: Finance) -> DataFrame:
+    return bi.variance_measures(f.fact_transactions, f.fact_budgets, _dims(f), by=["department"])
+
+
+@query("bi_mom_growth")
+def _q_bi_mom(f: Finance) -> DataFrame:
+    return bi.mom_growth(f.dim_calendar, f.fact_transactions)
+
+
+@query("bi_ytd_revenue")
+def _q_bi_ytd(f: Finance) -> DataFrame:
+    return bi.ytd_revenue(f.dim_calendar, f.fact_transactions)
+
+
+@query("bi_net_revenue_retention")
+def _q_bi_nrr(f: Finance) -> DataFrame:
+    return bi.net_revenue_retention(f.fact_transactions)
+
+
+@query("bi_settlement_conversion")
+def _q_bi_settlement(f: Finance) -> DataFrame:
+    return funnel.settlement_conversion(f.fact_invoices)
+
+
+@query("bi_star_flat")
+def _q_bi_star_flat(f: Finance) -> DataFrame:
+    return bi.star_flat(f.fact_transactions, _dims(f))
+
+
+@query("bi_clean_transactions")
+def _q_bi_clean(f: Finance) -> DataFrame:
+    return bi.clean_transactions(f.raw_upload, date_col="transaction_date")

@@ -383,3 +383,158 @@ SELECT (SELECT count(*) FROM dim_departments) AS total_departments, (SELECT coun
   count(*) AS total_transactions, count_if(revenue < 0) AS negative_revenue_rows,
   count_if(expenses < 0) AS negative_expense_rows
 FROM fact_transactions""")
+
+# ---------------------------------------------------------------------------
+# report tables
+# ---------------------------------------------------------------------------
+MONTHLY_CTE = f"""
+mt AS (SELECT strftime(date, '%Y-%m') AS month, {dsum('revenue')} AS revenue, {dsum('expenses')} AS expenses
+       FROM fact_transactions WHERE date IS NOT NULL GROUP BY 1),
+rmm AS (
+  SELECT month, {dbl('revenue')} AS revenue, {dbl('expenses')} AS expenses, {dbl('revenue - expenses')} AS net_profit,
+    {frac('revenue - expenses', 'revenue', False)} AS profit_margin,
+    {dbl('sum(revenue) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS running_total_revenue
+  FROM mt
+  UNION ALL
+  SELECT 'Total', {dbl('sum(revenue)')}, {dbl('sum(expenses)')}, {dbl('sum(revenue) - sum(expenses)')},
+    {frac('sum(revenue) - sum(expenses)', 'sum(revenue)', False)}, NULL FROM mt
+),
+bva_rows AS (
+  SELECT d.dept_name, d.dept_id,
+    coalesce((SELECT sum(revenue) FROM fact_transactions t WHERE t.dept_id = d.dept_id), 0) AS ar,
+    coalesce((SELECT sum(budgeted_revenue) FROM fact_budgets b WHERE b.dept_id = d.dept_id), 0) AS br,
+    coalesce((SELECT sum(expenses) FROM fact_transactions t WHERE t.dept_id = d.dept_id), 0) AS ae,
+    coalesce((SELECT sum(budgeted_expenses) FROM fact_budgets b WHERE b.dept_id = d.dept_id), 0) AS be
+  FROM (SELECT dept_name, min(dept_id) AS dept_id FROM dim_departments
+        WHERE dept_name IS NOT NULL AND dept_name <> '' GROUP BY 1) d
+),
+bva AS (
+  SELECT dept_name AS department, {dbl('ar')} AS actual_revenue, {dbl('br')} AS budget_revenue,
+    {dbl('ar - br')} AS revenue_variance, {dbl('ae')} AS actual_expenses, {dbl('be')} AS budget_expenses,
+    {dbl('be - ae')} AS expense_variance FROM bva_rows
+  UNION ALL
+  SELECT 'Total', {dbl('sum(ar)')}, {dbl('sum(br)')}, {dbl('sum(ar) - sum(br)')}, {dbl('sum(ae)')}, {dbl('sum(be)')},
+    {dbl('sum(be) - sum(ae)')} FROM bva_rows
+)"""
+
+
+def _segment_sql(dim: str, id_col: str, name_col: str, label: str) -> str:
+    return f"""
+WITH_ROWS AS (
+  SELECT d.{name_col} AS k,
+    coalesce((SELECT sum(revenue) FROM fact_transactions t WHERE t.{id_col} = d.{id_col}), 0) AS rev,
+    coalesce((SELECT sum(expenses) FROM fact_transactions t WHERE t.{id_col} = d.{id_col}), 0) AS exp
+  FROM (SELECT {name_col}, min({id_col}) AS {id_col} FROM {dim}
+        WHERE {name_col} IS NOT NULL AND {name_col} <> '' GROUP BY 1) d)
+SELECT k AS {label}, {dbl('rev')} AS revenue, {dbl('exp')} AS expenses, {dbl('rev - exp')} AS net_profit,
+  {frac('rev - exp', 'rev', False)} AS margin FROM WITH_ROWS
+UNION ALL
+SELECT 'Total', {dbl('sum(rev)')}, {dbl('sum(exp)')}, {dbl('sum(rev) - sum(exp)')},
+  {frac('sum(rev) - sum(exp)', 'sum(rev)', False)} FROM WITH_ROWS"""
+
+
+sql("report_monthly_margin", "SELECT * FROM rmm", MONTHLY_CTE)
+sql("report_budget_vs_actual", "SELECT * FROM bva", MONTHLY_CTE)
+for _key, _args in (("report_segment_region", ("dim_regions", "region_id", "region_name", "region")),
+                    ("report_segment_product", ("dim_products", "product_id", "product_name", "product_line"))):
+    _body = _segment_sql(*_args)
+    _ctes, _sel = _body.split(")\nSELECT", 1)
+    sql(_key, "SELECT" + _sel, _ctes.replace("WITH_ROWS AS (", "seg_rows AS (", 1).strip() + ")")
+    _SQL[_key] = _SQL[_key].replace("FROM WITH_ROWS", "FROM seg_rows")
+sql("report_kpi_cards", """
+SELECT revenue AS total_revenue, net_profit AS total_net_profit, profit_margin AS net_profit_margin
+FROM rmm WHERE month = 'Total'""", MONTHLY_CTE)
+sql("report_overview", """
+SELECT metric, round(current_value, 4) AS current_value, round(target_value, 4) AS target_value,
+  round(variance, 4) AS variance FROM (
+  SELECT 1 AS o, 'Total Sales Revenue' AS metric, m.revenue AS current_value, b.budget_revenue AS target_value,
+    m.revenue - b.budget_revenue AS variance FROM rmm m, bva b WHERE m.month = 'Total' AND b.department = 'Total'
+  UNION ALL
+  SELECT 2, 'Operational Expenses', m.expenses, b.budget_expenses, b.budget_expenses - m.expenses
+    FROM rmm m, bva b WHERE m.month = 'Total' AND b.department = 'Total'
+  UNION ALL
+  SELECT 3, 'Net Operating Profit', m.net_profit, b.budget_revenue - b.budget_expenses,
+    m.net_profit - (b.budget_revenue - b.budget_expenses)
+    FROM rmm m, bva b WHERE m.month = 'Total' AND b.department = 'Total')""", MONTHLY_CTE)
+
+# ---------------------------------------------------------------------------
+# BI measures
+# ---------------------------------------------------------------------------
+
+
+def _core(by_sql: str = "", join: str = "", key: str = "") -> str:
+    sel = f"{key} AS {by_sql}, " if by_sql else ""
+    grp = f" GROUP BY {key}" if by_sql else ""
+    return f"""
+SELECT {sel}{dbl('rev')} AS total_revenue, {dbl('exp')} AS total_expenses, {dbl('rev - exp')} AS net_profit,
+  {frac('rev - exp', 'rev', False)} AS profit_margin, {frac('rev - exp', 'exp', False)} AS roi
+FROM (SELECT {sel}{dsum('t.revenue')} AS rev, {dsum('t.expenses')} AS exp FROM fact_transactions t {join}{grp})"""
+
+
+sql("bi_core_measures", _core())
+_q = _core("region", "LEFT JOIN dim_regions g ON t.region_id = g.region_id", "g.region_name")
+sql("bi_core_measures_by_region", _q.replace("SELECT g.region_name AS region, " + dbl("rev"),
+                                             "SELECT region, " + dbl("rev"), 1))
+_q = _core("month", "", "strftime(t.date, '%Y-%m')")
+sql("bi_core_measures_by_month", _q.replace("SELECT strftime(t.date, '%Y-%m') AS month, " + dbl("rev"),
+                                            "SELECT month, " + dbl("rev"), 1))
+sql("bi_variance_measures", f"""
+SELECT coalesce(a.department, b.department) AS department, {dbl('coalesce(a.rev, 0)')} AS total_revenue,
+  {dbl('coalesce(b.brev, 0)')} AS budget_revenue, {dbl('coalesce(a.rev, 0) - coalesce(b.brev, 0)')} AS revenue_variance,
+  {frac('coalesce(a.rev, 0) - coalesce(b.brev, 0)', 'coalesce(b.brev, 0)', False)} AS revenue_variance_pct,
+  {dbl('coalesce(b.bexp, 0)')} AS budget_expenses, {dbl('coalesce(a.exp, 0)')} AS total_expenses,
+  {dbl('coalesce(b.bexp, 0) - coalesce(a.exp, 0)')} AS expense_variance
+FROM (SELECT d.dept_name AS department, {dsum('t.revenue')} AS rev, {dsum('t.expenses')} AS exp
+      FROM fact_transactions t LEFT JOIN dim_departments d ON t.dept_id = d.dept_id GROUP BY 1) a
+FULL OUTER JOIN (SELECT d.dept_name AS department, {dsum('f.budgeted_revenue')} AS brev,
+      {dsum('f.budgeted_expenses')} AS bexp
+      FROM fact_budgets f LEFT JOIN dim_departments d ON f.dept_id = d.dept_id GROUP BY 1) b
+  ON a.department IS NOT DISTINCT FROM b.department""")
+MONTH_SERIES = """
+ms AS (
+  SELECT c.month, c.year, r.revenue FROM (SELECT DISTINCT month, year FROM dim_calendar) c
+  LEFT JOIN (SELECT strftime(date, '%Y-%m') AS month, sum(revenue) AS revenue FROM fact_transactions
+             WHERE date IS NOT NULL GROUP BY 1) r ON c.month = r.month
+)"""
+sql("bi_mom_growth", f"""
+SELECT month, {dbl('revenue')} AS revenue, {dbl('prev')} AS prev_month_revenue,
+  {frac('coalesce(revenue, 0) - coalesce(prev, 0)', 'coalesce(prev, 0)', False)} AS mom_growth
+FROM (SELECT month, revenue, lag(revenue) OVER (ORDER BY month) AS prev FROM ms)""", MONTH_SERIES)
+sql("bi_ytd_revenue", f"""
+SELECT year, month, {dbl('revenue')} AS revenue,
+  {dbl('sum(revenue) OVER (PARTITION BY year ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')}
+    AS ytd_revenue
+FROM ms""", MONTH_SERIES)
+sql("bi_net_revenue_retention", f"""
+SELECT cohort_month, month,
+  CAST((CAST(substr(month, 1, 4) AS INTEGER) - CAST(substr(cohort_month, 1, 4) AS INTEGER)) * 12
+       + CAST(substr(month, 6, 2) AS INTEGER) - CAST(substr(cohort_month, 6, 2) AS INTEGER) AS INTEGER) AS elapsed_months,
+  {dbl('rev')} AS cohort_revenue, {dbl('base')} AS base_revenue, {frac('rev', 'base', False)} AS net_revenue_retention
+FROM (SELECT cohort_month, month, rev,
+        max(CASE WHEN month = cohort_month THEN rev END) OVER (PARTITION BY cohort_month) AS base
+      FROM (SELECT cc.cohort_month, cm.trans_month AS month, sum(cm.revenue) AS rev
+            FROM cm JOIN cc ON cm.client_id = cc.client_id GROUP BY 1, 2))""", COHORT_CTES)
+sql("bi_settlement_conversion", f"""
+SELECT stage_num AS stage_order, stage, CAST(cnt AS BIGINT) AS invoices_at_stage,
+  CAST(all_invoices AS BIGINT) AS total_invoices, {frac('cnt', 'all_invoices', False)} AS conversion_rate
+FROM funnel""", FUNNEL_CTES)
+sql("bi_star_flat", """
+SELECT t.transaction_id, t.date, CAST(year(t.date) AS INTEGER) AS year, CAST(quarter(t.date) AS INTEGER) AS quarter,
+  strftime(t.date, '%Y-%m') AS month, t.revenue, t.expenses, d.dept_name AS department, g.region_name AS region,
+  p.product_name AS product_line, k.category_name AS expense_category, t.client_id
+FROM fact_transactions t
+LEFT JOIN dim_departments d ON t.dept_id = d.dept_id LEFT JOIN dim_regions g ON t.region_id = g.region_id
+LEFT JOIN dim_products p ON t.product_id = p.product_id
+LEFT JOIN dim_expense_categories k ON t.category_id = k.category_id""")
+
+
+def _bi_num(x: str) -> str:
+    return f"TRY_CAST(regexp_replace({x}, '[^0-9.\\-]', '', 'g') AS DOUBLE)"
+
+
+sql("bi_clean_transactions", f"""
+SELECT batch_id, filename, event_id, copy, division, area, segment, type, customer,
+  coalesce(CAST(try_strptime({strip('transaction_date')}, '%Y-%m-%d') AS DATE),
+           CAST(try_strptime({strip('transaction_date')}, '%m/%d/%Y') AS DATE)) AS Date,
+  {_bi_num('sales')} AS Revenue, {_bi_num('spending')} AS Expenses
+FROM raw_upload""")
