@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import clean_numeric, clean_text, parse_date, strip
 from ..functions.headers import CANONICAL, map_columns
 from ..functions.numeric import MONEY
+from ..session import materialize
 from . import quality
 from .positions import with_row_positions
 from .star import DIMENSIONS
@@ -24,9 +25,10 @@ from .star import DIMENSIONS
 META = ["batch_id", "filename", "row_num"]
 
 
-def number_rows(raw: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+def number_rows(raw: DataFrame, order_cols: Sequence[str], sample_source: DataFrame | None = None) -> DataFrame:
     """1-based row number inside each batch by ``order_cols`` (file order)."""
-    return with_row_positions(raw, list(order_cols), ["batch_id"], out="row_num").drop(*order_cols)
+    return with_row_positions(raw, list(order_cols), ["batch_id"], out="row_num",
+                              sample_source=sample_source).drop(*order_cols)
 
 
 def mapped(numbered_raw: DataFrame) -> DataFrame:
@@ -76,8 +78,8 @@ def extend_dimension(existing: DataFrame, clean_df: DataFrame, merged: DataFrame
              .select(_name(raw_col).alias("name"), F.struct("batch_id", "row_num").alias("pos"))
              .where(F.col("name").isNotNull())
              .groupBy("name").agg(F.min("pos").alias("first")))
-    new = names.join(existing, names["name"] == existing[name_col], "left_anti").select(
-        "name", F.col("first.batch_id").alias("fb"), F.col("first.row_num").alias("fr"))
+    new = materialize(names.join(existing, names["name"] == existing[name_col], "left_anti").select(
+        "name", F.col("first.batch_id").alias("fb"), F.col("first.row_num").alias("fr")))
     numbered = with_row_positions(new, ["fb", "fr"], out="pos")
     base = existing.agg(F.count(F.lit(1)).alias("n_existing"))
     added = numbered.crossJoin(base).select(  # x 1 row

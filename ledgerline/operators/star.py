@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import INVOICE_STATUSES
 from ..functions.numeric import MONEY
+from ..session import materialize
 from ..sources.fixtures import TRANSACTION_ORDER
 from .positions import with_row_positions
 
@@ -28,15 +29,22 @@ DIMENSIONS = (
 
 
 def build_dimension(names: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Sorted distinct non-null names numbered 1..n."""
-    distinct = names.where(F.col(name_col).isNotNull()).distinct()
-    return with_row_positions(distinct, [name_col], out=id_col).select(
+    """Sorted distinct non-null names numbered 1..n.
+
+    The member set is materialized (reliable checkpoint) before numbering, and
+    the numbered dimension again, so the fact lookups read a finished table
+    instead of recomputing the raw joins for every branch.
+    """
+    distinct = materialize(names.where(F.col(name_col).isNotNull()).distinct())
+    numbered = with_row_positions(distinct, [name_col], out=id_col).select(
         F.col(id_col).cast("int").alias(id_col), name_col)
+    return materialize(numbered)
 
 
 def dimensions(raw_tx: DataFrame, raw_budgets: DataFrame) -> dict[str, DataFrame]:
     """Departments and regions come from transactions and budgets (set union);
-    products and categories from transactions only."""
+    products and categories from transactions only.  Each member set is one
+    aggregate over the fact: partial distinct per task, so a few rows shuffle."""
     out = {}
     for table, id_col, name_col, raw_col in DIMENSIONS:
         names = raw_tx.select(F.col(raw_col).alias(name_col))

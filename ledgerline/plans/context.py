@@ -91,7 +91,12 @@ class Finance:
     def upload_numbered(self) -> DataFrame:
         from ..operators import ingest
 
-        return ingest.number_rows(self.raw_upload, ["event_id", "copy"])
+        from pyspark.sql import functions as F
+
+        # range bounds drawn from the events scan (same keys, no joins)
+        keys = fixtures.load(self.spark, self.sf_dir, "events").select(
+            F.dayofmonth("ts").alias("batch_id"), "event_id", F.lit(1).alias("copy"))
+        return ingest.number_rows(self.raw_upload, ["event_id", "copy"], sample_source=keys)
 
     @cached_property
     def upload_mapped(self) -> DataFrame:
@@ -101,9 +106,12 @@ class Finance:
 
     @cached_property
     def upload_clean(self) -> DataFrame:
+        """The cleaned batches, materialized once (reliable checkpoint): the
+        audit, the verdict, the merge and the log all read them."""
         from ..operators import ingest
+        from ..session import materialize
 
-        return ingest.clean(self.upload_mapped)
+        return materialize(ingest.clean(self.upload_mapped))
 
     @cached_property
     def upload_issues(self) -> DataFrame:

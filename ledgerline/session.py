@@ -53,3 +53,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base}/ledgerline-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used for small intermediate tables (dimension members, new names) that
+    several branches of a plan read, so the upstream is computed once and
+    every branch sees identical rows even after an executor is lost.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
