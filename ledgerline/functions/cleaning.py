@@ -30,24 +30,27 @@ def clean_numeric(c: Column) -> Column:
     return F.when(finite, v).otherwise(F.lit(0.0))
 
 
-# (Spark pattern, host-language format) in the order they are tried.
+# (Spark pattern, host-language format, shape guard) in the order they are
+# tried.  The guard is a cheap regex that only lets plausible text reach the
+# parser (a failed parse costs an exception inside the JVM) and pins the digit
+# counts the host-language formats accept (4-digit %Y, 1-2 digit fields).
 DATE_PATTERNS = [
-    ("yyyy-M-d", "%Y-%m-%d"),
-    ("yyyy-M-d H:m:s", "%Y-%m-%d %H:%M:%S"),
-    ("M/d/yyyy", "%m/%d/%Y"),
-    ("M/d/yyyy H:m", "%m/%d/%Y %H:%M"),
-    ("M/d/yy", "%m/%d/%y"),
-    ("d-M-yyyy", "%d-%m-%Y"),
-    ("d/M/yyyy", "%d/%m/%Y"),
+    ("yyyy-M-d", "%Y-%m-%d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy-M-d H:m:s", "%Y-%m-%d %H:%M:%S", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("M/d/yyyy", "%m/%d/%Y", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yyyy H:m", "%m/%d/%Y %H:%M", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$"),
+    ("M/d/yy", "%m/%d/%y", r"^\d{1,2}/\d{1,2}/\d{2}$"),
+    ("d-M-yyyy", "%d-%m-%Y", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d/M/yyyy", "%d/%m/%Y", r"^\d{1,2}/\d{1,2}/\d{4}$"),
 ]
 # Free-form fallback: a declared list of further spellings.
 FALLBACK_PATTERNS = [
-    ("yyyy-M-d'T'H:m:s", "%Y-%m-%dT%H:%M:%S"),
-    ("yyyyMMdd", "%Y%m%d"),
-    ("yyyy/M/d", "%Y/%m/%d"),
-    ("MMM d, yyyy", "%b %d, %Y"),
-    ("MMMM d, yyyy", "%B %d, %Y"),
-    ("d MMM yyyy", "%d %b %Y"),
+    ("yyyy-M-d'T'H:m:s", "%Y-%m-%dT%H:%M:%S", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyyMMdd", "%Y%m%d", r"^\d{8}$"),
+    ("yyyy/M/d", "%Y/%m/%d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("MMM d, yyyy", "%b %d, %Y", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("MMMM d, yyyy", "%B %d, %Y", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"),
+    ("d MMM yyyy", "%d %b %Y", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
 ]
 
 
@@ -56,8 +59,8 @@ def parse_date(c: Column) -> Column:
     ambiguous slashes), then the fallback spellings, else NULL."""
     s = strip(c)
     tries = []
-    for pattern, _ in DATE_PATTERNS + FALLBACK_PATTERNS:
-        d = F.to_date(F.try_to_timestamp(s, F.lit(pattern)))
+    for pattern, _, guard in DATE_PATTERNS + FALLBACK_PATTERNS:
+        d = F.when(s.rlike(guard), F.to_date(F.try_to_timestamp(s, F.lit(pattern))))
         if pattern == "M/d/yy":  # two-digit years 69..99 are 1969..1999
             d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
         tries.append(d)
@@ -82,5 +85,5 @@ def bi_number(c: Column) -> Column:
 def bi_date(c: Column) -> Column:
     """Type text as a date the way a US-culture BI load does: ISO, then M/d/yyyy."""
     s = strip(c.cast("string"))
-    return F.coalesce(F.to_date(F.try_to_timestamp(s, F.lit("yyyy-M-d"))),
-                      F.to_date(F.try_to_timestamp(s, F.lit("M/d/yyyy"))))
+    iso, us = DATE_PATTERNS[0], DATE_PATTERNS[2]
+    return F.coalesce(*[F.when(s.rlike(g), F.to_date(F.try_to_timestamp(s, F.lit(p)))) for p, _, g in (iso, us)])

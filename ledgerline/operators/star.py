@@ -29,13 +29,8 @@ DIMENSIONS = (
 
 
 def build_dimension(names: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Sorted distinct non-null names numbered 1..n.
-
-    The member set is materialized (reliable checkpoint) before numbering, and
-    the numbered dimension again, so the fact lookups read a finished table
-    instead of recomputing the raw joins for every branch.
-    """
-    distinct = materialize(names.where(F.col(name_col).isNotNull()).distinct())
+    """Sorted distinct non-null names numbered 1..n (materialized)."""
+    distinct = names.where(F.col(name_col).isNotNull()).distinct()
     numbered = with_row_positions(distinct, [name_col], out=id_col).select(
         F.col(id_col).cast("int").alias(id_col), name_col)
     return materialize(numbered)
@@ -43,15 +38,25 @@ def build_dimension(names: DataFrame, id_col: str, name_col: str) -> DataFrame:
 
 def dimensions(raw_tx: DataFrame, raw_budgets: DataFrame) -> dict[str, DataFrame]:
     """Departments and regions come from transactions and budgets (set union);
-    products and categories from transactions only.  Each member set is one
-    aggregate over the fact: partial distinct per task, so a few rows shuffle."""
-    out = {}
-    for table, id_col, name_col, raw_col in DIMENSIONS:
-        names = raw_tx.select(F.col(raw_col).alias(name_col))
-        if raw_col in ("department", "region"):
-            names = names.union(raw_budgets.select(F.col(raw_col).alias(name_col)))
-        out[table] = build_dimension(names, id_col, name_col)
-    return out
+    products and categories from transactions only.
+
+    All four member sets come from one pass (each row emits its (dimension,
+    name) pairs; a partial distinct per task shuffles only a few rows) and
+    are numbered together, grouped by dimension; the numbered members are
+    materialized (reliable checkpoint) so the fact lookups read a finished
+    table instead of recomputing the raw joins.
+    """
+    def pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+        return df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("dim"), F.col(c).alias("name")) for c in cols])).alias("p")).select("p.*")
+
+    tx_cols = [raw for _, _, _, raw in DIMENSIONS]
+    members = materialize(pairs(raw_tx, tx_cols).union(pairs(raw_budgets, ["department", "region"]))
+                          .where(F.col("name").isNotNull()).distinct(), "members")
+    numbered = materialize(with_row_positions(members, ["name"], ["dim"], out="id"), "dimensions")
+    return {table: numbered.where(F.col("dim") == raw_col).select(
+                F.col("id").cast("int").alias(id_col), F.col("name").alias(name_col))
+            for table, id_col, name_col, raw_col in DIMENSIONS}
 
 
 def lookup_ids(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:

@@ -203,7 +203,7 @@ def clean_numeric(x: str) -> str:
 
 def parse_date(x: str) -> str:
     s = strip(x)
-    tries = ", ".join(f"CAST(try_strptime({s}, '{fmt}') AS DATE)" for _, fmt in DATE_PATTERNS + FALLBACK_PATTERNS)
+    tries = ", ".join(f"CAST(try_strptime({s}, '{fmt}') AS DATE)" for _, fmt, _ in DATE_PATTERNS + FALLBACK_PATTERNS)
     return f"coalesce({tries})"
 
 

@@ -55,12 +55,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ledgerline-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing a Parquet table in the shared checkpoint folder
+    and reading it back.
 
-    Used for small intermediate tables (dimension members, new names) that
-    several branches of a plan read, so the upstream is computed once and
-    every branch sees identical rows even after an executor is lost.
+    Used for intermediate tables several branches of a plan read (dimension
+    members, cleaned batches, new names): the upstream runs once, and every
+    branch -- including tasks re-run after an executor is lost -- reads the
+    same rows.  (``checkpoint()`` on an unpersisted plan computes it twice;
+    a written table computes it once and keeps column pruning on read.)
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
