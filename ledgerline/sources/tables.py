@@ -1,18 +1,25 @@
 """Stored tables: the star schema and the ingestion log as Parquet folders.
 
-Initial load (S6) overwrites the eight tables; an accepted batch (S7/S8)
-appends dimensions first, the fact next and the log row last, so a reader
-that only trusts logged batch ids never sees a half-written batch.
+Layout under one root folder: one folder per table.  The transaction fact
+is stored in segments (``segment=0`` from the initial load, ``segment=<log
+batch id>`` per merged upload); a segment is written with overwrite, so a
+replayed batch replaces its own rows instead of duplicating them.  Writes
+go dimensions -> fact segment -> log row; readers only see fact segments
+whose batch is logged, so a half-written batch stays invisible.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.star import Star
 
 STAR_TABLES = ("fact_transactions", "fact_budgets", "fact_invoices", "dim_departments", "dim_regions",
                "dim_products", "dim_expense_categories")
+SEGMENTED = "fact_transactions"
 
 
 def table_path(root: str, name: str) -> str:
@@ -21,19 +28,34 @@ def table_path(root: str, name: str) -> str:
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Load one stored table; a missing table raises AnalysisException."""
-    return spark.read.parquet(table_path(root, name))
+    df = spark.read.parquet(table_path(root, name))
+    if name != SEGMENTED:
+        return df
+    try:
+        logged = spark.read.parquet(table_path(root, "ingestion_log")).select(
+            F.col("batch_id").alias("segment"))
+        committed = df.join(logged, "segment", "left_semi").unionByName(df.where(F.col("segment") == 0))
+    except Exception:  # noqa: BLE001 - no log yet: only the initial load is visible
+        committed = df.where(F.col("segment") == 0)
+    return committed.drop("segment")
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(table_path(root, name))
 
 
+def write_segment(df: DataFrame, root: str, segment: int, name: str = SEGMENTED) -> None:
+    """Write (or re-write) one segment of a segmented table."""
+    df.write.mode("overwrite").parquet(f"{table_path(root, name)}/segment={int(segment)}")
+
+
 def write_star(star: Star, root: str, log: DataFrame | None = None) -> None:
     """Initial load: dimensions, then facts, then the seed log row."""
     tables = star.tables()
     for name in ("dim_departments", "dim_regions", "dim_products", "dim_expense_categories",
-                 "fact_budgets", "fact_invoices", "fact_transactions"):
+                 "fact_budgets", "fact_invoices"):
         write_table(tables[name], root, name)
+    write_segment(tables[SEGMENTED], root, 0)
     if log is not None:
         write_table(log, root, "ingestion_log")
 
@@ -42,14 +64,9 @@ def read_star(spark: SparkSession, root: str) -> Star:
     return Star(**{name: read_table(spark, root, name) for name in STAR_TABLES})
 
 
-def append_batch(root: str, dims: dict[str, DataFrame], new_facts: DataFrame, log_rows: DataFrame) -> None:
-    """Apply merged batches: extended dimensions (rewritten; they are small),
-    appended fact rows, then the log rows (the commit marker)."""
-    for name, df in dims.items():
-        # dimensions are rewritten through a fresh folder then swapped in
-        staged = table_path(root, f"_staged_{name}")
-        df.write.mode("overwrite").parquet(staged)
-        spark = df.sparkSession
-        spark.read.parquet(staged).write.mode("overwrite").parquet(table_path(root, name))
-    new_facts.write.mode("append").parquet(table_path(root, "fact_transactions"))
-    log_rows.write.mode("append").parquet(table_path(root, "ingestion_log"))
+def replace_small_table(df: DataFrame, root: str, name: str) -> None:
+    """Rewrite a small table that ``df`` may itself read: stage it, then swap."""
+    spark = df.sparkSession
+    staged = table_path(root, f"_staged/{name}-{uuid.uuid4().hex[:8]}")
+    df.write.mode("overwrite").parquet(staged)
+    spark.read.parquet(staged).write.mode("overwrite").parquet(table_path(root, name))
