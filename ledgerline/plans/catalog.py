@@ -347,3 +347,34 @@ def _q_bi_star_flat(f: Finance) -> DataFrame:
 @query("bi_clean_transactions")
 def _q_bi_clean(f: Finance) -> DataFrame:
     return bi.clean_transactions(f.raw_upload, date_col="transaction_date")
+
+
+# ----------------------------------------------------------------------------
+# streaming ingestion
+# ----------------------------------------------------------------------------
+
+@query("stream_ingest")
+def _q_stream_ingest(f: Finance) -> DataFrame:
+    """The upload batches written as CSV files (one folder per upload), drained
+    by the file stream into a copy of the stored star; returns the fact rows
+    the stream appended (same rows as ``merge_transactions``)."""
+    from ..session import scratch_path
+    from ..sources import tables
+    from ..streaming.ingest import start_file_ingest
+
+    spark = f.spark
+    base = scratch_path(spark, "stream")
+    root, inbox, ckpt = f"{base}/store", f"{base}/inbox", f"{base}/checkpoint"
+    tables.write_star(f.star, root)
+    tables.write_table(ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT), root, "ingestion_log")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["filename", "event_id", "copy"]
+    (f.raw_upload.repartitionByRange(n, *order).sortWithinPartitions(*order)
+     .drop("batch_id", "event_id", "copy")
+     .write.partitionBy("filename").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(inbox))
+    q = start_file_ingest(spark, f"{inbox}/*/*.csv", root, ckpt, list(fixtures.UPLOAD_HEADERS),
+                          as_of=fixtures.UPLOAD_AS_OF, submitted_at=fixtures.UPLOAD_SUBMITTED_AT,
+                          file_name_from_dir=True)
+    q.awaitTermination()
+    return spark.read.parquet(tables.table_path(root, "fact_transactions")).where(F.col("segment") > 0).drop("segment")

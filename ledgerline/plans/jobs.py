@@ -19,10 +19,6 @@ from ..session import materialize
 from ..sources import tables
 from ..sources.uploads import UploadRejected, read_upload
 
-LOG_SCHEMA = ("batch_id bigint, submitted_at timestamp_ntz, filename string, row_count bigint, status string, "
-              "health_score double, issues_json string, accepted_rows bigint, rejected_rows bigint")
-
-
 def init_load(spark: SparkSession, root: str, raw_tx: DataFrame, raw_budgets: DataFrame, raw_invoices: DataFrame,
               submitted_at: str | None = None, filename: str = "transactions.csv",
               sample_source: DataFrame | None = None) -> star_ops.Star:
@@ -43,44 +39,54 @@ def audit_batch(clean_df: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     return quality.issues(clean_df, as_of), ingest.verdicts(clean_df, as_of)
 
 
-def apply_batch(spark: SparkSession, root: str, clean_df: DataFrame, verdict_df: DataFrame, issues_df: DataFrame,
-                submitted_at: str) -> dict:
-    """Merge (if the verdict allows) and log one audited batch.  Returns the
-    result the caller shows: status, score, counts and the issue summary."""
-    v = verdict_df.first()  # one row: the verdict drives the branch
-    summary = {r["rule"]: {"severity": r["severity"], "count": r["issue_count"], "first_msg": r["first_msg"],
-                           "affected": r["affected"]}
-               for r in quality.issue_summary(issues_df).collect()}  # <= 9 rows
-    log = tables.read_table(spark, root, "ingestion_log")
-    log_id = (log.agg(F.max("batch_id")).first()[0] or 0) + 1
-    status, merged_ok, db_error = v["status"], False, None
-    if status in ("Accepted", "Needs Review"):
+def apply_batches(spark: SparkSession, root: str, clean_df: DataFrame, as_of, submitted_at: str) -> list[dict]:
+    """Audit, merge and log a set of cleaned batches (``batch_id`` 1..k, in
+    arrival order).  Writes: extended dimensions, one fact segment, then one
+    log row per batch (the commit marker).  Returns one result per batch."""
+    issues_df, verdict_df = audit_batch(clean_df, as_of)
+    verdict_df = materialize(verdict_df, "verdicts")  # one row per batch
+    log_max = (tables.read_table(spark, root, "ingestion_log").agg(F.max("batch_id")).first()[0] or 0)
+    merged = ingest.merged_batches(verdict_df)
+    db_error = None
+    if merged.limit(1).count() > 0:
         try:
-            merged = ingest.merged_batches(verdict_df)
             ext = {t: materialize(d, "dim") for t, d in
                    ingest.extended_dimensions(_dims(spark, root), clean_df, merged).items()}
-            facts = ingest.new_transactions(tables.read_table(spark, root, "fact_transactions"),
-                                            clean_df, merged, ext).drop("batch_id")
-            facts = materialize(facts, "facts")
+            facts = materialize(ingest.new_transactions(tables.read_table(spark, root, "fact_transactions"),
+                                                        clean_df, merged, ext).drop("batch_id"), "facts")
             for t, d in ext.items():
                 tables.replace_small_table(d, root, t)
-            tables.write_segment(facts, root, log_id)
-            merged_ok = True
-        except Exception as exc:  # noqa: BLE001 - a failed write rejects the batch
-            status, db_error = "Rejected", f"Database write failure: {exc}"
-    n = int(v["row_count"])
-    if db_error is None:
-        ij = quality.issues_json(issues_df).first()
-        issues_json = ij["issues_json"] if ij else "{}"
-    else:
-        issues_json = json.dumps({"db_error": [db_error]})
-    accepted = n if merged_ok else 0
-    row = (log_id, _dt.datetime.strptime(submitted_at, "%Y-%m-%d %H:%M:%S"), v["filename"], n, status,
-           round(float(v["health_score"]) * 100, 2), issues_json, accepted, n - accepted)
-    tables.write_table(spark.createDataFrame([row], LOG_SCHEMA), root, "ingestion_log", mode="append")
-    return {"success": merged_ok or status == "Needs Review", "status": status,
-            "health_score": float(v["health_score"]), "row_count": n, "accepted_rows": accepted,
-            "rejected_rows": n - accepted, "issues": summary, "batch_id": log_id}
+            tables.write_segment(facts, root, log_max + 1)
+        except Exception as exc:  # noqa: BLE001 - a failed write rejects the merged batches
+            db_error = f"Database write failure: {exc}"
+    log_max_df = spark.createDataFrame([(log_max,)], "log_max bigint")
+    log_rows = ingest.log_entries(verdict_df, issues_df, log_max_df, submitted_at)
+    if db_error is not None:
+        failed = F.col("accepted_rows") > 0
+        log_rows = log_rows.select(
+            "batch_id", "submitted_at", "filename", "row_count",
+            F.when(failed, F.lit("Rejected")).otherwise(F.col("status")).alias("status"), "health_score",
+            F.when(failed, F.lit(json.dumps({"db_error": [db_error]}))).otherwise(F.col("issues_json"))
+            .alias("issues_json"),
+            F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("accepted_rows")).alias("accepted_rows"),
+            F.when(failed, F.col("row_count")).otherwise(F.col("rejected_rows")).alias("rejected_rows"))
+    log_rows = materialize(log_rows, "log")
+    tables.write_table(log_rows, root, "ingestion_log", mode="append")
+    summaries: dict[int, dict] = {}
+    for r in quality.issue_summary(issues_df).collect():  # <= 9 rows per batch
+        summaries.setdefault(r["batch_id"], {})[r["rule"]] = {
+            "severity": r["severity"], "count": r["issue_count"], "first_msg": r["first_msg"],
+            "affected": r["affected"]}
+    out = []
+    logged = {r["filename"]: r for r in log_rows.collect()}  # one row per batch
+    for v in verdict_df.orderBy("batch_id").collect():
+        lr = logged[v["filename"]]
+        out.append({"success": lr["accepted_rows"] > 0 or lr["status"] == "Needs Review",
+                    "status": lr["status"], "health_score": float(v["health_score"]),
+                    "row_count": int(v["row_count"]), "accepted_rows": int(lr["accepted_rows"]),
+                    "rejected_rows": int(lr["rejected_rows"]), "issues": summaries.get(v["batch_id"], {}),
+                    "batch_id": int(lr["batch_id"]), "filename": v["filename"]})
+    return out
 
 
 def ingest_file(spark: SparkSession, path: str, root: str, as_of: _dt.date | str | None = None,
@@ -95,5 +101,4 @@ def ingest_file(spark: SparkSession, path: str, root: str, as_of: _dt.date | str
     except UploadRejected as exc:
         return {"success": False, "msg": str(exc), "status": "Rejected"}
     clean_df = materialize(ingest.clean(ingest.mapped(raw)), "batch")
-    issues_df, verdict_df = audit_batch(clean_df, as_of)
-    return apply_batch(spark, root, clean_df, verdict_df, issues_df, submitted_at)
+    return apply_batches(spark, root, clean_df, as_of, submitted_at)[0]

@@ -538,3 +538,9 @@ SELECT batch_id, filename, event_id, copy, division, area, segment, type, custom
            CAST(try_strptime({strip('transaction_date')}, '%m/%d/%Y') AS DATE)) AS Date,
   {_bi_num('sales')} AS Revenue, {_bi_num('spending')} AS Expenses
 FROM raw_upload""")
+
+# ---------------------------------------------------------------------------
+# streaming ingestion: the stream appends exactly the batch merge's rows
+# ---------------------------------------------------------------------------
+_SQL["stream_ingest"] = _SQL["merge_transactions"].replace(
+    "coalesce(c.client_id, '') AS client_id, c.batch_id\n", "coalesce(c.client_id, '') AS client_id\n")

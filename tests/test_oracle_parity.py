@@ -24,7 +24,7 @@ def test_query_matches_oracle(report, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries()) - {"stream_ingest"}
+    assert set(entry.oracle_sql()) == set(entry.queries())
 
 
 def test_entry_smoke(spark):
