@@ -70,26 +70,34 @@ def _name(c: str) -> F.Column:
     return F.nullif(strip(F.col(c)), F.lit(""))
 
 
-def extend_dimension(existing: DataFrame, clean_df: DataFrame, merged: DataFrame,
-                     id_col: str, name_col: str, raw_col: str) -> DataFrame:
-    """Existing members plus the new names of the merged batches, numbered
-    ``len(existing) + 1 ...`` in order of first appearance (batch, row)."""
-    names = (clean_df.join(merged.select("batch_id"), "batch_id", "left_semi")
-             .select(_name(raw_col).alias("name"), F.struct("batch_id", "row_num").alias("pos"))
-             .where(F.col("name").isNotNull())
-             .groupBy("name").agg(F.min("pos").alias("first")))
-    new = materialize(names.join(existing, names["name"] == existing[name_col], "left_anti").select(
-        "name", F.col("first.batch_id").alias("fb"), F.col("first.row_num").alias("fr")))
-    numbered = with_row_positions(new, ["fb", "fr"], out="pos")
-    base = existing.agg(F.count(F.lit(1)).alias("n_existing"))
-    added = numbered.crossJoin(base).select(  # x 1 row
-        (F.col("n_existing") + F.col("pos")).cast("int").alias(id_col), F.col("name").alias(name_col))
-    return existing.select(id_col, name_col).unionByName(added)
-
-
 def extended_dimensions(dims: dict[str, DataFrame], clean_df: DataFrame, merged: DataFrame) -> dict[str, DataFrame]:
-    return {table: extend_dimension(dims[table], clean_df, merged, id_col, name_col, raw_col)
-            for table, id_col, name_col, raw_col in DIMENSIONS}
+    """Existing members plus the new names of the merged batches, numbered
+    ``len(existing) + 1 ...`` per dimension in order of first appearance
+    (batch, row).  All four dimensions in one pass: each merged row emits its
+    (dimension, name) pairs, one aggregate keeps the first position per name,
+    one anti join drops known members, one numbering groups by dimension."""
+    rows = clean_df.join(merged.select("batch_id"), "batch_id", "left_semi")
+    pairs = rows.select(F.explode(F.array(*[
+        F.struct(F.lit(raw).alias("dim"), _name(raw).alias("name"),
+                 F.struct("batch_id", "row_num").alias("pos"))
+        for _, _, _, raw in DIMENSIONS])).alias("p")).select("p.*").where(F.col("name").isNotNull())
+    first = pairs.groupBy("dim", "name").agg(F.min("pos").alias("first"))
+    existing = None
+    for table, id_col, name_col, raw in DIMENSIONS:
+        part = dims[table].select(F.lit(raw).alias("dim"), F.col(name_col).alias("name"))
+        existing = part if existing is None else existing.unionByName(part)
+    new = materialize(first.join(existing, ["dim", "name"], "left_anti").select(
+        "dim", "name", F.col("first.batch_id").alias("fb"), F.col("first.row_num").alias("fr")), "new_names")
+    numbered = with_row_positions(new, ["fb", "fr"], ["dim"], out="pos")
+    sizes = existing.groupBy("dim").agg(F.count(F.lit(1)).alias("n_existing"))  # <= 4 rows
+    added = numbered.join(sizes, "dim", "left").select(
+        "dim", (F.coalesce(F.col("n_existing"), F.lit(0)) + F.col("pos")).cast("int").alias("id"), "name")
+    added = materialize(added, "added_names")
+    out = {}
+    for table, id_col, name_col, raw in DIMENSIONS:
+        new_rows = added.where(F.col("dim") == raw).select(F.col("id").alias(id_col), F.col("name").alias(name_col))
+        out[table] = dims[table].select(id_col, name_col).unionByName(new_rows)
+    return out
 
 
 def new_transactions(fact_tx: DataFrame, clean_df: DataFrame, merged: DataFrame,

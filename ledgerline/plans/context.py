@@ -50,10 +50,14 @@ class Finance:
 
     # star schema -------------------------------------------------------------
     def build_star(self) -> star_ops.Star:
-        """The star schema as lazy plans over the raw inputs."""
-        lineitem = fixtures.load(self.spark, self.sf_dir, "lineitem")
-        return star_ops.build_star(self.raw_transactions, self.raw_budgets, self.raw_invoices,
-                                   sample_source=lineitem)
+        """The star schema over the raw inputs.  The raw transaction join is
+        written once (the dimension members and both branches of the fact
+        numbering read it) instead of being recomputed three times."""
+        from ..session import materialize
+
+        raw_tx = materialize(self.raw_transactions, "raw_transactions")
+        raw_budgets = materialize(self.raw_budgets, "raw_budgets")
+        return star_ops.build_star(raw_tx, raw_budgets, self.raw_invoices)
 
     @cached_property
     def star_root(self) -> str:
