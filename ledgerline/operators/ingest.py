@@ -163,3 +163,16 @@ def integrity_audit(fact_tx: DataFrame, dim_departments: DataFrame, dim_regions:
     d = dim_departments.agg(F.count(F.lit(1)).alias("total_departments"))
     r = dim_regions.agg(F.count(F.lit(1)).alias("total_regions"))
     return d.crossJoin(r).crossJoin(f)  # 1 x 1 x 1 rows
+
+
+# Business names of the log listing (projection only).
+LOG_LISTING_NAMES = {
+    "batch_id": "Batch ID", "submitted_at": "Timestamp", "filename": "Filename", "row_count": "Total Rows",
+    "status": "Verdict Status", "health_score": "Health Score", "issues_json": "Issues",
+    "accepted_rows": "Accepted Rows", "rejected_rows": "Rejected Rows",
+}
+
+
+def log_listing(log: DataFrame) -> DataFrame:
+    """The ingestion log under its business column names."""
+    return log.select(*[F.col(c).alias(n) for c, n in LOG_LISTING_NAMES.items()])

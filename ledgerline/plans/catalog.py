@@ -250,6 +250,15 @@ def _q_log_entry(f: Finance) -> DataFrame:
     return ingest.log_entries(f.upload_verdicts, f.upload_issues, log_max, fixtures.UPLOAD_SUBMITTED_AT)
 
 
+@query("ingestion_log_listing")
+def _q_log_listing(f: Finance) -> DataFrame:
+    """Seed row of the initial load plus one row per audited upload, renamed."""
+    seed = ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT)
+    log_max = seed.agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("log_max"))
+    entries = ingest.log_entries(f.upload_verdicts, f.upload_issues, log_max, fixtures.UPLOAD_SUBMITTED_AT)
+    return ingest.log_listing(seed.unionByName(entries))
+
+
 @query("integrity_audit")
 def _q_integrity(f: Finance) -> DataFrame:
     return ingest.integrity_audit(f.fact_transactions, f.dim_departments, f.dim_regions)

@@ -378,6 +378,19 @@ SELECT CAST(1 + row_number() OVER (ORDER BY v.batch_id) AS BIGINT) AS batch_id,
   v.status, round(v.health_score * 100.0, 2) + 0.0 AS health_score, coalesce(j.issues_json, '{{}}') AS issues_json,
   v.accepted_rows, v.rejected_rows
 FROM verdicts v LEFT JOIN issues_json j ON v.batch_id = j.batch_id""", INGEST_CTES)
+sql("ingestion_log_listing", f"""
+SELECT batch_id AS "Batch ID", submitted_at AS "Timestamp", filename AS "Filename", row_count AS "Total Rows",
+  status AS "Verdict Status", health_score AS "Health Score", issues_json AS "Issues",
+  accepted_rows AS "Accepted Rows", rejected_rows AS "Rejected Rows"
+FROM (
+  SELECT CAST(1 AS BIGINT) AS batch_id, CAST(TIMESTAMP '{UPLOAD_SUBMITTED_AT}' AS TIMESTAMP) AS submitted_at,
+    'transactions.csv' AS filename, count(*) AS row_count, 'Accepted' AS status, 100.0 AS health_score,
+    '[]' AS issues_json, count(*) AS accepted_rows, CAST(0 AS BIGINT) AS rejected_rows FROM fact_transactions
+  UNION ALL
+  SELECT CAST(1 + row_number() OVER (ORDER BY v.batch_id) AS BIGINT), CAST(TIMESTAMP '{UPLOAD_SUBMITTED_AT}' AS TIMESTAMP),
+    v.filename, CAST(v.row_count AS BIGINT), v.status, round(v.health_score * 100.0, 2) + 0.0,
+    coalesce(j.issues_json, '{{}}'), v.accepted_rows, v.rejected_rows
+  FROM verdicts v LEFT JOIN issues_json j ON v.batch_id = j.batch_id)""", INGEST_CTES)
 sql("integrity_audit", """
 SELECT (SELECT count(*) FROM dim_departments) AS total_departments, (SELECT count(*) FROM dim_regions) AS total_regions,
   count(*) AS total_transactions, count_if(revenue < 0) AS negative_revenue_rows,

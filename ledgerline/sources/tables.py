@@ -70,3 +70,9 @@ def replace_small_table(df: DataFrame, root: str, name: str) -> None:
     staged = table_path(root, f"_staged/{name}-{uuid.uuid4().hex[:8]}")
     df.write.mode("overwrite").parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").parquet(table_path(root, name))
+
+
+def export_report(report: DataFrame, path: str) -> None:
+    """Download export of a report table: one CSV file with a header.  Reports
+    are bounded by the dimension sizes (a handful of rows), so one task is fine."""
+    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
