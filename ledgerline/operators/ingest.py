@@ -71,7 +71,9 @@ def _name(c: str) -> F.Column:
 
 
 def extended_dimensions(dims: dict[str, DataFrame], clean_df: DataFrame, merged: DataFrame) -> dict[str, DataFrame]:
-    """Existing members plus the new names of the merged batches, numbered
+    """(The materialized new members are returned under ``_added``: dim, id, name.)
+
+    Existing members plus the new names of the merged batches, numbered
     ``len(existing) + 1 ...`` per dimension in order of first appearance
     (batch, row).  All four dimensions in one pass: each merged row emits its
     (dimension, name) pairs, one aggregate keeps the first position per name,
@@ -93,7 +95,7 @@ def extended_dimensions(dims: dict[str, DataFrame], clean_df: DataFrame, merged:
     added = numbered.join(sizes, "dim", "left").select(
         "dim", (F.coalesce(F.col("n_existing"), F.lit(0)) + F.col("pos")).cast("int").alias("id"), "name")
     added = materialize(added, "added_names")
-    out = {}
+    out = {"_added": added}
     for table, id_col, name_col, raw in DIMENSIONS:
         new_rows = added.where(F.col("dim") == raw).select(F.col("id").alias(id_col), F.col("name").alias(name_col))
         out[table] = dims[table].select(id_col, name_col).unionByName(new_rows)

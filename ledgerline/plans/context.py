@@ -135,13 +135,17 @@ class Finance:
     def upload_issues(self) -> DataFrame:
         from ..operators import quality
 
-        return quality.issues(self.upload_clean, fixtures.UPLOAD_AS_OF)
+        from ..session import materialize
+
+        return materialize(quality.issues(self.upload_clean, fixtures.UPLOAD_AS_OF), "issues")
 
     @cached_property
     def upload_verdicts(self) -> DataFrame:
         from ..operators import ingest
 
-        return ingest.verdicts(self.upload_clean, fixtures.UPLOAD_AS_OF)
+        from ..session import materialize
+
+        return materialize(ingest.verdicts(self.upload_clean, fixtures.UPLOAD_AS_OF), "verdicts")
 
     @cached_property
     def merged_batches(self) -> DataFrame:
@@ -154,4 +158,6 @@ class Finance:
         from ..operators import ingest
 
         dims = {k: v for k, v in self.star.tables().items() if k.startswith("dim_")}
-        return ingest.extended_dimensions(dims, self.upload_clean, self.merged_batches)
+        ext = ingest.extended_dimensions(dims, self.upload_clean, self.merged_batches)
+        ext.pop("_added")
+        return ext

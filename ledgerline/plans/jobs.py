@@ -50,12 +50,14 @@ def apply_batches(spark: SparkSession, root: str, clean_df: DataFrame, as_of, su
     db_error = None
     if merged.limit(1).count() > 0:
         try:
-            ext = {t: materialize(d, "dim") for t, d in
-                   ingest.extended_dimensions(_dims(spark, root), clean_df, merged).items()}
+            ext = ingest.extended_dimensions(_dims(spark, root), clean_df, merged)
+            added = ext.pop("_added")
+            changed = {r["dim"] for r in added.groupBy("dim").count().collect()}  # <= 4 rows
             facts = materialize(ingest.new_transactions(tables.read_table(spark, root, "fact_transactions"),
                                                         clean_df, merged, ext).drop("batch_id"), "facts")
-            for t, d in ext.items():
-                tables.replace_small_table(d, root, t)
+            for t, _, _, raw in star_ops.DIMENSIONS:
+                if raw in changed:  # only dimensions that gained members are rewritten
+                    tables.replace_small_table(ext[t], root, t)
             tables.write_segment(facts, root, log_max + 1)
         except Exception as exc:  # noqa: BLE001 - a failed write rejects the merged batches
             db_error = f"Database write failure: {exc}"
