@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import FUNNEL_STAGES
-from ..functions.numeric import dec_sum, frac, money, pct
+from ..functions.numeric import attach_scalar, dec_sum, frac, money, pct
 
 
 def stages(spark: SparkSession) -> DataFrame:
@@ -52,7 +52,7 @@ def invoice_funnel_theta(fact_inv: DataFrame) -> DataFrame:
     per_stage = joined.groupBy("stage_num", "stage").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("cnt"), dec_sum("amt").alias("amount"))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_invoices"))
-    return _shape(per_stage.crossJoin(totals))  # 5 rows x 1 row
+    return _shape(attach_scalar(per_stage, totals))
 
 
 def _shape(df: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def settlement_conversion(fact_inv: DataFrame) -> DataFrame:
     joined = F.broadcast(stages(spark)).join(counts, F.col("status_num") >= F.col("stage_num"), "left")
     per_stage = joined.groupBy("stage_num", "stage").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("at_stage"))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_invoices"))
-    return per_stage.crossJoin(totals).select(
+    return attach_scalar(per_stage, totals).select(
         F.col("stage_num").alias("stage_order"), "stage",
         F.col("at_stage").cast("bigint").alias("invoices_at_stage"),
         F.col("total_invoices").cast("bigint").alias("total_invoices"),

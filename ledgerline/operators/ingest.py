@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_numeric, clean_text, parse_date, strip
 from ..functions.headers import CANONICAL, map_columns
-from ..functions.numeric import MONEY
+from ..functions.numeric import MONEY, attach_scalar
 from ..session import materialize
 from . import quality
 from .positions import with_row_positions
@@ -107,7 +107,7 @@ def new_transactions(fact_tx: DataFrame, clean_df: DataFrame, merged: DataFrame,
     """Fact rows appended for the merged batches: ids continue after the
     current maximum, batch by batch, in row order; names -> ids (left joins)."""
     start = fact_tx.agg(F.coalesce(F.max("transaction_id"), F.lit(0)).alias("max_id"))
-    rows = clean_df.join(merged.select("batch_id", "rows_before"), "batch_id", "inner").crossJoin(start)
+    rows = attach_scalar(clean_df.join(merged.select("batch_id", "rows_before"), "batch_id", "inner"), start)
     out = rows.select(
         (F.col("max_id") + F.col("rows_before") + F.col("row_num")).cast("bigint").alias("transaction_id"),
         "date",
@@ -130,7 +130,7 @@ def log_entries(verdict_df: DataFrame, issues_df: DataFrame, log_max: DataFrame,
     maximum in batch order; health in percent (2 decimals)."""
     ij = quality.issues_json(issues_df)
     numbered = with_row_positions(verdict_df, ["batch_id"], out="pos")
-    return (numbered.join(ij, "batch_id", "left").crossJoin(log_max)  # x 1 row
+    return (attach_scalar(numbered.join(ij, "batch_id", "left"), log_max)
             .select(
                 (F.col("log_max") + F.col("pos")).cast("bigint").alias("batch_id"),
                 F.lit(submitted_at).cast("timestamp_ntz").alias("submitted_at"),
@@ -164,7 +164,7 @@ def integrity_audit(fact_tx: DataFrame, dim_departments: DataFrame, dim_regions:
                     F.count_if(F.col("expenses") < 0).alias("negative_expense_rows"))
     d = dim_departments.agg(F.count(F.lit(1)).alias("total_departments"))
     r = dim_regions.agg(F.count(F.lit(1)).alias("total_regions"))
-    return d.crossJoin(r).crossJoin(f)  # 1 x 1 x 1 rows
+    return attach_scalar(attach_scalar(d, r), f)
 
 
 # Business names of the log listing (projection only).

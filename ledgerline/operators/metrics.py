@@ -17,9 +17,10 @@ from ..functions.numeric import as_double, dec_sum, money, pct, ratio
 
 def kpis(fact_tx: DataFrame, fact_budgets: DataFrame) -> DataFrame:
     """Seven headline values (fractions, unrounded) in one row."""
-    actual = fact_tx.agg(dec_sum("revenue").alias("rev"), dec_sum("expenses").alias("exp"))
-    budget = fact_budgets.agg(dec_sum("budgeted_revenue").alias("brev"))
-    both = actual.crossJoin(budget)  # 1 row x 1 row
+    z = F.lit(None).cast("decimal(18,4)")
+    both = (fact_tx.select(F.col("revenue").alias("r"), F.col("expenses").alias("e"), z.alias("b"))
+            .unionByName(fact_budgets.select(z.alias("r"), z.alias("e"), F.col("budgeted_revenue").alias("b")))
+            .agg(dec_sum("r").alias("rev"), dec_sum("e").alias("exp"), dec_sum("b").alias("brev")))  # one pass
     net = F.col("rev") - F.col("exp")
     var = F.col("rev") - F.col("brev")
     return both.select(

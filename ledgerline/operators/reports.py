@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_double, dec_sum, frac
+from ..functions.numeric import as_double, attach_scalar, dec_sum, frac
 from .metrics import monthly_totals
 
 TOTAL = "Total"
@@ -112,7 +112,7 @@ def report_overview(monthly_margin: DataFrame, budget_vs_actual: DataFrame) -> D
     actual) and net profit (actual - budgeted profit)."""
     m = monthly_margin.where(F.col("month") == TOTAL).select("revenue", "expenses", "net_profit")
     b = budget_vs_actual.where(F.col("department") == TOTAL).select("budget_revenue", "budget_expenses")
-    one = m.crossJoin(b)  # 1 x 1 rows
+    one = attach_scalar(m, b)  # the two grand-total rows
     rows = F.array(
         F.struct(F.lit(1).alias("o"), F.lit("Total Sales Revenue").alias("metric"),
                  F.col("revenue").alias("current_value"), F.col("budget_revenue").alias("target_value"),
