@@ -69,10 +69,21 @@ def lookup_ids(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     return df
 
 
+# Raw files carry their file order in these columns (see sources.files).
+FILE_ORDER = ["_src_file", "_src_block", "_src_pos"]
+
+
+def _order(df: DataFrame, default: list[str]) -> list[str]:
+    """File order when the raw rows come from files, else the given total order."""
+    return FILE_ORDER if all(c in df.columns for c in FILE_ORDER) else default
+
+
 def fact_transactions(raw_tx: DataFrame, dims: dict[str, DataFrame],
                       sample_source: DataFrame | None = None) -> DataFrame:
-    """``sample_source``: a cheap scan holding the ordering columns (range bounds)."""
-    numbered = with_row_positions(raw_tx, list(TRANSACTION_ORDER), out="transaction_id",
+    """Ids are row positions in file order (or, for the fixture view, in
+    line-item order).  ``sample_source``: a cheap scan holding the ordering
+    columns (range bounds only)."""
+    numbered = with_row_positions(raw_tx, _order(raw_tx, list(TRANSACTION_ORDER)), out="transaction_id",
                                   sample_source=sample_source)
     facts = lookup_ids(numbered, dims)
     return facts.select(
@@ -85,7 +96,8 @@ def fact_transactions(raw_tx: DataFrame, dims: dict[str, DataFrame],
 
 
 def fact_budgets(raw_budgets: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    numbered = with_row_positions(raw_budgets, ["month", "department", "region"], out="budget_id")
+    numbered = with_row_positions(raw_budgets, _order(raw_budgets, ["month", "department", "region"]),
+                                  out="budget_id")
     facts = lookup_ids(numbered, {k: v for k, v in dims.items() if k in ("dim_departments", "dim_regions")})
     return facts.select(
         "budget_id", "month", "dept_id", "region_id",

@@ -138,3 +138,19 @@ def test_unsupported_and_empty_uploads(spark, store, tmp_path):
     assert ingest_file(spark, _upload(tmp_path, "x", "book.xlsx"), store)["status"] == "Rejected"
     res = ingest_file(spark, _upload(tmp_path, "Date,Revenue\n", "empty.csv"), store)
     assert res == {"success": False, "msg": "The uploaded file is empty.", "status": "Rejected"}
+
+
+def test_write_failure_rejects_batch(spark, store, tmp_path, monkeypatch):
+    from ledgerline.plans import jobs
+
+    def boom(*a, **k):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(jobs.tables, "write_segment", boom)
+    good = ANOMALOUS.format(neg="100.00").replace("2026-12-01", "2025-06-18").replace(
+        "\n,3400.00", "\n2025-06-19,3400.00").replace(",,,Operations", ",10.00,1.00,Operations")
+    res = ingest_file(spark, _upload(tmp_path, good, "good.csv"), store, as_of="2025-12-31",
+                      submitted_at="2025-12-31 00:00:00")
+    assert res["status"] == "Rejected" and res["success"] is False and res["rejected_rows"] == 5
+    last = tables.read_table(spark, store, "ingestion_log").orderBy("batch_id").collect()[-1]
+    assert "db_error" in last["issues_json"] and last["status"] == "Rejected"
