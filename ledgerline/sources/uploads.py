@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import number_rows
+from ..session import materialize
 
 
 class UploadRejected(Exception):
@@ -48,4 +49,5 @@ def read_upload(spark: SparkSession, path: str, filename: str | None = None, bat
         F.col("_metadata.file_block_start").alias("_u_block"),
         F.monotonically_increasing_id().alias("_u_pos"),
     )
-    return number_rows(tagged, ["_u_file", "_u_block", "_u_pos"])
+    # written once: positions are fixed, later jobs read Parquet, not the upload
+    return number_rows(materialize(tagged, "upload"), ["_u_file", "_u_block", "_u_pos"])

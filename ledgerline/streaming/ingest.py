@@ -37,13 +37,17 @@ def _epoch_done(spark: SparkSession, marker: str) -> bool:
 
 
 def process_micro_batch(spark: SparkSession, batch_df: DataFrame, root: str, as_of, submitted_at: str) -> list[dict]:
-    """One micro-batch: files -> batches 1..k by path, rows in file order."""
-    files = batch_df.select("_u_name").distinct()
-    batch_of = materialize(with_row_positions(files, ["_u_name"], out="batch_id"), "files")
-    raw = (batch_df.join(batch_of, "_u_name")
+    """One micro-batch: files -> batches 1..k by path, rows in file order.
+
+    The batch is written once with its in-split positions, so every later
+    job reads the same rows and positions (no re-read of the source files)."""
+    tagged = materialize(batch_df.withColumn("_u_pos", F.monotonically_increasing_id()), "micro_batch")
+    files = tagged.select("_u_name").distinct()
+    batch_of = with_row_positions(files, ["_u_name"], out="batch_id")
+    raw = (tagged.join(batch_of, "_u_name")
            .select(F.col("batch_id").cast("int").alias("batch_id"), F.col("_u_name").alias("filename"),
                    *[c for c in batch_df.columns if not c.startswith("_u_")],
-                   "_u_file", "_u_block", F.monotonically_increasing_id().alias("_u_pos")))
+                   "_u_file", "_u_block", "_u_pos"))
     numbered = ingest.number_rows(raw, ["_u_file", "_u_block", "_u_pos"])
     clean_df = materialize(ingest.clean(ingest.mapped(numbered)), "batch")
     return apply_batches(spark, root, clean_df, as_of, submitted_at)
