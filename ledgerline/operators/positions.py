@@ -1,98 +1,79 @@
 """Row positions (1-based) without a single-task window.
 
 A ``row_number()`` over an unpartitioned (or hot-key) window sorts every row
-in one task.  Instead we cut the key space into ``n`` ranges whose bounds are
-taken once from a bounded random sample (as Spark's range partitioner does),
-so each row's bucket is a pure function of its key: re-running any task, on
-any executor, gives the same bucket.  Rows are numbered inside
-(bucket, group) windows -- bounded by the bucket size whatever the group
-skew -- and the row counts of the earlier buckets of the same group, a table
-of at most ``n + groups`` rows, are added back.
+in one task.  Instead the rows are globally sorted by Spark itself (range
+partitioning + sort within partitions, so every task holds one key range)
+and written as a table in the shared checkpoint folder.  In that table a
+row's place is (part number of its file, Parquet row index), both fixed on
+disk: the row counts per (file, group) -- at most ``files + groups`` rows --
+are prefix-summed per group and added back.  Every task is bounded by the
+range size whatever the group skew, and a task re-run after an executor
+loss reads the same files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_BUCKET = 20
+from ..session import scratch_path
 
 
-def _sort_key(row: tuple) -> tuple:
-    # Spark's ascending order puts NULL first.
-    return tuple((v is not None, v) for v in row)
+RANGE_BYTES = 128 * 1024 * 1024
+MAX_RANGES = 100_000
 
 
-def range_bounds(sample_source: DataFrame, keys: Sequence[str], buckets: int, seed: int = 17) -> list[tuple]:
-    """Up to ``buckets - 1`` sorted, distinct key tuples cutting the key space
-    into ranges of similar size.  One pass; each task keeps at most
-    ``SAMPLE_PER_BUCKET * buckets`` rows, so the driver receives a bounded sample."""
-    if buckets <= 1:
-        return []
-    m = SAMPLE_PER_BUCKET * buckets
-    sample = (sample_source.select(*keys).withColumn("_rb_r", F.rand(seed))
-              .orderBy("_rb_r").limit(m).drop("_rb_r").collect())
-    rows = sorted((tuple(r) for r in sample), key=_sort_key)
-    if not rows:
-        return []
-    picks = []
-    for i in range(1, buckets):
-        cand = rows[min(len(rows) - 1, (i * len(rows)) // buckets)]
-        if not picks or _sort_key(cand) > _sort_key(picks[-1]):
-            picks.append(cand)
-    return picks
-
-
-def bucket_of(df: DataFrame, keys: Sequence[str], bounds: list[tuple]) -> Column:
-    """Index of the range holding the row's key: a balanced tree of struct
-    comparisons against literal bounds (depth log2(n))."""
-    if not bounds:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(k) for k in keys])
-    lits = [F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, b)]) for b in bounds]
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
+def _partition_count(df: DataFrame, requested: int | None) -> int:
+    """Key ranges: one per ~128 MiB of the optimizer's size estimate (no job
+    runs to get it), never fewer than the shuffle partitions."""
+    if requested:
+        return requested
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate available
+        size = 0
+    return max(shuffle, min(MAX_RANGES, size // RANGE_BYTES + 1))
 
 
 def with_row_positions(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-                       out: str = "row_num", buckets: int | None = None,
-                       sample_source: DataFrame | None = None) -> DataFrame:
+                       out: str = "row_num", buckets: int | None = None) -> DataFrame:
     """Add ``out`` = position of the row inside its group, ordered by ``order_cols``.
 
     The order must be total, or ties must be rows that are otherwise
-    identical.  ``sample_source`` may be a cheaper DataFrame with the same key
-    columns to draw the range bounds from (bounds only steer balance, never
-    the result).
+    identical.  ``buckets``: number of key ranges (default: the larger of the
+    shuffle partitions and the input partitions).
     """
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
-    bounds = range_bounds(sample_source if sample_source is not None else df, keys, n)
-    tagged = df.withColumn("_lp_b", bucket_of(df, keys, bounds))
-    counts = tagged.groupBy("_lp_b", *group_cols).agg(F.count(F.lit(1)).alias("_lp_n"))
-    w_prev = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("_lp_b")
+    path = scratch_path(spark, "sorted")
+    (df.repartitionByRange(_partition_count(df, buckets), *keys).sortWithinPartitions(*keys)
+     .write.mode("overwrite").parquet(path))
+    name = F.col("_metadata.file_name")
+    stored = spark.read.schema(df.schema).parquet(path)
+    tagged = stored.select(
+        "*",
+        F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("_lp_part"),
+        F.regexp_extract(name, r"-c(\d+)\.", 1).cast("long").alias("_lp_chunk"),
+        F.col("_metadata.row_index").alias("_lp_ri"),
+    )
+    counts = tagged.groupBy("_lp_part", "_lp_chunk", *group_cols).agg(
+        F.count(F.lit(1)).alias("_lp_n"), F.min("_lp_ri").alias("_lp_first"))
+    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("_lp_part", "_lp_chunk")
     offsets = counts.select(
-        F.col("_lp_b").alias("_lp_ob"),
+        F.col("_lp_part").alias("_lp_opart"), F.col("_lp_chunk").alias("_lp_ochunk"),
         *[F.col(g).alias(f"_lp_g{i}") for i, g in enumerate(group_cols)],
-        F.coalesce(F.sum("_lp_n").over(w_prev.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_lp_before"),
+        F.coalesce(F.sum("_lp_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lp_before"),
+        "_lp_first",
     )
-    local = F.row_number().over(Window.partitionBy("_lp_b", *group_cols).orderBy(*order_cols))
-    numbered = tagged.withColumn("_lp_local", local)
-    cond = [F.col("_lp_b") == F.col("_lp_ob")] + [
+    cond = [F.col("_lp_part") == F.col("_lp_opart"), F.col("_lp_chunk") == F.col("_lp_ochunk")] + [
         F.col(g).eqNullSafe(F.col(f"_lp_g{i}")) for i, g in enumerate(group_cols)]
-    joined = numbered.join(offsets, cond, "inner")
-    return (joined.withColumn(out, (F.col("_lp_before") + F.col("_lp_local")).cast("bigint"))
-            .drop("_lp_b", "_lp_ob", "_lp_local", "_lp_before", *[f"_lp_g{i}" for i in range(len(group_cols))]))
+    joined = tagged.join(offsets, cond, "inner")
+    return (joined.withColumn(out, (F.col("_lp_before") + F.col("_lp_ri") - F.col("_lp_first") + 1).cast("bigint"))
+            .drop("_lp_part", "_lp_chunk", "_lp_ri", "_lp_opart", "_lp_ochunk", "_lp_before", "_lp_first",
+                  *[f"_lp_g{i}" for i in range(len(group_cols))]))
 
 
 def smallest_k(df: DataFrame, group_cols: Sequence[str], order_col: str, k: int,

@@ -78,13 +78,10 @@ def _order(df: DataFrame, default: list[str]) -> list[str]:
     return FILE_ORDER if all(c in df.columns for c in FILE_ORDER) else default
 
 
-def fact_transactions(raw_tx: DataFrame, dims: dict[str, DataFrame],
-                      sample_source: DataFrame | None = None) -> DataFrame:
+def fact_transactions(raw_tx: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Ids are row positions in file order (or, for the fixture view, in
-    line-item order).  ``sample_source``: a cheap scan holding the ordering
-    columns (range bounds only)."""
-    numbered = with_row_positions(raw_tx, _order(raw_tx, list(TRANSACTION_ORDER)), out="transaction_id",
-                                  sample_source=sample_source)
+    line-item order)."""
+    numbered = with_row_positions(raw_tx, _order(raw_tx, list(TRANSACTION_ORDER)), out="transaction_id")
     facts = lookup_ids(numbered, dims)
     return facts.select(
         "transaction_id", "date",
@@ -150,11 +147,10 @@ class Star:
         return dict(self.__dict__)
 
 
-def build_star(raw_tx: DataFrame, raw_budgets: DataFrame, raw_invoices: DataFrame,
-               sample_source: DataFrame | None = None) -> Star:
+def build_star(raw_tx: DataFrame, raw_budgets: DataFrame, raw_invoices: DataFrame) -> Star:
     dims = dimensions(raw_tx, raw_budgets)
     return Star(
-        fact_transactions=fact_transactions(raw_tx, dims, sample_source),
+        fact_transactions=fact_transactions(raw_tx, dims),
         fact_budgets=fact_budgets(raw_budgets, dims),
         fact_invoices=fact_invoices(raw_invoices),
         **dims,

@@ -35,11 +35,10 @@ def _trace(step: str) -> None:
 
 
 def init_load(spark: SparkSession, root: str, raw_tx: DataFrame, raw_budgets: DataFrame, raw_invoices: DataFrame,
-              submitted_at: str | None = None, filename: str = "transactions.csv",
-              sample_source: DataFrame | None = None) -> star_ops.Star:
+              submitted_at: str | None = None, filename: str = "transactions.csv") -> star_ops.Star:
     """Build the star from the raw files and write it (replacing), with the seed log row."""
     submitted_at = submitted_at or _dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
-    star = star_ops.build_star(raw_tx, raw_budgets, raw_invoices, sample_source=sample_source)
+    star = star_ops.build_star(raw_tx, raw_budgets, raw_invoices)
     tables.write_star(star, root)
     stored = tables.read_star(spark, root)
     tables.write_table(ingest.initial_log(stored.fact_transactions, submitted_at, filename), root, "ingestion_log")
