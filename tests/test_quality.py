@@ -154,3 +154,11 @@ def test_write_failure_rejects_batch(spark, store, tmp_path, monkeypatch):
     assert res["status"] == "Rejected" and res["success"] is False and res["rejected_rows"] == 5
     last = tables.read_table(spark, store, "ingestion_log").orderBy("batch_id").collect()[-1]
     assert "db_error" in last["issues_json"] and last["status"] == "Rejected"
+
+
+def test_hot_duplicate_row(spark):
+    """One row repeated as a third of the batch: every copy after the first is flagged."""
+    hot = (D, 5.0, 1.0, "S", "N", "P", "C", "1")
+    rows = [hot if i % 3 == 0 else (D, i + 0.5, 1.0, "S", "N", "P", "C", "1") for i in range(300)]
+    dups = quality.duplicate_rows(_rows(spark, rows)).collect()
+    assert len(dups) == 99 and {r["first_row_num"] for r in dups} == {1}
