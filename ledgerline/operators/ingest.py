@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_numeric, clean_text, parse_date, strip
@@ -57,11 +57,8 @@ def verdicts(clean_df: DataFrame, as_of: str | _dt.date) -> DataFrame:
 
 
 def merged_batches(verdict_df: DataFrame) -> DataFrame:
-    """Batches that merge (Accepted / Needs Review) with the number of merged
-    rows before them, in batch order.  One row per batch: a log-sized table."""
-    ok = verdict_df.where(F.col("success")).select("batch_id", "row_count")
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
-    return ok.withColumn("rows_before", F.coalesce(F.sum("row_count").over(w), F.lit(0)))
+    """Batches that merge (Accepted and Needs Review merge the whole batch)."""
+    return verdict_df.where(F.col("success")).select("batch_id", "row_count")
 
 
 def _name(c: str) -> F.Column:
@@ -104,11 +101,13 @@ def extended_dimensions(dims: dict[str, DataFrame], clean_df: DataFrame, merged:
 def new_transactions(fact_tx: DataFrame, clean_df: DataFrame, merged: DataFrame,
                      dims: dict[str, DataFrame]) -> DataFrame:
     """Fact rows appended for the merged batches: ids continue after the
-    current maximum, batch by batch, in row order; names -> ids (left joins)."""
+    current maximum, batch by batch, in row order (global positions from the
+    skew-safe position operator); names -> ids (left joins)."""
     start = fact_tx.agg(F.coalesce(F.max("transaction_id"), F.lit(0)).alias("max_id"))
-    rows = attach_scalar(clean_df.join(merged.select("batch_id", "rows_before"), "batch_id", "inner"), start)
+    rows = clean_df.join(merged.select("batch_id"), "batch_id", "left_semi")
+    rows = attach_scalar(with_row_positions(rows, ["batch_id", "row_num"], out="_pos"), start)
     out = rows.select(
-        (F.col("max_id") + F.col("rows_before") + F.col("row_num")).cast("bigint").alias("transaction_id"),
+        (F.col("max_id") + F.col("_pos")).cast("bigint").alias("transaction_id"),
         "date",
         F.col("revenue").cast(MONEY).alias("revenue"),
         F.col("expenses").cast(MONEY).alias("expenses"),
