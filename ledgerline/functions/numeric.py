@@ -37,7 +37,7 @@ def ratio(num: Column, den: Column, positive_only: bool = True) -> Column:
 
 
 def pct(num: Column, den: Column, positive_only: bool = True, digits: int = 2) -> Column:
-    """Percentage rounded to ``digits`` decimals (reference rounds to 2)."""
+    """Percentage rounded to ``digits`` decimals (2 in every report)."""
     return F.round(ratio(num, den, positive_only) * 100.0, digits) + F.lit(0.0)
 
 
