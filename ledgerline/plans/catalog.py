@@ -323,6 +323,16 @@ def _q_bi_core_month(f: Finance) -> DataFrame:
     return bi.measures(f.fact_transactions, _dims(f), by=["month"])
 
 
+@query("bi_core_measures_by_department")
+def _q_bi_core_department(f: Finance) -> DataFrame:
+    return bi.measures(f.fact_transactions, _dims(f), by=["department"])
+
+
+@query("bi_core_measures_by_product")
+def _q_bi_core_product(f: Finance) -> DataFrame:
+    return bi.measures(f.fact_transactions, _dims(f), by=["product_line"])
+
+
 @query("bi_variance_measures")
 def _q_bi_variance(f: Finance) -> DataFrame:
     return bi.variance_measures(f.fact_transactions, f.fact_budgets, _dims(f), by=["department"])

@@ -488,6 +488,12 @@ sql("bi_core_measures", _core())
 _q = _core("region", "LEFT JOIN dim_regions g ON t.region_id = g.region_id", "g.region_name")
 sql("bi_core_measures_by_region", _q.replace("SELECT g.region_name AS region, " + dbl("rev"),
                                              "SELECT region, " + dbl("rev"), 1))
+_q = _core("department", "LEFT JOIN dim_departments d ON t.dept_id = d.dept_id", "d.dept_name")
+sql("bi_core_measures_by_department", _q.replace("SELECT d.dept_name AS department, " + dbl("rev"),
+                                                 "SELECT department, " + dbl("rev"), 1))
+_q = _core("product_line", "LEFT JOIN dim_products p ON t.product_id = p.product_id", "p.product_name")
+sql("bi_core_measures_by_product", _q.replace("SELECT p.product_name AS product_line, " + dbl("rev"),
+                                              "SELECT product_line, " + dbl("rev"), 1))
 _q = _core("month", "", "strftime(t.date, '%Y-%m')")
 sql("bi_core_measures_by_month", _q.replace("SELECT strftime(t.date, '%Y-%m') AS month, " + dbl("rev"),
                                             "SELECT month, " + dbl("rev"), 1))
