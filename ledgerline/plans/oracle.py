@@ -286,7 +286,7 @@ upload_verdict AS (
   SELECT batch_id, row_count, failed_rows, health_score,
     CASE WHEN health_score >= 0.8 THEN 'Accepted' WHEN health_score >= 0.5 THEN 'Needs Review' ELSE 'Rejected' END
       AS status, filename
-  FROM (SELECT f.batch_id, count(*) AS row_count, count_if(f.failed) AS failed_rows,
+  FROM (SELECT f.batch_id, count(*) AS row_count, CAST(count_if(f.failed) AS BIGINT) AS failed_rows,
           (1.0 - CAST(count_if(f.failed) AS DOUBLE) / CAST(count(*) AS DOUBLE)) + 0.0 AS health_score,
           min(c.filename) AS filename
         FROM upload_failed f JOIN upload_clean c ON f.batch_id = c.batch_id AND f.row_num = c.row_num
@@ -393,8 +393,8 @@ FROM (
   FROM verdicts v LEFT JOIN issues_json j ON v.batch_id = j.batch_id)""", INGEST_CTES)
 sql("integrity_audit", """
 SELECT (SELECT count(*) FROM dim_departments) AS total_departments, (SELECT count(*) FROM dim_regions) AS total_regions,
-  count(*) AS total_transactions, count_if(revenue < 0) AS negative_revenue_rows,
-  count_if(expenses < 0) AS negative_expense_rows
+  count(*) AS total_transactions, CAST(count_if(revenue < 0) AS BIGINT) AS negative_revenue_rows,
+  CAST(count_if(expenses < 0) AS BIGINT) AS negative_expense_rows
 FROM fact_transactions""")
 
 # ---------------------------------------------------------------------------

@@ -21,6 +21,7 @@ def test_query_matches_oracle(report, name):
         assert r["cols_match"], r.get("cols")
         assert r["spark_rows"] == r["oracle_rows"]
         assert r["exact"], r.get("sample_diff")
+        assert r["types_match"], r.get("types")
 
 
 def test_every_query_has_an_oracle():
