@@ -1,7 +1,10 @@
-"""Per-(session, data folder) lazy plans shared by the queries.
+"""Per-(session, data folder) plans shared by the queries.
 
-Nothing here runs a job: every attribute is a lazily built DataFrame, so
-each query is one Catalyst plan from the Parquet scans to its result.
+Two things are written once, on first use, as Parquet in the shared
+checkpoint folder: the star schema (the initial load) and the upload
+pipeline's intermediate tables (numbered rows, cleaned batches, issues,
+verdicts).  Everything else is a lazy plan, so each query is one Catalyst
+plan from those tables to its result.
 """
 
 from __future__ import annotations
