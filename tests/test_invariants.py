@@ -42,5 +42,9 @@ def test_report_totals(q):
 
 
 def test_upload_verdicts_cover_all_outcomes(q):
-    statuses = {r["status"] for r in q("ingest_verdict")}
-    assert "Rejected" in statuses and "Accepted" in statuses
+    by_status = {}
+    for r in q("ingest_verdict"):
+        by_status.setdefault(r["status"], []).append(r["batch_id"])
+    assert sorted(by_status["Needs Review"]) == [10, 20]          # garbage amounts on those days
+    assert sorted(by_status["Rejected"]) == [26, 27, 28, 29, 30]  # every row dated after as_of
+    assert len(by_status["Accepted"]) == 23
