@@ -202,8 +202,11 @@ def clean_numeric(x: str) -> str:
 
 
 def parse_date(x: str) -> str:
+    """Same formats and shape guards as the Spark side (DuckDB's %Y alone
+    would also take a 2-digit year)."""
     s = strip(x)
-    tries = ", ".join(f"CAST(try_strptime({s}, '{fmt}') AS DATE)" for _, fmt, _ in DATE_PATTERNS + FALLBACK_PATTERNS)
+    tries = ", ".join(f"CASE WHEN regexp_full_match({s}, '{guard}') THEN CAST(try_strptime({s}, '{fmt}') AS DATE) END"
+                      for _, fmt, guard in DATE_PATTERNS + FALLBACK_PATTERNS)
     return f"coalesce({tries})"
 
 
