@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe_stream, exact_dedup, pii, token_files
+from ledgerline.llm import (bpe_stream, exact_dedup, language_id, near_dedup, packing, pii, token_files,
+                            topk_search, toxicity)
 
 
 def vocabulary(name: str) -> str:
@@ -35,11 +36,35 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "class_size", "n_links")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
+    return packing.assign(cut).drop("ids")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_files.summarise(spark, folder)
@@ -50,7 +75,9 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op6_exact_dedup, op9_token_files, op10_bpe_stream)}
+    return {f.__name__: f for f in (
+        op1_pii, op2_near_dedup, op3_packing, op4_language_id, op5_toxicity, op6_exact_dedup, op7_topk_search,
+        op9_token_files, op10_bpe_stream)}
 
 
 #: Texts are equal when identical after lower-casing A-Z only.
@@ -66,5 +93,21 @@ FROM h
 """
 
 
+#: The quantised components are whole numbers, so sums of doubles are exact.
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_topk_search": OP7_SQL}

@@ -29,6 +29,11 @@ MARKS = r",.;:!?|\"#$%&*()"
 CHUNK = re.compile(f" ?[{LETTERS}]++(?![^{WHITE}{MARKS}])|[{MARKS}]++(?![^{WHITE}])|"
                    f" ?[^{WHITE}]++|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
+WORD = re.compile(f"[{LETTERS}]++(?![^{WHITE}{MARKS}])|[{MARKS}]++(?![^{WHITE}])|[^{WHITE}]++")
+
+#: Beyond these characters the library alone decides what is lower case.
+BEYOND = re.compile("[^\\x00-\u012f\u0131-\u024f]")
+
 
 def id_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
@@ -46,6 +51,10 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # where white space has no ids of its own, chunks go without it
+        spaces = any(self._encode([" ", "\n"])) or self._encode([" a"]) != self._encode(["a"])
+        self.chunk = CHUNK if spaces else WORD
+        self.lower = self._encode(["Aa"]) == self._encode(["aa"])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -54,23 +63,22 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the chunks that are new in all of them go to the library together."""
-        split = [None if any(s in t for s in self.specials) else CHUNK.findall(t) for t in texts]
+        split = [None if any(s in t for s in self.specials) else
+                 self.chunk.findall(t.lower() if self.lower and not BEYOND.search(t) else t) for t in texts]
         if len(self.known) > MAX_CHUNKS:
             self.older, self.known = self.known, {}
         known = self.known
         new = set().union(*(c for c in split if c)).difference(known)
-        long = self._learn(new)
-        return [self._encode([t])[0]  # a special token's string also splits the white space beside it
-                if chunks is None else b"".join([known.get(c) or long[c] for c in chunks])
-                for t, chunks in zip(texts, split)]
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Adds the short chunks to the store, returns the long ones (and those of no ids)."""
-        found = {c: self.older[c] for c in chunks if c in self.older}
-        new = [c for c in chunks if c not in found]
-        found.update(zip(new, self._encode(new)))
-        self.known.update((c, x) for c, x in found.items() if x and len(c) <= MAX_KEPT)
-        return {c: x for c, x in found.items() if c not in self.known}
+        again = {c: self.older[c] for c in new if c in self.older}
+        new.difference_update(again)
+        known.update(again)
+        known.update(zip(new, self._encode(list(new))))
+        out = [self._encode([t])[0]  # a special token's string also splits the white space beside it
+               if chunks is None else b"".join(map(known.__getitem__, chunks)) for t, chunks in zip(texts, split)]
+        for c in new:
+            if len(c) > MAX_KEPT:
+                del known[c]
+        return out
 
 
 @functools.cache
