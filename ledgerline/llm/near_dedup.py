@@ -16,7 +16,8 @@ components stay in tables; no bucket is gathered in one place.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -122,66 +123,61 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "text_hash", "node", "n_words", "keys"])
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
+def edit_distance(a: Sequence, b: Sequence, limit: int) -> int | None:
     """Edit distance of two sequences if it is at most ``limit``.
 
-    Works on the diagonals of the alignment within the band: how far each can be
-    followed with 0, 1, 2, ... edits.
+    A banded alignment, column by column: the cells within ``limit`` of the
+    diagonal are two bit vectors, of the places where a column goes up and
+    down by one (Myers; the band that moves along the diagonal is Hyyrö's).
     """
-    if len(a) > len(b):
+    if len(a) < len(b):
         a, b = b, a
-    n, m = len(a), len(b)
-    if m - n > limit:
+    head, n, m = 0, len(a), len(b)
+    while head < m and a[head] == b[head]:
+        head += 1
+    while m > head and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b, n, m = a[head:n], b[head:m], n - head, m - head
+    limit = min(limit, n)
+    if n - m > limit:
         return None
-    same = a == b[:n]
-    head = n if same.all() else int(same.argmin())
-    a, b = a[head:], b[head:]
-    n, m = len(a), len(b)
-    same = a[::-1] == b[::-1][:n]
-    tail = n if same.all() else int(same.argmin())
-    a, b, n, m = a[:n - tail], b[:m - tail], n - tail, m - tail
-    if not n:
-        return m
-    # words that the other lacks must each be edited
-    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    excess = np.bincount(at[:n], minlength=len(values)) - np.bincount(at[n:], minlength=len(values))
-    if max(excess[excess > 0].sum(), -excess[excess < 0].sum()) > limit:
+    if not m:
+        return n
+    # what the shorter lacks must each be edited
+    spare = Counter(a)
+    spare.subtract(Counter(b))
+    if sum(c for c in spare.values() if c > 0) > limit:
         return None
 
-    def follow(i: int, k: int) -> int:
-        """The row up to which diagonal k goes on without an edit from row i."""
-        step = 16
-        while True:
-            size = min(step, n - i, m - i - k)
-            if size <= 0:
-                return i
-            equal = a[i:i + size] == b[i + k:i + k + size]
-            if not equal.all():
-                return i + int(equal.argmin())
-            i += size
-            step *= 4
-
-    goal = m - n
-    reach = {0: follow(0, 0)}
-    for d in range(limit + 1):
-        if reach.get(goal, -1) >= n:
-            return d
-        left = limit - d - 1
-        new = {}
-        for k in range(-d - 1, d + 2):
-            if abs(goal - k) > left:  # too far from the end of the alignment
-                continue
-            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-            i = min(i, n, m - k)
-            if i >= max(0, -k):
-                new[k] = follow(i, k)
-        reach = new
-    return None
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    places: dict = defaultdict(int)
+    for i, x in enumerate(a):
+        places[x] |= 1 << i
+    width = 2 * limit + 2
+    full = (1 << width) - 1
+    up, down, distance, at = full << (width - limit - 1) & full, 0, limit, limit + 1 - width
+    diagonal, row = 1 << (width - 1), 1 << (width - 2)
+    most = 2 * limit + m - n  # beyond this the end can't be reached within the limit
+    for j, x in enumerate(b):
+        here = places.get(x, 0)
+        here = (here >> at if at > 0 else here << -at) & full
+        at += 1
+        same = (((here & up) + up) ^ up) | here | down
+        right_up, right_down = (down | ~(same | up)) & full, same & up
+        if j < n - limit:
+            distance += not same & diagonal
+        else:
+            distance += bool(right_up & row) - bool(right_down & row)
+            row >>= 1
+        if distance > most:
+            return None
+        same = (same & full) >> 1
+        up, down = (right_down | ~(same | right_up)) & full, same & right_up
+    return distance if distance <= limit else None
+
+
+def similar(a: Sequence, b: Sequence, least: float = SIMILARITY) -> bool:
     longer = max(len(a), len(b))
-    return longer == 0 or edit_distance(a, b, int((1 - least) * longer + 1e-9)) is not None
+    return edit_distance(a, b, int((1 - least) * longer + 1e-9)) is not None
 
 
 def _aligned(least: float):
@@ -190,7 +186,7 @@ def _aligned(least: float):
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 pairs = zip(*(part.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text")))
-                good = [(a, b) for a, b, s, t in pairs if similar(word_hashes(s), word_hashes(t), least)]
+                good = [(a, b) for a, b, s, t in pairs if similar(s.lower().split(), t.lower().split(), least)]
                 if good:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*good)], names=["a", "b"])
 
