@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (bpe_stream, exact_dedup, language_id, near_dedup, packing, pii, token_files,
-                            topk_search, toxicity)
+from ledgerline.llm import (bpe_stream, exact_dedup, language_id, near_dedup, packing, pii, suffix_dedup,
+                            token_files, topk_search, toxicity)
 
 
 def vocabulary(name: str) -> str:
@@ -65,6 +65,10 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_files.summarise(spark, folder)
@@ -77,7 +81,7 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii, op2_near_dedup, op3_packing, op4_language_id, op5_toxicity, op6_exact_dedup, op7_topk_search,
-        op9_token_files, op10_bpe_stream)}
+        op8_suffix_dedup, op9_token_files, op10_bpe_stream)}
 
 
 #: Texts are equal when identical after lower-casing A-Z only.
