@@ -14,11 +14,11 @@ external shuffle of the tuples.
 3. What is left is cut into blocks of 16 starts, a block's strings share a core of
    185 bytes.  Cores that stand once, and equal blocks, settle their starts.
 4. A string of what is left is its core's name with a few bytes on the left and
-   on the right; those tuples are compared as they are.
+   on the right; those tuples are counted.
 
 Each step is a count by key that adds up before its shuffle, and no key's rows
-are gathered.  Grams, intervals and cores are named by hashes (64 bits for a
-gram, which only proposes; 128 for what settles).
+are gathered.  Grams, intervals, cores and tuples are named by hashes (64 bits
+for a gram, which only proposes; 128 for what settles).
 """
 
 from __future__ import annotations
@@ -210,12 +210,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                .select("core", "l", "r", F.col("one.rid").alias("rid"), F.col("one.place").alias("place"),
                        (F.col("one.open") & (F.col("n") == 1)).alias("open"),
                        F.explode(F.sequence(F.col("least").cast("int"), F.col("most").cast("int"))).alias("t"))
-               .select("core", "t", F.expr("substring(l, length(l) - t + 1, t)").alias("l"),
-                       F.expr(f"substring(r, 1, {BLOCK - 1} - t)").alias("r"), "rid", "place", "open"))
+               .withColumn("l", F.expr("substring(l, length(l) - t + 1, t)"))
+               .withColumn("r", F.expr(f"substring(r, 1, {BLOCK - 1} - t)"))
+               .select(F.xxhash64("core", "t", "l", "r").alias("k"), F.xxhash64("r", "l", "t", "core").alias("h"),
+                       "t", "rid", "place", "open"))
     strings = materialize(strings, "strings")
-    key = ["core", "t", "l", "r"]
-    again = strings.groupBy(*key).count().where("count > 1").select(*key)
-    single = (strings.where("open").join(again, key, "left_semi")
+    again = strings.groupBy("k", "h").count().where("count > 1").select("k", "h")
+    single = (strings.where("open").join(again, ["k", "h"], "left_semi")
               .select("rid", (F.col("place") - F.col("t")).alias("first"), (F.col("place") - F.col("t")).alias("last")))
 
     starts = settled.unionByName(whole).unionByName(single).groupBy("rid").agg(
