@@ -178,7 +178,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # 1. grams in more than one place
     every = table.select("rid", F.explode(F.arrays_zip("kh", "uh", "at", "far", "near")).alias("x")).select("rid", "x.*")
-    often = every.groupBy("kh").count().where("count > 1").select("kh")
+    # written, so that both sides of the join are plain exchanges and a skewed one can be split
+    often = materialize(every.groupBy("kh").count().where("count > 1").select("kh"), "often")
     shared = materialize(every.join(often, "kh"), "shared")
     # 2. equal intervals
     groups = materialize(shared.groupBy("kh", "uh").agg(
@@ -193,7 +194,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     touched = materialize(rows.join(keys, ["doc_id", "text_hash"]).select("rid", "text").dropDuplicates(["rid"]), "touched")
 
     # 3. blocks of what differs under one gram
-    several = groups.groupBy("kh").count().where("count > 1").select("kh")
+    several = materialize(groups.groupBy("kh").count().where("count > 1").select("kh"), "several")
     differ = groups.join(several, "kh", "left_semi").select("one.*", (F.col("n") == 1).alias("open"))
     own = differ.groupBy("rid").agg(F.collect_list(F.struct("at", "far", "near", "open")).alias("own"))
     cut = materialize(touched.join(own, "rid").mapInArrow(
@@ -205,7 +206,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "rid", (F.col("place") - F.col("most")).alias("first"), (F.col("place") - F.col("least")).alias("last"))
 
     # 4. strings of what differs beside one core
-    several = units.groupBy("core").count().where("count > 1").select("core")
+    several = materialize(units.groupBy("core").count().where("count > 1").select("core"), "cores")
     strings = (units.join(several, "core", "left_semi")
                .select("core", "l", "r", F.col("one.rid").alias("rid"), F.col("one.place").alias("place"),
                        (F.col("one.open") & (F.col("n") == 1)).alias("open"),
