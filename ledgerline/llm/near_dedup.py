@@ -238,6 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = nodes.select(F.explode("keys").alias("key"), "node", "n_words")
     buckets = (member.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("head"), F.count("*").alias("n"))
                .where("n > 1").select("key", F.col("head.node").alias("b"), F.col("head.n_words").alias("b_words")))
+    buckets = materialize(buckets, "buckets")  # so that both sides of the join are plain exchanges, and skew can be split
     pairs = (member.join(buckets, "key").where("node <> b")
              .where(F.least("n_words", "b_words") >= F.lit(least - 1e-9) * F.greatest("n_words", "b_words"))
              .select(F.col("node").alias("a"), "b").distinct())
@@ -263,6 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = sketched.groupBy("node").agg(F.count("*").alias("copies"))
     classes = (known.join(copies, "node").groupBy("root")
                .agg(F.min("first").alias("head"), F.sum("copies").alias("class_size")))
+    classes = materialize(classes, "classes")
     named = known.join(classes, "root").select("node", "n_links", "head", "class_size")
     return (sketched.select("doc_id", "text_hash", "node").join(named, "node")
             .select("doc_id", "text_hash",
