@@ -100,9 +100,9 @@ FROM h
 #: The quantised components are whole numbers, so sums of doubles are exact.
 OP7_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
-    AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
