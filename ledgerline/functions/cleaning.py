@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# All Unicode white space and separators (a class that Java and RE2 read alike).
+SPACE = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
+         r"\x{3000}]")
+
 # Text the host language's float() accepts as a finite number (digits may be
 # grouped by single underscores; surrounding whitespace allowed).
-FLOAT_TEXT = (r"^\s*[+-]?(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)"
-              r"(?:[eE][+-]?\d(?:_?\d)*)?\s*$")
+FLOAT_TEXT = (rf"^{SPACE}*" r"[+-]?(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)"
+              r"(?:[eE][+-]?\d(?:_?\d)*)?" rf"{SPACE}*$")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def clean_numeric(c: Column) -> Column:
@@ -51,6 +55,21 @@ FALLBACK_PATTERNS = [
     ("MMM d, yyyy", "%b %d, %Y", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
     ("MMMM d, yyyy", "%B %d, %Y", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"),
     ("d MMM yyyy", "%d %b %Y", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("d-MMM-yyyy", "%d-%b-%Y", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("MMM d yyyy", "%b %d %Y", r"^[A-Za-z]{3} \d{1,2} \d{4}$"),
+    ("MMMM d yyyy", "%B %d %Y", r"^[A-Za-z]{3,9} \d{1,2} \d{4}$"),
+    ("d MMMM yyyy", "%d %B %Y", r"^\d{1,2} [A-Za-z]{3,9} \d{4}$"),
+]
+# A time of day after a date: optional seconds, fraction, AM/PM and zone.  The
+# day is the one written, whatever the zone.
+TIME_TEXT = (r"[T ](?:[01]?\d|2[0-3]):[0-5]?\d(?::[0-5]?\d(?:\.\d{1,9})?)?(?: ?[AaPp][Mm])?"
+             r"(?: ?(?:[Zz]|UTC|GMT|[+-]\d{2}:?\d{2}))?")
+# Dates that may stand before one.
+TIMED_PATTERNS = [
+    ("yyyy-M-d", "%Y-%m-%d", r"\d{4}-\d{1,2}-\d{1,2}"),
+    ("yyyy/M/d", "%Y/%m/%d", r"\d{4}/\d{1,2}/\d{1,2}"),
+    ("M/d/yyyy", "%m/%d/%Y", r"\d{1,2}/\d{1,2}/\d{4}"),
+    ("d/M/yyyy", "%d/%m/%Y", r"\d{1,2}/\d{1,2}/\d{4}"),
 ]
 
 
@@ -64,6 +83,10 @@ def parse_date(c: Column) -> Column:
         if pattern == "M/d/yy":  # two-digit years 69..99 are 1969..1999
             d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
         tries.append(d)
+    for pattern, _, date in TIMED_PATTERNS:
+        guard = rf"^({date}){TIME_TEXT}$"
+        tries.append(F.when(s.rlike(guard), F.to_date(
+            F.try_to_timestamp(F.regexp_extract(s, guard, 1), F.lit(pattern)))))
     return F.coalesce(*tries)
 
 

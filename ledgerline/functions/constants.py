@@ -29,9 +29,6 @@ COLUMN_SYNONYMS = {
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-# Date formats tried in order (strptime spelling), before the free-form fallback.
-DATE_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y", "%m/%d/%Y %H:%M", "%m/%d/%y", "%d-%m-%Y", "%d/%m/%Y"]
-
 # Quality rules: key, severity, message (``{}`` = value), in report order.
 DQ_RULES = [
     ("missing_date", "Critical", "Transaction date is missing or unparseable."),

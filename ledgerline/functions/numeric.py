@@ -46,10 +46,6 @@ def frac(num: Column, den: Column, positive_only: bool = True, digits: int = 6)
     return F.round(ratio(num, den, positive_only), digits) + F.lit(0.0)
 
 
-def round2(c: Column) -> Column:
-    return F.round(c, 2) + F.lit(0.0)
-
-
 def attach_scalar(df, one_row):
     """Attach the columns of a global aggregate (an ``agg`` without grouping,
     hence exactly one row: a proven size bound) to every row of ``df``."""

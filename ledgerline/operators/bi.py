@@ -21,7 +21,6 @@ from ..functions.numeric import as_double, dec_sum, frac
 from .cohorts import client_monthly_revenue, months_between_labels
 from .star import DIMENSIONS
 
-CORE = ("total_revenue", "total_expenses", "net_profit", "profit_margin", "roi")
 CALENDAR_ATTRS = {
     "year": lambda d: F.year(d),
     "quarter": lambda d: F.quarter(d),

@@ -61,8 +61,8 @@ def _shape(df: DataFrame) -> DataFrame:
         F.col("cnt").cast("bigint").alias("invoice_count"),
         money("amount").alias("total_amount"),
         pct(F.col("cnt"), F.col("all_invoices")).alias("pct_conversion"),
-        "stage_num",
-    ).orderBy("stage_num").drop("stage_num")
+        "stage_num", "all_invoices",
+    ).where("all_invoices > 0").orderBy("stage_num").drop("stage_num", "all_invoices")  # no invoices, no rows
 
 
 def collection_summary(fact_inv: DataFrame) -> DataFrame:

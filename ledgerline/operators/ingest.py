@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_numeric, clean_text, parse_date, strip
@@ -101,13 +101,16 @@ def extended_dimensions(dims: dict[str, DataFrame], clean_df: DataFrame, merged:
 def new_transactions(fact_tx: DataFrame, clean_df: DataFrame, merged: DataFrame,
                      dims: dict[str, DataFrame]) -> DataFrame:
     """Fact rows appended for the merged batches: ids continue after the
-    current maximum, batch by batch, in row order (global positions from the
-    skew-safe position operator); names -> ids (left joins)."""
+    current maximum, batch by batch, in row order (rows of the batches before
+    plus the row's number in its own); names -> ids (left joins)."""
     start = fact_tx.agg(F.coalesce(F.max("transaction_id"), F.lit(0)).alias("max_id"))
-    rows = clean_df.join(merged.select("batch_id"), "batch_id", "left_semi")
-    rows = attach_scalar(with_row_positions(rows, ["batch_id", "row_num"], out="_pos"), start)
+    before = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per batch
+    sizes = (clean_df.groupBy("batch_id").agg(F.max("row_num").alias("_n"))
+             .join(merged.select("batch_id"), "batch_id", "left_semi")
+             .select("batch_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    rows = attach_scalar(clean_df.join(sizes, "batch_id"), start)
     out = rows.select(
-        (F.col("max_id") + F.col("_pos")).cast("bigint").alias("transaction_id"),
+        (F.col("max_id") + F.col("_before") + F.col("row_num")).cast("bigint").alias("transaction_id"),
         "date",
         F.col("revenue").cast(MONEY).alias("revenue"),
         F.col("expenses").cast(MONEY).alias("expenses"),
@@ -122,6 +125,14 @@ def new_transactions(fact_tx: DataFrame, clean_df: DataFrame, merged: DataFrame,
                       "category_id", "client_id", "batch_id")
 
 
+def stored_issues(verdict_df: DataFrame, issues_df: DataFrame, log_max: DataFrame) -> DataFrame:
+    """Every issue entry under the log id of its batch, as ``dq_issues`` is stored."""
+    ids = attach_scalar(with_row_positions(verdict_df.select("batch_id"), ["batch_id"], out="pos"), log_max).select(
+        "batch_id", (F.col("log_max") + F.col("pos")).cast("bigint").alias("log_id"))
+    return issues_df.join(ids, "batch_id").select(
+        F.col("log_id").alias("batch_id"), *[c for c in quality.ISSUE_COLUMNS if c != "batch_id"])
+
+
 def log_entries(verdict_df: DataFrame, issues_df: DataFrame, log_max: DataFrame,
                 submitted_at: str) -> DataFrame:
     """One ingestion-log row per audited batch, ids after the current log

@@ -57,7 +57,7 @@ def monthly_performance(fact_tx: DataFrame) -> DataFrame:
         money(F.sum("revenue").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .alias("running_total_revenue"),
         growth.alias("rev_growth_pct"),
-    )
+    ).orderBy("month")
 
 
 def _by_key(fact: DataFrame, key: str, cols: dict[str, str]) -> DataFrame:

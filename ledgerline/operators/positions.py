@@ -13,30 +13,27 @@ loss reads the same files.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 
 
 RANGE_BYTES = 64 * 1024 * 1024
-MAX_RANGES = 100_000
+
+
+_DERIVED = re.compile(r"\b(Join|Aggregate|Generate|Window|Expand|Union)\b")
 
 
 def _partition_count(df: DataFrame, requested: int | None) -> int:
-    """Key ranges sized by the data: one per ~64 MiB of the optimizer's size
-    estimate (no job runs to get it), so a 5-row dimension is one task and a
-    100 TB fact is ~10^5 bounded sorts; the shuffle-partition setting is the
-    fallback when no estimate exists."""
+    """Key ranges sized by the data: one per ~64 MiB of the files that ``df`` scans."""
     if requested:
         return requested
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no estimate available
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(MAX_RANGES, size // RANGE_BYTES + 1))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size // RANGE_BYTES + 1
 
 
 def with_row_positions(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
@@ -44,10 +41,12 @@ def with_row_positions(df: DataFrame, order_cols: Sequence[str], group_cols: Seq
     """Add ``out`` = position of the row inside its group, ordered by ``order_cols``.
 
     The order must be total, or ties must be rows that are otherwise
-    identical.  ``buckets``: number of key ranges (default: sized from the
-    optimizer's estimate of the input, see ``_partition_count``).
+    identical.  ``buckets``: number of key ranges (default: one per ~64 MiB of
+    the input, which is written first unless it is a plain scan).
     """
     spark = df.sparkSession
+    if not buckets and _DERIVED.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        df = materialize(df, "unsorted")  # an estimate of more than a scan may be far off
     keys = [*group_cols, *order_cols]
     path = scratch_path(spark, "sorted")
     (df.repartitionByRange(_partition_count(df, buckets), *keys).sortWithinPartitions(*keys)
@@ -71,7 +70,8 @@ def with_row_positions(df: DataFrame, order_cols: Sequence[str], group_cols: Seq
     )
     cond = [F.col("_lp_part") == F.col("_lp_opart"), F.col("_lp_chunk") == F.col("_lp_ochunk")] + [
         F.col(g).eqNullSafe(F.col(f"_lp_g{i}")) for i, g in enumerate(group_cols)]
-    joined = tagged.join(offsets, cond, "inner")
+    # read back, so its true size (a row for each file and group) is known when the join is planned
+    joined = tagged.join(materialize(offsets, "offsets"), cond, "inner")
     return (joined.withColumn(out, (F.col("_lp_before") + F.col("_lp_ri") - F.col("_lp_first") + 1).cast("bigint"))
             .drop("_lp_part", "_lp_chunk", "_lp_ri", "_lp_opart", "_lp_ochunk", "_lp_before", "_lp_first",
                   *[f"_lp_g{i}" for i in range(len(group_cols))]))

@@ -178,15 +178,13 @@ def issue_summary(iss: DataFrame) -> DataFrame:
 
 
 def issues_json(iss: DataFrame) -> DataFrame:
-    """Per batch: JSON text ``{"rule": {"count": n, "rows": [..first 10..]}, ...}``
-    with rules in report order (the full entry list stays in the issues table)."""
-    fr = _first_rows(iss)
+    """Per batch: JSON text ``{"rule": count, ...}`` with rules in report order;
+    the entries themselves are stored, all of them, as the ``dq_issues`` table."""
+    fr = rule_counts(iss)
     order = F.lit(0)
     for rule, i in RULE_ORDER.items():
         order = F.when(F.col("rule") == rule, F.lit(i)).otherwise(order)
-    text = F.concat(F.lit('"'), F.col("rule"), F.lit('": {"count": '), F.col("issue_count").cast("string"),
-                    F.lit(', "rows": ['), F.array_join(F.transform("rows", lambda r: r.cast("string")), ", "),
-                    F.lit("]}"))
+    text = F.concat(F.lit('"'), F.col("rule"), F.lit('": '), F.col("issue_count").cast("string"))
     per_batch = fr.select("batch_id", F.struct(order.alias("o"), text.alias("t")).alias("e")).groupBy("batch_id").agg(
         F.array_sort(F.collect_list("e")).alias("es"))  # <= 9 entries per batch
     return per_batch.select("batch_id", F.concat(

@@ -24,8 +24,13 @@ def _label(key: str) -> F.Column:
 
 
 def report_monthly_margin(fact_tx: DataFrame) -> DataFrame:
+    """The monthly report, see ``monthly_margin``."""
+    return monthly_margin(fact_tx).orderBy("g", "month").drop("g")
+
+
+def monthly_margin(fact_tx: DataFrame) -> DataFrame:
     """Per month (ascending): revenue, expenses, net, margin, running revenue;
-    plus the Total row (running total blank)."""
+    plus the Total row (running total blank), which ``g`` = 1 marks."""
     m = monthly_totals(fact_tx)
     r = m.rollup("month").agg(dec_sum("revenue").alias("revenue"), dec_sum("expenses").alias("expenses"),
                               F.grouping("month").alias("g"))
@@ -40,7 +45,7 @@ def report_monthly_margin(fact_tx: DataFrame) -> DataFrame:
         frac(net, F.col("revenue"), positive_only=False).alias("profit_margin"),
         F.when(F.col("g") == 0, as_double(run)).alias("running_total_revenue"),
         "g",
-    ).orderBy("g", "month").drop("g")
+    )
 
 
 def _member_ids(dim: DataFrame, id_col: str, name_col: str) -> DataFrame:
@@ -60,6 +65,12 @@ def _dim_driven(dim: DataFrame, id_col: str, name_col: str, facts: list[tuple[Da
 
 
 def report_budget_vs_actual(fact_tx: DataFrame, fact_budgets: DataFrame, dim_departments: DataFrame) -> DataFrame:
+    """The budget report, see ``budget_vs_actual``."""
+    return budget_vs_actual(fact_tx, fact_budgets, dim_departments).orderBy("g", "o").drop("g", "o")
+
+
+def budget_vs_actual(fact_tx: DataFrame, fact_budgets: DataFrame, dim_departments: DataFrame) -> DataFrame:
+    """Per department (order ``o``) and in total, which ``g`` = 1 marks: a member may itself be named Total."""
     per = _dim_driven(dim_departments, "dept_id", "dept_name", [
         (fact_tx, {"ar": "revenue", "ae": "expenses"}),
         (fact_budgets, {"br": "budgeted_revenue", "be": "budgeted_expenses"})])
@@ -74,7 +85,7 @@ def report_budget_vs_actual(fact_tx: DataFrame, fact_budgets: DataFrame, dim_dep
         as_double("be").alias("budget_expenses"),
         as_double(F.col("be") - F.col("ae")).alias("expense_variance"),
         "g", "o",
-    ).orderBy("g", "o").drop("g", "o")
+    )
 
 
 def _segment(fact_tx: DataFrame, dim: DataFrame, id_col: str, name_col: str, label: str) -> DataFrame:
@@ -102,7 +113,7 @@ def report_segment_product(fact_tx: DataFrame, dim_products: DataFrame) -> DataF
 
 def report_kpi_cards(monthly_margin: DataFrame) -> DataFrame:
     """The three cards read the grand-total row of the monthly report."""
-    t = monthly_margin.where(F.col("month") == TOTAL)
+    t = monthly_margin.where(F.col("g") == 1)
     return t.select(F.col("revenue").alias("total_revenue"), F.col("net_profit").alias("total_net_profit"),
                     F.col("profit_margin").alias("net_profit_margin"))
 
@@ -110,8 +121,8 @@ def report_kpi_cards(monthly_margin: DataFrame) -> DataFrame:
 def report_overview(monthly_margin: DataFrame, budget_vs_actual: DataFrame) -> DataFrame:
     """Actual vs target for revenue (actual - budget), expenses (budget -
     actual) and net profit (actual - budgeted profit)."""
-    m = monthly_margin.where(F.col("month") == TOTAL).select("revenue", "expenses", "net_profit")
-    b = budget_vs_actual.where(F.col("department") == TOTAL).select("budget_revenue", "budget_expenses")
+    m = monthly_margin.where(F.col("g") == 1).select("revenue", "expenses", "net_profit")
+    b = budget_vs_actual.where(F.col("g") == 1).select("budget_revenue", "budget_expenses")
     one = attach_scalar(m, b)  # the two grand-total rows
     rows = F.array(
         F.struct(F.lit(1).alias("o"), F.lit("Total Sales Revenue").alias("metric"),

@@ -28,14 +28,6 @@ DIMENSIONS = (
 )
 
 
-def build_dimension(names: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """Sorted distinct non-null names numbered 1..n (materialized)."""
-    distinct = names.where(F.col(name_col).isNotNull()).distinct()
-    numbered = with_row_positions(distinct, [name_col], out=id_col).select(
-        F.col(id_col).cast("int").alias(id_col), name_col)
-    return materialize(numbered)
-
-
 def dimensions(raw_tx: DataFrame, raw_budgets: DataFrame) -> dict[str, DataFrame]:
     """Departments and regions come from transactions and budgets (set union);
     products and categories from transactions only.

@@ -250,6 +250,22 @@ def _q_log_entry(f: Finance) -> DataFrame:
     return ingest.log_entries(f.upload_verdicts, f.upload_issues, log_max, fixtures.UPLOAD_SUBMITTED_AT)
 
 
+@query("ingestion_issues")
+def _q_ingestion_issues(f: Finance) -> DataFrame:
+    """Every issue entry of the audited uploads, written to a store and read back through its log."""
+    from ..session import scratch_path
+    from ..sources import tables
+
+    root = scratch_path(f.spark, "audit")
+    seed = ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT)
+    log_max = seed.agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("log_max"))
+    tables.write_table(seed, root, "ingestion_log")
+    tables.write_issues(ingest.stored_issues(f.upload_verdicts, f.upload_issues, log_max), root, 2)
+    entries = ingest.log_entries(f.upload_verdicts, f.upload_issues, log_max, fixtures.UPLOAD_SUBMITTED_AT)
+    tables.write_table(entries, root, "ingestion_log", mode="append")
+    return tables.read_table(f.spark, root, tables.ISSUES)
+
+
 @query("ingestion_log_listing")
 def _q_log_listing(f: Finance) -> DataFrame:
     """Seed row of the initial load plus one row per audited upload, renamed."""
@@ -290,14 +306,14 @@ def _q_report_product(f: Finance) -> DataFrame:
 
 @query("report_kpi_cards")
 def _q_report_cards(f: Finance) -> DataFrame:
-    return reports.report_kpi_cards(reports.report_monthly_margin(f.fact_transactions))
+    return reports.report_kpi_cards(reports.monthly_margin(f.fact_transactions))
 
 
 @query("report_overview")
 def _q_report_overview(f: Finance) -> DataFrame:
     return reports.report_overview(
-        reports.report_monthly_margin(f.fact_transactions),
-        reports.report_budget_vs_actual(f.fact_transactions, f.fact_budgets, f.dim_departments))
+        reports.monthly_margin(f.fact_transactions),
+        reports.budget_vs_actual(f.fact_transactions, f.fact_budgets, f.dim_departments))
 
 
 # ----------------------------------------------------------------------------
@@ -396,4 +412,4 @@ def _q_stream_ingest(f: Finance) -> DataFrame:
                           as_of=fixtures.UPLOAD_AS_OF, submitted_at=fixtures.UPLOAD_SUBMITTED_AT,
                           file_name_from_dir=True)
     q.awaitTermination()
-    return spark.read.parquet(tables.table_path(root, "fact_transactions")).where(F.col("segment") > 0).drop("segment")
+    return tables.committed(spark, root, tables.SEGMENTED).where(F.col("segment") > 0).drop("segment")

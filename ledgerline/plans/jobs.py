@@ -19,21 +19,6 @@ from ..session import materialize
 from ..sources import tables
 from ..sources.uploads import UploadRejected, read_upload
 
-_T = [0.0]
-
-
-def _trace(step: str) -> None:
-    """Step timings on stderr when LEDGERLINE_TRACE=1 (development aid)."""
-    import os
-    import sys
-    import time
-
-    if os.environ.get("LEDGERLINE_TRACE") == "1":
-        now = time.time()
-        print(f"[ledgerline] {step}: {now - _T[0]:.2f}s" if _T[0] else f"[ledgerline] {step}", file=sys.stderr)
-        _T[0] = now
-
-
 def init_load(spark: SparkSession, root: str, raw_tx: DataFrame, raw_budgets: DataFrame, raw_invoices: DataFrame,
               submitted_at: str | None = None, filename: str = "transactions.csv") -> star_ops.Star:
     """Build the star from the raw files and write it (replacing), with the seed log row."""
@@ -59,9 +44,7 @@ def apply_batches(spark: SparkSession, root: str, clean_df: DataFrame, as_of, su
     log row per batch (the commit marker).  Returns one result per batch."""
     issues_df, verdict_df = audit_batch(clean_df, as_of)
     issues_df = materialize(issues_df, "issues")  # read by the log JSON and the summary
-    _trace("issues")
     verdict_df = materialize(verdict_df, "verdicts")  # one row per batch
-    _trace("verdicts")
     log_max = (tables.read_table(spark, root, "ingestion_log").agg(F.max("batch_id")).first()[0] or 0)
     merged = ingest.merged_batches(verdict_df)
     db_error = None
@@ -70,18 +53,17 @@ def apply_batches(spark: SparkSession, root: str, clean_df: DataFrame, as_of, su
             ext = ingest.extended_dimensions(_dims(spark, root), clean_df, merged)
             added = ext.pop("_added")
             changed = {r["dim"] for r in added.groupBy("dim").count().collect()}  # <= 4 rows
-            _trace("dimensions")
             facts = materialize(ingest.new_transactions(tables.read_table(spark, root, "fact_transactions"),
                                                         clean_df, merged, ext).drop("batch_id"), "facts")
             for t, _, _, raw in star_ops.DIMENSIONS:
                 if raw in changed:  # only dimensions that gained members are rewritten
                     tables.replace_small_table(ext[t], root, t)
-            _trace("facts")
             tables.write_segment(facts, root, log_max + 1)
-            _trace("writes")
         except Exception as exc:  # noqa: BLE001 - a failed write rejects the merged batches
             db_error = f"Database write failure: {exc}"
     log_max_df = spark.createDataFrame([(log_max,)], "log_max bigint")
+    # before the log rows that make them visible
+    tables.write_issues(ingest.stored_issues(verdict_df, issues_df, log_max_df), root, log_max + 1)
     log_rows = ingest.log_entries(verdict_df, issues_df, log_max_df, submitted_at)
     if db_error is not None:
         failed = F.col("accepted_rows") > 0
@@ -94,7 +76,6 @@ def apply_batches(spark: SparkSession, root: str, clean_df: DataFrame, as_of, su
             F.when(failed, F.col("row_count")).otherwise(F.col("rejected_rows")).alias("rejected_rows"))
     log_rows = materialize(log_rows, "log")
     tables.write_table(log_rows, root, "ingestion_log", mode="append")
-    _trace("log")
     summaries: dict[int, dict] = {}
     for r in quality.issue_summary(issues_df).collect():  # <= 9 rows per batch
         summaries.setdefault(r["batch_id"], {})[r["rule"]] = {

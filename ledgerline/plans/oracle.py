@@ -179,7 +179,8 @@ FROM funnel c, funnel s WHERE c.stage_num = 1 AND s.stage_num = 5""", FUNNEL_CTE
 # ---------------------------------------------------------------------------
 # ingestion: mapping, cleaning, audit, verdict, merge, log
 # ---------------------------------------------------------------------------
-from ..functions.cleaning import DATE_PATTERNS, FALLBACK_PATTERNS, FLOAT_TEXT  # noqa: E402
+from ..functions.cleaning import (  # noqa: E402
+    DATE_PATTERNS, FALLBACK_PATTERNS, FLOAT_TEXT, SPACE, TIME_TEXT, TIMED_PATTERNS)  # noqa: E402
 from ..functions.constants import DQ_RULES, NULL_TOKENS  # noqa: E402
 from ..sources.fixtures import UPLOAD_AS_OF, UPLOAD_SUBMITTED_AT  # noqa: E402
 
@@ -191,7 +192,7 @@ def nt(x: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def clean_numeric(x: str) -> str:
@@ -207,6 +208,9 @@ def parse_date(x: str) -> str:
     s = strip(x)
     tries = ", ".join(f"CASE WHEN regexp_full_match({s}, '{guard}') THEN CAST(try_strptime({s}, '{fmt}') AS DATE) END"
                       for _, fmt, guard in DATE_PATTERNS + FALLBACK_PATTERNS)
+    tries += "".join(f", CASE WHEN regexp_full_match({s}, '({date}){TIME_TEXT}') THEN "
+                     f"CAST(try_strptime(regexp_extract({s}, '^({date})', 1), '{fmt}') AS DATE) END"
+                     for _, fmt, date in TIMED_PATTERNS)
     return f"coalesce({tries})"
 
 
@@ -311,13 +315,11 @@ issue_ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_id, rule ORDER
 issue_rules AS (
   SELECT batch_id, rule, severity, count(*) AS issue_count, arg_min(msg, row_num) AS first_msg,
     string_agg('Row ' || CAST(row_num AS VARCHAR), ', ' ORDER BY row_num) FILTER (WHERE rn <= 10) AS row_list,
-    string_agg(CAST(row_num AS VARCHAR), ', ' ORDER BY row_num) FILTER (WHERE rn <= 10) AS row_ids,
     CASE rule {_ORD} END AS ord
   FROM issue_ranked GROUP BY batch_id, rule, severity
 ),
 issues_json AS (
-  SELECT batch_id, '{{' || string_agg('"' || rule || '": {{"count": ' || CAST(issue_count AS VARCHAR)
-    || ', "rows": [' || row_ids || ']}}', ', ' ORDER BY ord) || '}}' AS issues_json
+  SELECT batch_id, '{{' || string_agg('"' || rule || '": ' || CAST(issue_count AS VARCHAR), ', ' ORDER BY ord) || '}}' AS issues_json
   FROM issue_rules GROUP BY batch_id
 )"""
 
@@ -381,6 +383,10 @@ SELECT CAST(1 + row_number() OVER (ORDER BY v.batch_id) AS BIGINT) AS batch_id,
   v.status, round(v.health_score * 100.0, 2) + 0.0 AS health_score, coalesce(j.issues_json, '{{}}') AS issues_json,
   v.accepted_rows, v.rejected_rows
 FROM verdicts v LEFT JOIN issues_json j ON v.batch_id = j.batch_id""", INGEST_CTES)
+sql("ingestion_issues", """
+SELECT CAST(1 + n.pos AS BIGINT) AS batch_id, i.row_num, i.rule, i.severity, i.amount, i.date, i.columns, i.msg
+FROM upload_issues i JOIN (SELECT batch_id, row_number() OVER (ORDER BY batch_id) AS pos FROM verdicts) n
+  ON i.batch_id = n.batch_id""", INGEST_CTES)
 sql("ingestion_log_listing", f"""
 SELECT batch_id AS "Batch ID", submitted_at AS "Timestamp", filename AS "Filename", row_count AS "Total Rows",
   status AS "Verdict Status", health_score AS "Health Score", issues_json AS "Issues",
@@ -407,12 +413,12 @@ MONTHLY_CTE = f"""
 mt AS (SELECT strftime(date, '%Y-%m') AS month, {dsum('revenue')} AS revenue, {dsum('expenses')} AS expenses
        FROM fact_transactions WHERE date IS NOT NULL GROUP BY 1),
 rmm AS (
-  SELECT month, {dbl('revenue')} AS revenue, {dbl('expenses')} AS expenses, {dbl('revenue - expenses')} AS net_profit,
+  SELECT 0 AS g, month, {dbl('revenue')} AS revenue, {dbl('expenses')} AS expenses, {dbl('revenue - expenses')} AS net_profit,
     {frac('revenue - expenses', 'revenue', False)} AS profit_margin,
     {dbl('sum(revenue) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS running_total_revenue
   FROM mt
   UNION ALL
-  SELECT 'Total', {dbl('sum(revenue)')}, {dbl('sum(expenses)')}, {dbl('sum(revenue) - sum(expenses)')},
+  SELECT 1, 'Total', {dbl('sum(revenue)')}, {dbl('sum(expenses)')}, {dbl('sum(revenue) - sum(expenses)')},
     {frac('sum(revenue) - sum(expenses)', 'sum(revenue)', False)}, NULL FROM mt
 ),
 bva_rows AS (
@@ -425,11 +431,11 @@ bva_rows AS (
         WHERE dept_name IS NOT NULL AND dept_name <> '' GROUP BY 1) d
 ),
 bva AS (
-  SELECT dept_name AS department, {dbl('ar')} AS actual_revenue, {dbl('br')} AS budget_revenue,
+  SELECT 0 AS g, dept_name AS department, {dbl('ar')} AS actual_revenue, {dbl('br')} AS budget_revenue,
     {dbl('ar - br')} AS revenue_variance, {dbl('ae')} AS actual_expenses, {dbl('be')} AS budget_expenses,
     {dbl('be - ae')} AS expense_variance FROM bva_rows
   UNION ALL
-  SELECT 'Total', {dbl('sum(ar)')}, {dbl('sum(br)')}, {dbl('sum(ar) - sum(br)')}, {dbl('sum(ae)')}, {dbl('sum(be)')},
+  SELECT 1, 'Total', {dbl('sum(ar)')}, {dbl('sum(br)')}, {dbl('sum(ar) - sum(br)')}, {dbl('sum(ae)')}, {dbl('sum(be)')},
     {dbl('sum(be) - sum(ae)')} FROM bva_rows
 )"""
 
@@ -449,8 +455,8 @@ SELECT 'Total', {dbl('sum(rev)')}, {dbl('sum(exp)')}, {dbl('sum(rev) - sum(exp)'
   {frac('sum(rev) - sum(exp)', 'sum(rev)', False)} FROM WITH_ROWS"""
 
 
-sql("report_monthly_margin", "SELECT * FROM rmm", MONTHLY_CTE)
-sql("report_budget_vs_actual", "SELECT * FROM bva", MONTHLY_CTE)
+sql("report_monthly_margin", "SELECT * EXCLUDE (g) FROM rmm", MONTHLY_CTE)
+sql("report_budget_vs_actual", "SELECT * EXCLUDE (g) FROM bva", MONTHLY_CTE)
 for _key, _args in (("report_segment_region", ("dim_regions", "region_id", "region_name", "region")),
                     ("report_segment_product", ("dim_products", "product_id", "product_name", "product_line"))):
     _body = _segment_sql(*_args)
@@ -459,19 +465,19 @@ for _key, _args in (("report_segment_region", ("dim_regions", "region_id", "regi
     _SQL[_key] = _SQL[_key].replace("FROM WITH_ROWS", "FROM seg_rows")
 sql("report_kpi_cards", """
 SELECT revenue AS total_revenue, net_profit AS total_net_profit, profit_margin AS net_profit_margin
-FROM rmm WHERE month = 'Total'""", MONTHLY_CTE)
+FROM rmm WHERE g = 1""", MONTHLY_CTE)
 sql("report_overview", """
 SELECT metric, round(current_value, 4) AS current_value, round(target_value, 4) AS target_value,
   round(variance, 4) AS variance FROM (
   SELECT 1 AS o, 'Total Sales Revenue' AS metric, m.revenue AS current_value, b.budget_revenue AS target_value,
-    m.revenue - b.budget_revenue AS variance FROM rmm m, bva b WHERE m.month = 'Total' AND b.department = 'Total'
+    m.revenue - b.budget_revenue AS variance FROM rmm m, bva b WHERE m.g = 1 AND b.g = 1
   UNION ALL
   SELECT 2, 'Operational Expenses', m.expenses, b.budget_expenses, b.budget_expenses - m.expenses
-    FROM rmm m, bva b WHERE m.month = 'Total' AND b.department = 'Total'
+    FROM rmm m, bva b WHERE m.g = 1 AND b.g = 1
   UNION ALL
   SELECT 3, 'Net Operating Profit', m.net_profit, b.budget_revenue - b.budget_expenses,
     m.net_profit - (b.budget_revenue - b.budget_expenses)
-    FROM rmm m, bva b WHERE m.month = 'Total' AND b.department = 'Total')""", MONTHLY_CTE)
+    FROM rmm m, bva b WHERE m.g = 1 AND b.g = 1)""", MONTHLY_CTE)
 
 # ---------------------------------------------------------------------------
 # BI measures

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.cleaning import strip
@@ -86,7 +85,9 @@ def read_invoices(spark: SparkSession, path: str | None) -> DataFrame:
         return spark.createDataFrame([], INVOICE_SCHEMA)
     try:
         t = _text(spark, path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], INVOICE_SCHEMA)
     return t.select(
         _col(t, "Invoice ID").alias("invoice_id"),
@@ -95,7 +96,3 @@ def read_invoices(spark: SparkSession, path: str | None) -> DataFrame:
         _money(_col(t, "Amount")).alias("amount"),
         _col(t, "Status").alias("status"),
     )
-
-
-def text_schema(headers: list[str]) -> StructType:
-    return StructType([StructField(h, StringType(), True) for h in headers])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from ..operators.star import Star
 STAR_TABLES = ("fact_transactions", "fact_budgets", "fact_invoices", "dim_departments", "dim_regions",
                "dim_products", "dim_expense_categories")
 SEGMENTED = "fact_transactions"
+#: Every issue of every audited upload, in segments like the fact.
+ISSUES = "dq_issues"
 
 
 def table_path(root: str, name: str) -> str:
@@ -28,25 +31,36 @@ def table_path(root: str, name: str) -> str:
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Load one stored table; a missing table raises AnalysisException."""
+    if name in (SEGMENTED, ISSUES):
+        return committed(spark, root, name).drop("segment")
+    return spark.read.parquet(table_path(root, name))
+
+
+def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A segmented table with its ``segment``: the initial load and the segments whose batch is logged."""
     df = spark.read.parquet(table_path(root, name))
-    if name != SEGMENTED:
-        return df
     try:
         logged = spark.read.parquet(table_path(root, "ingestion_log")).select(
             F.col("batch_id").alias("segment"))
-        committed = df.join(logged, "segment", "left_semi").unionByName(df.where(F.col("segment") == 0))
-    except Exception:  # noqa: BLE001 - no log yet: only the initial load is visible
-        committed = df.where(F.col("segment") == 0)
-    return committed.drop("segment")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return df.where(F.col("segment") == 0)  # no log yet: only the initial load is visible
+    return df.join(logged, "segment", "left_semi").unionByName(df.where(F.col("segment") == 0))
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(table_path(root, name))
 
 
-def write_segment(df: DataFrame, root: str, segment: int, name: str = SEGMENTED) -> None:
-    """Write (or re-write) one segment of a segmented table."""
-    df.write.mode("overwrite").parquet(f"{table_path(root, name)}/segment={int(segment)}")
+def write_segment(df: DataFrame, root: str, segment: int) -> None:
+    """Write (or re-write) one segment of the fact."""
+    df.write.mode("overwrite").parquet(f"{table_path(root, SEGMENTED)}/segment={int(segment)}")
+
+
+def write_issues(df: DataFrame, root: str, segment: int) -> None:
+    """Write (or re-write) the issue entries of the batches logged from ``segment`` on."""
+    df.write.mode("overwrite").parquet(f"{table_path(root, ISSUES)}/segment={int(segment)}")
 
 
 def write_star(star: Star, root: str, log: DataFrame | None = None) -> None:

@@ -18,7 +18,7 @@ def _one(spark, expr, value):
     (None, 0.0), ("", 0.0), ("  ", 0.0), ("$1,234.50", 1234.5), ("(500.00)", -500.0), ("$(500)", -500.0),
     ("-$5", -5.0), ("(-500.00)", 0.0), ("€5", 0.0), ("5%", 0.0), ("500-", 0.0), ("( 500 )", 0.0),
     ("1_000", 1000.0), ("1d", 0.0), ("1f", 0.0), (" 12 ", 12.0), ("1e3", 1000.0), ("inf", 0.0), ("nan", 0.0),
-    ("TBD", 0.0), ("-", 0.0), (".5", 0.5), ("5.", 5.0), ("()", 0.0),
+    ("TBD", 0.0), ("-", 0.0), ("\u00a0500.00", 500.0), ("$\u00a01,200\u3000", 1200.0), ("\u2007(7)\u202f", -7.0), (".5", 0.5), ("5.", 5.0), ("()", 0.0),
 ])
 def test_clean_numeric(spark, text, expected):
     assert _one(spark, clean_numeric, text) == expected
@@ -43,6 +43,19 @@ def test_clean_numeric(spark, text, expected):
     ("June 15, 2025", dt.date(2025, 6, 15)),
     ("15 Jun 2025", dt.date(2025, 6, 15)),
     ("  2025-06-15  ", dt.date(2025, 6, 15)),
+    ("\u00a02025-06-15\u3000", dt.date(2025, 6, 15)),
+    ("2025-06-15 10:30", dt.date(2025, 6, 15)),
+    ("2025-06-15T10:30:00Z", dt.date(2025, 6, 15)),
+    ("2025-06-15T23:30:00+02:00", dt.date(2025, 6, 15)),  # the day as written
+    ("2025-06-15 10:30:00.123", dt.date(2025, 6, 15)),
+    ("6/15/2025 10:30:45", dt.date(2025, 6, 15)),
+    ("6/15/2025 10:30 AM", dt.date(2025, 6, 15)),
+    ("15/6/2025 10:30:45", dt.date(2025, 6, 15)),
+    ("15-Jun-2025", dt.date(2025, 6, 15)),
+    ("June 15 2025", dt.date(2025, 6, 15)),
+    ("Jun 15 2025", dt.date(2025, 6, 15)),
+    ("15 June 2025", dt.date(2025, 6, 15)),
+    ("2025-06-15 25:30", None), ("2025-06-15 10:30 XM", None),
     ("2025-02-30", None), ("garbage", None), ("", None), (None, None), ("25-06-15", None),
 ])
 def test_parse_date(spark, text, expected):
