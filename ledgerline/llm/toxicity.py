@@ -200,119 +200,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(*([r.text for r in sample if r.toxic == k] for k in (1, 0)), n[1] / (n[0] + n[1]))
 
 
-def score(self, text: str) -> float:
-        x = np.dot(self.weights, self.features(self.gains(text.lower().encode()), self.gain))
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
-
-
-@functools.lru_cache(2)
-def _pair(toxic: bytes, ordinary: bytes):
-    return _compressor(toxic), _compressor(ordinary)
-
-
-def _residual(docs: list[bytes], compress) -> list[set[bytes]]:
-    """For each document, the words that the ordinary dictionary saves nothing on."""
-    empty, saves = len(compress(b"")), {}
-    out = []
-    for d in docs:
-        own = {b" " + w + b" " for w in d.replace(b",", b" ").replace(b".", b" ").split() if 3 < len(w) < 40}
-        for w in own:
-            if w not in saves:
-                saves[w] = len(w) - 1 > len(compress(w)) - empty
-        out.append({w for w in own if not saves[w]})
-    return out
-
-
-def _distinct(docs: list[set[bytes]]) -> list[set[bytes]]:
-    """Without the documents that share one of four minimum hashes with an earlier one: copies count once."""
-    known, out = set(), []
-    for d in docs:
-        own = {(k, min(zlib.crc32(w, k) for w in d)) for k in range(4)} if d else set()
-        if not own & known:
-            out.append(d)
-        known |= own
-    return out
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights of a logistic curve, by Newton steps; the first column, of ones, is not penalised."""
-    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
-    penalty[0, 0] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty,
-                               x.T @ (weight * (y - p)) - penalty @ w)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
-def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """A model from texts of both classes; ``share`` is the share of label 1 among the labelled rows.
-
-    Without texts of one of the classes every score is that share.
-    """
-    bad, good = ([t.lower().encode() for t in x] for x in (toxic, ordinary))
-    if not bad or not good:
-        share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(b"", b"", weights=(float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
-    part = [[d for i, d in enumerate(x) if len(x) < 12 or i % 3] for x in (bad, good)]
-    rest = [[d for i, d in enumerate(x) if len(x) < 12 or i % 3 == 0] for x in (bad, good)]
-    common = _trained(ORDINARY_BYTES, [w for d in part[1] for w in windows(d, 256, 256)])
-    compress = _compressor(common)
-    seen = [_distinct(_residual(x, compress)) for x in part]
-    in_bad, in_good = (Counter(w for d in x for w in d) for x in seen)
-    # what repeats over toxic documents, and hardly stands in ordinary ones
-    often = max(2, min(4, len(part[0]) // 50))
-    kept = {w for w, n in in_bad.items() if n >= often
-            and in_good[w] / len(seen[1]) < 0.03 * n / len(seen[0])}
-    # the trainer picks what repeats; what it leaves out of the rest follows, the most frequent last
-    lines = [b"".join(sorted(d & kept)) for d in seen[0] if d & kept]
-    words = sorted(kept, key=lambda w: (in_bad[w], w))
-    extra = (b"".join(words) if sum(map(len, words)) <= TOXIC_BYTES else _trained(TOXIC_BYTES, lines))
-    other = bytes(len(extra))  # of the same size, and matches no text
-    model = Model(common + extra, common + other)  # what both share lies at the same distances
-
-    labels = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
-    weight = np.where(labels == 1, share / len(rest[0]), (1 - share) / len(rest[1])) * len(labels)
-    gains = [model.gains(d) for x in rest for d in x]
-    best = None
-    for g in GAINS:
-        x = np.array([model.features(s, g) for s in gains])
-        w = logistic(x, labels, weight)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        loss = -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum()
-        if best is None or loss < best[0]:
-            best = loss, g, w
-    model.gain, model.weights = best[1], tuple(best[2])
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from the labelled documents that are not held out.
-
-    Null labels and ids teach nothing; an id with both labels counts as label 1.
-    """
-    known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
-             .where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id")
-             .agg(F.max("toxic").alias("toxic")))
-    rows = narrow(docs, id_col, text_col).join(known, "doc_id")
-    totals = {r.toxic: r for r in rows.groupBy("toxic").agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
-    share = {k: min(1.0, sample_docs / r.n, sample_bytes / max(1, r.size)) for k, r in totals.items()}
-    if not share:
-        return fit([], [], 0.0)
-    place = (F.xxhash64("doc_id") / F.lit(2.0 ** 64)) + 0.5
-    picked = F.lit(False)
-    for k, s in share.items():
-        picked = picked | ((F.col("toxic") == k) & (place <= s))
-    sample = sorted(rows.where(picked).collect())  # bounded by the sample's documents and bytes
-    n = {k: totals[k].n if k in totals else 0 for k in (0, 1)}
-    return fit(*([r.text for r in sample if r.toxic == k] for k in (1, 0)), n[1] / (n[0] + n[1]))
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted for every row; null and empty texts score as one empty window."""
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # two dictionaries of fixed size
