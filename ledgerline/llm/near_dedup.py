@@ -5,9 +5,12 @@ their occurrence, so a repeated one counts as often as it stands there.  Each
 sketch draws the two shingles that are least under its own hash and keeps them
 in text order; texts that agree in a sketch, or for strictness in two at once,
 meet in a bucket.  Each member of a bucket is aligned with the bucket's first
-member only: links grow with the members, not with their square.  A link
+member: links grow with the members, not with their square.  A link
 stands when the words' edit similarity, ``1 - distance / longer length``, is 0.8 or more;
-classes are the connected components of the links.
+classes are the connected components of the links.  Where a bucket's members are
+in several classes then, each is also aligned with the next few members by number
+of words that are in another one: the first member may be like neither of two
+that are like each other.
 
 Texts of equal words are one node from the start.  Sketches, links and
 components stay in tables; no bucket is gathered in one place.
@@ -22,10 +25,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialize, narrow, remove_rows, row_hash, texts
+from ledgerline.operators.positions import with_row_positions
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -34,6 +38,8 @@ SKETCHES = 12
 DRAWN = 2
 #: Least edit similarity of a link.
 SIMILARITY = 0.8
+#: Members that follow in a bucket of several classes, by number of words, and are aligned too.
+FOLLOWING = 4
 #: Words whose hashes a worker keeps.
 MAX_WORDS = 500_000
 
@@ -218,6 +224,36 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.distinct(), "small_star")
 
 
+def _alike_in_length(a: str, b: str, least: float) -> Column:
+    return F.least(a, b) >= F.lit(least - 1e-9) * F.greatest(a, b)
+
+
+def _align(pairs: DataFrame, text: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
+    told = (pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+            .join(text.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b"))
+    return materialize(told.mapInArrow(_aligned(least), "a binary, b binary"), "aligned")
+
+
+def _followers(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs of different classes that stand close by number of words in a bucket.
+
+    Places in one global order are joined on place, so a hot bucket is spread like any rows.
+    """
+    classed = met.join(roots, "node", "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("root"))
+    mixed = materialize(classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                        .where("lo <> hi").select("key"), "mixed")
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = with_row_positions(classed.join(mixed, "key", "left_semi"), ["key", "n_words", "node"], out="place",
+                                buckets=parts)
+    ahead = placed.select("key", "node", "n_words", "root", F.explode(F.sequence(
+        F.col("place") + 1, F.col("place") + FOLLOWING)).alias("place"))
+    other = placed.select("place", *[F.col(c).alias(f"o_{c}") for c in ("key", "node", "n_words", "root")])
+    return materialize(
+        ahead.join(other, "place").where("key = o_key and root <> o_root").where(_alike_in_length("n_words", "o_n_words", least))
+        .select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct(), "followers")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, class_id, class_size, n_links, kept.
@@ -239,24 +275,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = (member.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("head"), F.count("*").alias("n"))
                .where("n > 1").select("key", F.col("head.node").alias("b"), F.col("head.n_words").alias("b_words")))
     buckets = materialize(buckets, "buckets")  # so that both sides of the join are plain exchanges, and skew can be split
-    pairs = (member.join(buckets, "key").where("node <> b")
-             .where(F.least("n_words", "b_words") >= F.lit(least - 1e-9) * F.greatest("n_words", "b_words"))
-             .select(F.col("node").alias("a"), "b").distinct())
-    pairs = materialize(pairs, "pairs")
+    met = materialize(member.join(buckets, "key"), "met")
+    pairs = materialize(met.where("node <> b").where(_alike_in_length("n_words", "b_words", least))
+                        .select(F.col("node").alias("a"), "b").distinct(), "pairs")
 
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    places = nodes.join(wanted, "node").select("node", "first.*")
+    places = nodes.join(met.select("node").distinct(), "node").select("node", "first.*")
     text = materialize(
         rows.withColumn("id", last).join(places, ["id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text")),
-        "texts") if pairs.limit(1).count() else None
+        "texts") if not met.isEmpty() else None
     if text is None:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
         degree = nodes.select("node", F.lit(0).cast("long").alias("n_links")).limit(0)
     else:
-        told = (pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-                .join(text.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b"))
-        links = materialize(told.mapInArrow(_aligned(least), "a binary, b binary"), "aligned")
+        links = _align(pairs, text, least)
         roots = materialize(components(links), "components")
+        more = _align(_followers(met, roots, least), text, least)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+            roots = materialize(components(tied), "components")
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     known = (nodes.join(roots, "node", "left").join(degree, "node", "left")
