@@ -19,7 +19,6 @@ import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-os.environ.setdefault("LEDGERLINE_REUSE_STAR", "0")  # measure the initial load, never a published one
 
 from ledgerline.plans.catalog import queries  # noqa: E402
 from ledgerline.plans.context import Finance  # noqa: E402

@@ -133,13 +133,28 @@ def stored_issues(verdict_df: DataFrame, issues_df: DataFrame, log_max: DataFram
         F.col("log_id").alias("batch_id"), *[c for c in quality.ISSUE_COLUMNS if c != "batch_id"])
 
 
+def unstorable(clean_df: DataFrame) -> DataFrame:
+    """Batches (batch_id) with an amount that the fact can't hold."""
+    too_large = [F.col(c).isNotNull() & F.col(c).try_cast(MONEY).isNull() for c in ("revenue", "expenses")]
+    return clean_df.where(too_large[0] | too_large[1]).select("batch_id").distinct()
+
+
 def log_entries(verdict_df: DataFrame, issues_df: DataFrame, log_max: DataFrame,
-                submitted_at: str) -> DataFrame:
+                submitted_at: str, failed: DataFrame | None = None) -> DataFrame:
     """One ingestion-log row per audited batch, ids after the current log
-    maximum in batch order; health in percent (2 decimals)."""
+    maximum in batch order; health in percent (2 decimals).  Batches in
+    ``failed`` (batch_id, db_error) were not written: Rejected, with the error."""
     ij = quality.issues_json(issues_df)
-    numbered = with_row_positions(verdict_df, ["batch_id"], out="pos")
-    return (attach_scalar(numbered.join(ij, "batch_id", "left"), log_max)
+    rows = with_row_positions(verdict_df, ["batch_id"], out="pos").join(ij, "batch_id", "left")
+    if failed is not None:
+        bad = F.col("db_error").isNotNull()
+        rows = rows.join(failed, "batch_id", "left").withColumns({
+            "status": F.when(bad, F.lit("Rejected")).otherwise(F.col("status")),
+            "issues_json": F.when(bad, F.to_json(F.create_map(F.lit("db_error"), F.array("db_error"))))
+            .otherwise(F.col("issues_json")),
+            "accepted_rows": F.when(bad, F.lit(0).cast("bigint")).otherwise(F.col("accepted_rows")),
+            "rejected_rows": F.when(bad, F.col("row_count").cast("bigint")).otherwise(F.col("rejected_rows"))})
+    return (attach_scalar(rows, log_max)
             .select(
                 (F.col("log_max") + F.col("pos")).cast("bigint").alias("batch_id"),
                 F.lit(submitted_at).cast("timestamp_ntz").alias("submitted_at"),

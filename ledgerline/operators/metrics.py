@@ -2,8 +2,8 @@
 
 Every query aggregates the fact first (partial + final hash aggregate, so
 the shuffle carries one row per key per map task) and only then joins the
-dimension for names.  Windows run over the aggregated rows (months,
-products), never over fact rows.  Null group keys are dropped, as the
+dimension for names.  Windows run over the months only; totals are one-row
+aggregates attached to every row.  Null group keys are dropped, as the
 original group-bys do.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_double, dec_sum, money, pct, ratio
+from ..functions.numeric import as_double, attach_scalar, dec_sum, money, pct, ratio
 
 
 def kpis(fact_tx: DataFrame, fact_budgets: DataFrame) -> DataFrame:
@@ -100,24 +100,23 @@ def regional_profitability(fact_tx: DataFrame, dim_regions: DataFrame) -> DataFr
 def product_profitability(fact_tx: DataFrame, dim_products: DataFrame) -> DataFrame:
     """Adds each product's share of the total profit (total over products)."""
     agg = _by_key(fact_tx, "product_id", {"revenue": "revenue", "expenses": "expenses"})
-    named = agg.join(dim_products, "product_id", "left").withColumn("net", F.col("revenue") - F.col("expenses"))
-    total = F.sum("net").over(Window.partitionBy())  # over the per-product rows
+    agg = agg.withColumn("net", F.col("revenue") - F.col("expenses"))
+    named = attach_scalar(agg.join(dim_products, "product_id", "left"), agg.agg(F.sum("net").alias("total")))
     return named.select(
         F.col("product_name").alias("product_line"),
         money("revenue").alias("revenue"),
         money("expenses").alias("expenses"),
         money("net").alias("net_profit"),
         pct(F.col("net"), F.col("revenue")).alias("profit_margin_pct"),
-        pct(F.col("net"), total, positive_only=False).alias("profit_contribution_pct"),
+        pct(F.col("net"), F.col("total"), positive_only=False).alias("profit_contribution_pct"),
     ).orderBy(F.desc("net_profit"), "product_line")
 
 
 def expenses_by_category(fact_tx: DataFrame, dim_categories: DataFrame) -> DataFrame:
     agg = _by_key(fact_tx, "category_id", {"expenses": "expenses"})
-    named = agg.join(dim_categories, "category_id", "left")
-    total = F.sum("expenses").over(Window.partitionBy())
+    named = attach_scalar(agg.join(dim_categories, "category_id", "left"), agg.agg(F.sum("expenses").alias("total")))
     return named.select(
         F.col("category_name").alias("category"),
         money("expenses").alias("expenses"),
-        pct(F.col("expenses"), total).alias("expense_share_pct"),
+        pct(F.col("expenses"), F.col("total")).alias("expense_share_pct"),
     ).orderBy(F.desc("expenses"), "category")

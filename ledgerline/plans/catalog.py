@@ -390,8 +390,8 @@ def _q_bi_clean(f: Finance) -> DataFrame:
 
 @query("stream_ingest")
 def _q_stream_ingest(f: Finance) -> DataFrame:
-    """The upload batches written as CSV files (one folder per upload), drained
-    by the file stream into a copy of the stored star; returns the fact rows
+    """The upload batches written as CSV files (one folder per upload) and
+    announced, drained by the file stream into a copy of the stored star; returns the fact rows
     the stream appended (same rows as ``merge_transactions``)."""
     from ..session import scratch_path
     from ..sources import tables
@@ -399,17 +399,19 @@ def _q_stream_ingest(f: Finance) -> DataFrame:
 
     spark = f.spark
     base = scratch_path(spark, "stream")
-    root, inbox, ckpt = f"{base}/store", f"{base}/inbox", f"{base}/checkpoint"
+    root, inbox, ready, ckpt = f"{base}/store", f"{base}/inbox", f"{base}/ready", f"{base}/checkpoint"
     tables.write_star(f.star, root)
-    tables.write_table(ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT), root, "ingestion_log")
+    tables.write_log(ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT), root)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["filename", "event_id", "copy"]
     (f.raw_upload.repartitionByRange(n, *order).sortWithinPartitions(*order)
      .drop("batch_id", "event_id", "copy")
      .write.partitionBy("filename").option("header", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(inbox))
-    q = start_file_ingest(spark, f"{inbox}/*/*.csv", root, ckpt, list(fixtures.UPLOAD_HEADERS),
+    (f.raw_upload.select(F.concat(F.lit(f"{inbox}/filename="), "filename").alias("value")).distinct()
+     .coalesce(1).write.text(ready))  # a line for each upload
+    q = start_file_ingest(spark, ready, root, ckpt, list(fixtures.UPLOAD_HEADERS),
                           as_of=fixtures.UPLOAD_AS_OF, submitted_at=fixtures.UPLOAD_SUBMITTED_AT,
-                          file_name_from_dir=True)
+                          max_files_per_trigger=1, announced=True)
     q.awaitTermination()
     return tables.committed(spark, root, tables.SEGMENTED).where(F.col("segment") > 0).drop("segment")

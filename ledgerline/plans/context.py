@@ -9,14 +9,12 @@ plan from those tables to its result.
 
 from __future__ import annotations
 
-import hashlib
-import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import star as star_ops
-from ..session import checkpoint_dir, scratch_path
+from ..session import scratch_path
 from ..sources import fixtures, tables
 
 
@@ -66,45 +64,12 @@ class Finance:
 
     @cached_property
     def star(self) -> star_ops.Star:
-        """Initial load once, then every query reads the stored Parquet tables
-        (column pruning and filter pushdown at the scan).
-
-        The load is published in the shared checkpoint folder under a key of
-        the input files (size, mtime) and this package's source, so a later
-        session over the same inputs and code reads it instead of reloading
-        (``LEDGERLINE_REUSE_STAR=0`` forces a fresh load, as the bench does).
-        """
-        reuse = os.environ.get("LEDGERLINE_REUSE_STAR", "1") != "0"
-        marker = f"{checkpoint_dir(self.spark).rstrip('/')}/ledgerline-star-ready-{self._load_key()}"
-        if reuse:
-            try:
-                root = self.spark.read.parquet(marker).first()["root"]
-                return tables.read_star(self.spark, root)
-            except Exception:  # noqa: BLE001 - nothing published yet
-                pass
+        """Initial load once per session, then every query reads the stored Parquet
+        tables (column pruning and filter pushdown at the scan)."""
         root = scratch_path(self.spark, "star")
         tables.write_star(self.build_star(), root)
-        self.spark.createDataFrame([(root,)], "root string").coalesce(1).write.mode("overwrite").parquet(marker)
         return tables.read_star(self.spark, root)
 
-    def _load_key(self) -> str:
-        """Inputs (name, size, mtime) + package source -> short hash."""
-        h = hashlib.sha1(self.sf_dir.encode())
-        for name in ("lineitem", "orders", "customer", "nation", "region", "part"):
-            path = f"{self.sf_dir.rstrip('/')}/{name}.parquet"
-            try:
-                st = os.stat(path)
-                h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-            except OSError:
-                h.update(f"{name}:?".encode())
-        pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        for dirpath, _, files in sorted(os.walk(pkg)):
-            for fn in sorted(files):
-                if fn.endswith(".py"):
-                    with open(os.path.join(dirpath, fn), "rb") as fh:
-                        h.update(fh.read())
-        return h.hexdigest()[:16]
-
     @property
     def fact_transactions(self) -> DataFrame:
         return self.star.fact_transactions

@@ -8,7 +8,6 @@ one-row verdict (and the <= 9-row issue summary for the caller).
 from __future__ import annotations
 
 import datetime as _dt
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ def init_load(spark: SparkSession, root: str, raw_tx: DataFrame, raw_budgets: Da
     star = star_ops.build_star(raw_tx, raw_budgets, raw_invoices)
     tables.write_star(star, root)
     stored = tables.read_star(spark, root)
-    tables.write_table(ingest.initial_log(stored.fact_transactions, submitted_at, filename), root, "ingestion_log")
+    tables.write_log(ingest.initial_log(stored.fact_transactions, submitted_at, filename), root)
     return stored
 
 
@@ -38,59 +37,41 @@ def audit_batch(clean_df: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     return quality.issues(clean_df, as_of), ingest.verdicts(clean_df, as_of)
 
 
-def apply_batches(spark: SparkSession, root: str, clean_df: DataFrame, as_of, submitted_at: str) -> list[dict]:
+def apply_batches(spark: SparkSession, root: str, clean_df: DataFrame, as_of, submitted_at: str,
+                  commit_key: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Audit, merge and log a set of cleaned batches (``batch_id`` 1..k, in
-    arrival order).  Writes: extended dimensions, one fact segment, then one
-    log row per batch (the commit marker).  Returns one result per batch."""
+    arrival order).  Writes: extended dimensions, one fact segment, the issues,
+    then one log row per batch (the commit marker).  A batch that can't be
+    stored is rejected alone.  Returns (log rows, verdicts, issues)."""
     issues_df, verdict_df = audit_batch(clean_df, as_of)
     issues_df = materialize(issues_df, "issues")  # read by the log JSON and the summary
     verdict_df = materialize(verdict_df, "verdicts")  # one row per batch
-    log_max = (tables.read_table(spark, root, "ingestion_log").agg(F.max("batch_id")).first()[0] or 0)
-    merged = ingest.merged_batches(verdict_df)
-    db_error = None
-    if merged.limit(1).count() > 0:
+    log_max = (tables.read_table(spark, root, tables.LOG).agg(F.max("batch_id")).first()[0] or 0)
+    segment = log_max + 1
+    passed = ingest.merged_batches(verdict_df)
+    failed = materialize(passed.join(ingest.unstorable(clean_df), "batch_id", "left_semi").select(
+        "batch_id", F.lit("Database write failure: an amount is too large to store").alias("db_error")), "failed")
+    merged = passed.join(failed, "batch_id", "left_anti")
+    if not merged.isEmpty():
         try:
             ext = ingest.extended_dimensions(_dims(spark, root), clean_df, merged)
             added = ext.pop("_added")
-            changed = {r["dim"] for r in added.groupBy("dim").count().collect()}  # <= 4 rows
+            changed = {r["dim"] for r in added.select("dim").distinct().collect()}  # <= 4 rows
             facts = materialize(ingest.new_transactions(tables.read_table(spark, root, "fact_transactions"),
                                                         clean_df, merged, ext).drop("batch_id"), "facts")
             for t, _, _, raw in star_ops.DIMENSIONS:
                 if raw in changed:  # only dimensions that gained members are rewritten
                     tables.replace_small_table(ext[t], root, t)
-            tables.write_segment(facts, root, log_max + 1)
-        except Exception as exc:  # noqa: BLE001 - a failed write rejects the merged batches
-            db_error = f"Database write failure: {exc}"
+            tables.write_segment(facts, root, segment)
+        except Exception as exc:  # noqa: BLE001 - a failed write rejects the merged batches; no log row names the segment
+            failed = failed.unionByName(merged.select(
+                "batch_id", F.lit(f"Database write failure: {exc}").alias("db_error")))
     log_max_df = spark.createDataFrame([(log_max,)], "log_max bigint")
     # before the log rows that make them visible
-    tables.write_issues(ingest.stored_issues(verdict_df, issues_df, log_max_df), root, log_max + 1)
-    log_rows = ingest.log_entries(verdict_df, issues_df, log_max_df, submitted_at)
-    if db_error is not None:
-        failed = F.col("accepted_rows") > 0
-        log_rows = log_rows.select(
-            "batch_id", "submitted_at", "filename", "row_count",
-            F.when(failed, F.lit("Rejected")).otherwise(F.col("status")).alias("status"), "health_score",
-            F.when(failed, F.lit(json.dumps({"db_error": [db_error]}))).otherwise(F.col("issues_json"))
-            .alias("issues_json"),
-            F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("accepted_rows")).alias("accepted_rows"),
-            F.when(failed, F.col("row_count")).otherwise(F.col("rejected_rows")).alias("rejected_rows"))
-    log_rows = materialize(log_rows, "log")
-    tables.write_table(log_rows, root, "ingestion_log", mode="append")
-    summaries: dict[int, dict] = {}
-    for r in quality.issue_summary(issues_df).collect():  # <= 9 rows per batch
-        summaries.setdefault(r["batch_id"], {})[r["rule"]] = {
-            "severity": r["severity"], "count": r["issue_count"], "first_msg": r["first_msg"],
-            "affected": r["affected"]}
-    out = []
-    logged = {r["filename"]: r for r in log_rows.collect()}  # one row per batch
-    for v in verdict_df.orderBy("batch_id").collect():
-        lr = logged[v["filename"]]
-        out.append({"success": lr["accepted_rows"] > 0 or lr["status"] == "Needs Review",
-                    "status": lr["status"], "health_score": float(v["health_score"]),
-                    "row_count": int(v["row_count"]), "accepted_rows": int(lr["accepted_rows"]),
-                    "rejected_rows": int(lr["rejected_rows"]), "issues": summaries.get(v["batch_id"], {}),
-                    "batch_id": int(lr["batch_id"]), "filename": v["filename"]})
-    return out
+    tables.write_issues(ingest.stored_issues(verdict_df, issues_df, log_max_df), root, segment)
+    log_rows = materialize(ingest.log_entries(verdict_df, issues_df, log_max_df, submitted_at, failed), "log")
+    tables.write_log(log_rows, root, mode="append", segment=segment, commit_key=commit_key)
+    return log_rows, verdict_df, issues_df
 
 
 def ingest_file(spark: SparkSession, path: str, root: str, as_of: _dt.date | str | None = None,
@@ -105,4 +86,13 @@ def ingest_file(spark: SparkSession, path: str, root: str, as_of: _dt.date | str
     except UploadRejected as exc:
         return {"success": False, "msg": str(exc), "status": "Rejected"}
     clean_df = materialize(ingest.clean(ingest.mapped(raw)), "batch")
-    return apply_batches(spark, root, clean_df, as_of, submitted_at)[0]
+    log_rows, verdict_df, issues_df = apply_batches(spark, root, clean_df, as_of, submitted_at)
+    logged, verdict = log_rows.first(), verdict_df.first()  # one batch, one row
+    summary = {r["rule"]: {"severity": r["severity"], "count": r["issue_count"], "first_msg": r["first_msg"],
+                           "affected": r["affected"]}
+               for r in quality.issue_summary(issues_df).collect()}  # <= 9 rows
+    return {"success": logged["accepted_rows"] > 0 or logged["status"] == "Needs Review",
+            "status": logged["status"], "health_score": float(verdict["health_score"]),
+            "row_count": int(verdict["row_count"]), "accepted_rows": int(logged["accepted_rows"]),
+            "rejected_rows": int(logged["rejected_rows"]), "issues": summary,
+            "batch_id": int(logged["batch_id"]), "filename": logged["filename"]}

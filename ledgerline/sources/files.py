@@ -3,7 +3,8 @@
 Every file is read with an all-text schema and cast explicitly, so results
 never depend on type inference; the reader's missing-value tokens are
 normalised to NULL first.  The invoices file is optional: when absent the
-load gets an empty table with the right schema.
+load gets an empty table with the right schema.  An amount that is not a
+number, or too large to store, stops the load; a missing or blank one is NULL.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.cleaning import strip
+from ..functions.cleaning import parse_date, strip
 from ..functions.headers import null_tokens
 from ..functions.numeric import MONEY
 
@@ -40,11 +41,10 @@ def _col(df: DataFrame, name: str) -> F.Column:
 
 
 def _money(c: F.Column) -> F.Column:
-    return strip(c).try_cast(MONEY)
-
-
-def _date(c: F.Column) -> F.Column:
-    return F.to_date(F.try_to_timestamp(strip(c), F.lit("yyyy-M-d")))
+    text = F.nullif(strip(c), F.lit(""))
+    value = text.try_cast(MONEY)
+    refused = F.raise_error(F.concat(F.lit("Not an amount that can be stored: "), text)).cast(MONEY)
+    return F.when(text.isNotNull() & value.isNull(), refused).otherwise(value)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +52,7 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     client_id (NULL when the file has no client column)."""
     t = _text(spark, path)
     return t.select(
-        _date(_col(t, "Date")).alias("date"),
+        parse_date(_col(t, "Date")).alias("date"),
         _money(_col(t, "Revenue")).alias("revenue"),
         _money(_col(t, "Expenses")).alias("expenses"),
         _col(t, "Department").alias("department"),
@@ -92,7 +92,7 @@ def read_invoices(spark: SparkSession, path: str | None) -> DataFrame:
     return t.select(
         _col(t, "Invoice ID").alias("invoice_id"),
         _col(t, "Client ID").alias("client_id"),
-        _date(_col(t, "Issue Date")).alias("issue_date"),
+        parse_date(_col(t, "Issue Date")).alias("issue_date"),
         _money(_col(t, "Amount")).alias("amount"),
         _col(t, "Status").alias("status"),
     )

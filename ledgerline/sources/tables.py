@@ -5,7 +5,9 @@ is stored in segments (``segment=0`` from the initial load, ``segment=<log
 batch id>`` per merged upload); a segment is written with overwrite, so a
 replayed batch replaces its own rows instead of duplicating them.  Writes
 go dimensions -> fact segment -> log row; readers only see fact segments
-whose batch is logged, so a half-written batch stays invisible.
+that a log row names, so a half-written or failed batch stays invisible.  The
+log row also carries the key of the stream epoch that wrote it, so it is the
+one commit marker of both.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ STAR_TABLES = ("fact_transactions", "fact_budgets", "fact_invoices", "dim_depart
 SEGMENTED = "fact_transactions"
 #: Every issue of every audited upload, in segments like the fact.
 ISSUES = "dq_issues"
+LOG = "ingestion_log"
 
 
 def table_path(root: str, name: str) -> str:
@@ -33,19 +36,22 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Load one stored table; a missing table raises AnalysisException."""
     if name in (SEGMENTED, ISSUES):
         return committed(spark, root, name).drop("segment")
+    if name == LOG:
+        return spark.read.parquet(table_path(root, name)).drop("commit_key", "segment")
     return spark.read.parquet(table_path(root, name))
 
 
 def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A segmented table with its ``segment``: the initial load and the segments whose batch is logged."""
+    """A segmented table with its ``segment``: the initial load and the segments that the log names."""
     df = spark.read.parquet(table_path(root, name))
     try:
-        logged = spark.read.parquet(table_path(root, "ingestion_log")).select(
-            F.col("batch_id").alias("segment"))
+        log = spark.read.parquet(table_path(root, LOG))
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return df.where(F.col("segment") == 0)  # no log yet: only the initial load is visible
+    # issues lie under the first log id of their run, facts where a log row of merged rows says
+    logged = log.select(F.col("batch_id" if name == ISSUES else "segment").alias("segment"))
     return df.join(logged, "segment", "left_semi").unionByName(df.where(F.col("segment") == 0))
 
 
@@ -53,6 +59,20 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
     df.write.mode(mode).parquet(table_path(root, name))
 
 
+def write_log(rows: DataFrame, root: str, mode: str = "overwrite", segment: int | None = None,
+              commit_key: str | None = None) -> None:
+    """Write log rows, one per batch, as one file: all of a run are logged or none."""
+    rows = rows.withColumns({
+        "segment": F.when(F.col("accepted_rows") > 0, F.lit(segment)).cast("bigint"),
+        "commit_key": F.lit(commit_key).cast("string")})
+    write_table(rows.coalesce(1), root, LOG, mode)
+
+
+def is_logged(spark: SparkSession, root: str, commit_key: str) -> bool:
+    """Whether the run of ``commit_key`` is in the log."""
+    return not spark.read.parquet(table_path(root, LOG)).where(F.col("commit_key") == commit_key).isEmpty()
+
+
 def write_segment(df: DataFrame, root: str, segment: int) -> None:
     """Write (or re-write) one segment of the fact."""
     df.write.mode("overwrite").parquet(f"{table_path(root, SEGMENTED)}/segment={int(segment)}")
@@ -63,15 +83,13 @@ def write_issues(df: DataFrame, root: str, segment: int) -> None:
     df.write.mode("overwrite").parquet(f"{table_path(root, ISSUES)}/segment={int(segment)}")
 
 
-def write_star(star: Star, root: str, log: DataFrame | None = None) -> None:
-    """Initial load: dimensions, then facts, then the seed log row."""
+def write_star(star: Star, root: str) -> None:
+    """Initial load: dimensions, then facts."""
     tables = star.tables()
     for name in ("dim_departments", "dim_regions", "dim_products", "dim_expense_categories",
                  "fact_budgets", "fact_invoices"):
         write_table(tables[name], root, name)
     write_segment(tables[SEGMENTED], root, 0)
-    if log is not None:
-        write_table(log, root, "ingestion_log")
 
 
 def read_star(spark: SparkSession, root: str) -> Star:

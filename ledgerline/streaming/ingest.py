@@ -1,11 +1,14 @@
 """Incremental ingestion as a file stream (T1).
 
-``readStream`` over a folder of CSV uploads, ``foreachBatch`` running the
-same multi-batch transforms as the batch job: every file of a micro-batch is
-one upload batch (numbered by file path), audited in parallel and merged in
-order.  Writes are replay-safe: the fact segment of a micro-batch is keyed
-by the next log id (a replay overwrites it), and an epoch marker in the
-stream's checkpoint folder skips epochs already committed.
+``readStream`` over a folder, ``foreachBatch`` running the same multi-batch
+transforms as the batch job: every upload of a micro-batch is one batch
+(numbered by path), audited in parallel and merged in order.  An upload is a
+CSV file, or a folder of CSV files announced once it is complete; the trigger's
+file limit counts uploads or announcements and never splits one.
+
+Writes are replay-safe: the log row of a batch carries the epoch that wrote
+it, a replayed epoch that is in the log is skipped, and one that is not
+overwrites its own fact segment.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from ..operators import ingest
 from ..operators.positions import with_row_positions
 from ..plans.jobs import apply_batches
 from ..session import materialize
+from ..sources import tables
 
 
 def upload_schema(columns: list[str]) -> StructType:
@@ -28,55 +32,64 @@ def upload_schema(columns: list[str]) -> StructType:
     return StructType([StructField(c, StringType(), True) for c in columns])
 
 
-def _epoch_done(spark: SparkSession, marker: str) -> bool:
-    try:
-        spark.read.parquet(marker)
-        return True
-    except Exception:  # noqa: BLE001 - no marker: not committed yet
-        return False
+def announced_rows(batch_df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of the upload folders that a micro-batch announces, a path in each line."""
+    spark = batch_df.sparkSession
+    lines = batch_df.select(F.trim("value").alias("path")).where("path <> ''").distinct()
+    folders = [r["path"] for r in lines.collect()]  # one for each upload of a micro-batch
+    rows = spark.read.schema(upload_schema(columns)).option("header", True).csv(folders)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    name = F.regexp_replace(F.element_at(F.split(folder, "/"), -1), "^[^=]*=", "")
+    return rows.select("*", folder.alias("_u_key"), name.alias("_u_name"), F.col("_metadata.file_path").alias("_u_file"),
+                       F.col("_metadata.file_block_start").alias("_u_block"))
 
 
-def process_micro_batch(spark: SparkSession, batch_df: DataFrame, root: str, as_of, submitted_at: str) -> list[dict]:
-    """One micro-batch: files -> batches 1..k by path, rows in file order.
+def process_micro_batch(spark: SparkSession, batch_df: DataFrame, root: str, as_of, submitted_at: str,
+                        commit_key: str | None = None) -> None:
+    """One micro-batch: uploads -> batches 1..k by path (the name is only a label), rows in file order.
 
     The batch is written once with its in-split positions, so every later
     job reads the same rows and positions (no re-read of the source files)."""
     tagged = materialize(batch_df.withColumn("_u_pos", F.monotonically_increasing_id()), "micro_batch")
-    files = tagged.select("_u_name").distinct()
-    batch_of = with_row_positions(files, ["_u_name"], out="batch_id")
-    raw = (tagged.join(batch_of, "_u_name")
+    if tagged.isEmpty():
+        return
+    batch_of = with_row_positions(tagged.select("_u_key").distinct(), ["_u_key"], out="batch_id")
+    raw = (tagged.join(batch_of, "_u_key")
            .select(F.col("batch_id").cast("int").alias("batch_id"), F.col("_u_name").alias("filename"),
                    *[c for c in batch_df.columns if not c.startswith("_u_")],
                    "_u_file", "_u_block", "_u_pos"))
     numbered = ingest.number_rows(raw, ["_u_file", "_u_block", "_u_pos"])
     clean_df = materialize(ingest.clean(ingest.mapped(numbered)), "batch")
-    return apply_batches(spark, root, clean_df, as_of, submitted_at)
+    apply_batches(spark, root, clean_df, as_of, submitted_at, commit_key)
 
 
 def start_file_ingest(spark: SparkSession, input_dir: str, root: str, checkpoint_location: str,
                       columns: list[str], as_of=None, submitted_at: str | None = None,
                       max_files_per_trigger: int = 1000, available_now: bool = True,
-                      file_name_from_dir: bool = False) -> StreamingQuery:
+                      announced: bool = False) -> StreamingQuery:
     """Start the stream; with ``available_now`` it drains the folder and stops.
 
-    ``file_name_from_dir``: uploads written as ``<dir>/<upload name>/part-*.csv``
-    take the upload name from their folder instead of the file.
+    Each CSV file in ``input_dir`` is one upload.  With ``announced``, the
+    folder holds text files instead, whose lines are the paths of upload
+    folders; write one after the last file of its uploads.
     """
     as_of = as_of or _dt.date.today()
-    src = (spark.readStream.schema(upload_schema(columns)).option("header", True)
-           .option("maxFilesPerTrigger", max_files_per_trigger).csv(input_dir))
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    name = (F.regexp_replace(folder, "^[^=]*=", "") if file_name_from_dir else F.col("_metadata.file_name"))
-    src = src.select("*", name.alias("_u_name"), F.col("_metadata.file_path").alias("_u_file"),
-                     F.col("_metadata.file_block_start").alias("_u_block"))
+    src = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+    if announced:
+        src = src.text(input_dir)
+    else:
+        path = F.col("_metadata.file_path")
+        src = src.schema(upload_schema(columns)).option("header", True).csv(input_dir).select(
+            "*", path.alias("_u_key"), F.col("_metadata.file_name").alias("_u_name"), path.alias("_u_file"),
+            F.col("_metadata.file_block_start").alias("_u_block"))
 
     def each(batch_df: DataFrame, epoch_id: int) -> None:
-        marker = f"{checkpoint_location.rstrip('/')}/ledgerline_commits/epoch={epoch_id}"
-        if _epoch_done(spark, marker) or batch_df.isEmpty():
+        key = f"{checkpoint_location.rstrip('/')}#{epoch_id}"
+        if batch_df.isEmpty() or tables.is_logged(spark, root, key):
             return
         stamp = submitted_at or _dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
-        process_micro_batch(spark, batch_df, root, as_of, stamp)
-        spark.createDataFrame([(epoch_id,)], "epoch bigint").write.mode("overwrite").parquet(marker)
+        rows = announced_rows(batch_df, columns) if announced else batch_df
+        process_micro_batch(spark, rows, root, as_of, stamp, key)
 
     writer = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -1,5 +1,9 @@
 """Initial load from raw CSV files (S1-S3, S6): dims, ids, defaults."""
 
+import datetime as dt
+
+import pytest
+
 from ledgerline.plans.jobs import init_load
 from ledgerline.session import scratch_path
 from ledgerline.sources import files, tables
@@ -44,3 +48,18 @@ def test_init_load_from_files(spark, tmp_path):
     assert star.fact_invoices.count() == 0
     log = tables.read_table(spark, root, "ingestion_log").collect()
     assert len(log) == 1 and log[0]["batch_id"] == 1 and log[0]["row_count"] == 4
+
+
+def test_amounts_that_cannot_be_stored_stop_the_load(spark, tmp_path):
+    for bad in ("12x", "100000000000000.00", "1e20"):
+        path = tmp_path / f"{bad}.csv"
+        path.write_text(f"Date,Revenue,Expenses\n2025-01-03,{bad},1.00\n")
+        with pytest.raises(Exception, match="Not an amount that can be stored"):
+            files.read_transactions(spark, str(path)).collect()
+
+
+def test_dates_with_a_time(spark, tmp_path):
+    (tmp_path / "tx.csv").write_text("Date,Revenue,Expenses\n2025-01-05 00:00:00,1.00,\n2025-1-6,  ,2.00\nsoon,1,1\n")
+    rows = files.read_transactions(spark, str(tmp_path / "tx.csv")).orderBy("_src_pos").collect()
+    assert [r["date"] for r in rows] == [dt.date(2025, 1, 5), dt.date(2025, 1, 6), None]
+    assert rows[1]["revenue"] is None and float(rows[0]["revenue"]) == 1.0

@@ -1,34 +1,84 @@
-"""File-stream ingestion: batches in one micro-batch, replay safety."""
+"""File-stream ingestion: one upload is one audit, once."""
+
+import pytest
 
 from ledgerline.plans.jobs import init_load
 from ledgerline.session import scratch_path
-from ledgerline.sources import fixtures, tables
-from ledgerline.streaming.ingest import start_file_ingest
+from ledgerline.sources import files, tables
+from ledgerline.streaming import ingest as stream
 
 HEADER = "Date,Revenue,Expenses,Department,Region,Product Line,Expense Category,Client ID\n"
 GOOD = HEADER + "2025-06-15,100.00,10.00,Sales,North,Widgets,Rent,C1\n2025-06-16,200.00,20.00,Ops,South,Widgets,Rent,C2\n"
 BAD = HEADER + ",100.00,10.00,Sales,North,Widgets,Rent,C1\n,,,Sales,,Widgets,Rent,\n"
+BIG = HEADER + "2025-06-15,1000000000000000.00,10.00,Sales,North,Widgets,Rent,C1\n"
+COLUMNS = HEADER.strip().split(",")
 
 
-def test_stream_ingest_and_replay(spark, sf_dir, tmp_path):
+@pytest.fixture
+def store(spark, tmp_path):
+    """A store of two transactions."""
+    (tmp_path / "tx.csv").write_text(GOOD)
+    (tmp_path / "budgets.csv").write_text("Month,Department,Region,Budgeted Revenue,Budgeted Expenses\n")
     root = scratch_path(spark, "test-stream")
-    init_load(spark, root, fixtures.raw_transactions(spark, sf_dir), fixtures.raw_budgets(spark, sf_dir),
-              fixtures.raw_invoices(spark, sf_dir), submitted_at="2025-01-01 00:00:00")
-    before = tables.read_table(spark, root, "fact_transactions").count()
-    inbox = tmp_path / "inbox"
-    inbox.mkdir()
-    (inbox / "a_good.csv").write_text(GOOD)
-    (inbox / "b_bad.csv").write_text(BAD)
-    ckpt = scratch_path(spark, "test-stream-ckpt")
-    cols = HEADER.strip().split(",")
-    for _ in range(2):  # the second run replays nothing: same checkpoint, no new files
-        start_file_ingest(spark, str(inbox), root, ckpt, cols, as_of="2025-12-31",
-                          submitted_at="2025-12-31 00:00:00").awaitTermination()
+    init_load(spark, root, files.read_transactions(spark, str(tmp_path / "tx.csv")),
+              files.read_budgets(spark, str(tmp_path / "budgets.csv")), files.read_invoices(spark, None),
+              submitted_at="2025-01-01 00:00:00")
+    return root
+
+
+def drain(spark, folder, root, ckpt, **options):
+    stream.start_file_ingest(spark, str(folder), root, ckpt, COLUMNS, as_of="2025-12-31",
+                             submitted_at="2025-12-31 00:00:00", **options).awaitTermination()
+
+
+def logged(spark, root):
     log = tables.read_table(spark, root, "ingestion_log").orderBy("batch_id").collect()
-    assert [(r["filename"], r["status"]) for r in log[1:]] == [("a_good.csv", "Accepted"), ("b_bad.csv", "Rejected")]
-    fact = tables.read_table(spark, root, "fact_transactions")
-    assert fact.count() == before + 2
-    new = fact.where(f"transaction_id > {before}").orderBy("transaction_id").collect()
+    return [(r["filename"], r["row_count"], r["status"]) for r in log[1:]]
+
+
+def test_ingest_and_restart(spark, store, tmp_path):
+    inbox, ckpt = tmp_path / "inbox", scratch_path(spark, "test-stream-ckpt")
+    for folder, text in (("a", GOOD), ("b", BAD), ("c", BIG)):  # one name, three uploads
+        (inbox / folder).mkdir(parents=True)
+        (inbox / folder / "data.csv").write_text(text)
+    for _ in range(2):  # the second run has no new files
+        drain(spark, inbox / "*", store, ckpt)
+    # the oversized amount rejects its own upload only
+    assert logged(spark, store) == [("data.csv", 2, "Accepted"), ("data.csv", 2, "Rejected"), ("data.csv", 1, "Rejected")]
+    fact = tables.read_table(spark, store, "fact_transactions")
+    assert fact.count() == 4
+    new = fact.where("transaction_id > 2").orderBy("transaction_id").collect()
     assert [float(r["revenue"]) for r in new] == [100.0, 200.0]
-    depts = {r["dept_name"] for r in tables.read_table(spark, root, "dim_departments").collect()}
-    assert {"Sales", "Ops"} <= depts
+    last = tables.read_table(spark, store, "ingestion_log").orderBy("batch_id").collect()[-1]
+    assert "db_error" in last["issues_json"]
+
+
+def test_folder_upload_is_not_split(spark, store, tmp_path):
+    upload, ready = tmp_path / "x.csv", tmp_path / "ready"
+    upload.mkdir()
+    ready.mkdir()
+    (upload / "part-0.csv").write_text(GOOD)
+    (upload / "part-1.csv").write_text(BAD)
+    (ready / "1.txt").write_text(f"{upload}\n")
+    drain(spark, ready, store, scratch_path(spark, "test-stream-ckpt"), max_files_per_trigger=1, announced=True)
+    assert logged(spark, store) == [("x.csv", 4, "Needs Review")]
+    assert tables.read_table(spark, store, "fact_transactions").count() == 6
+
+
+def test_failure_after_the_log_append(spark, store, tmp_path, monkeypatch):
+    inbox, ckpt = tmp_path / "inbox", scratch_path(spark, "test-stream-ckpt")
+    inbox.mkdir()
+    (inbox / "a.csv").write_text(GOOD)
+    write_log = tables.write_log
+
+    def fails(*args, **kwargs):
+        write_log(*args, **kwargs)
+        raise OSError("connection lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "write_log", fails)
+        with pytest.raises(Exception):
+            drain(spark, inbox, store, ckpt)
+    drain(spark, inbox, store, ckpt)  # the epoch is replayed
+    assert logged(spark, store) == [("a.csv", 2, "Accepted")]
+    assert tables.read_table(spark, store, "fact_transactions").count() == 4
