@@ -18,7 +18,6 @@ components stay in tables; no bucket is gathered in one place.
 
 from __future__ import annotations
 
-import functools
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -40,7 +39,7 @@ DRAWN = 2
 SIMILARITY = 0.8
 #: Members that follow in a bucket of several classes, by number of words, and are aligned too.
 FOLLOWING = 4
-#: Words whose hashes a worker keeps.
+#: Words whose hashes a task keeps.
 MAX_WORDS = 500_000
 
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch", seed=i) for i in range(SKETCHES)], "u8")
@@ -55,14 +54,9 @@ class _Words(dict):
         return h
 
 
-@functools.cache
-def _hashes() -> _Words:
-    return _Words()
-
-
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str, known: _Words) -> np.ndarray:
     words = text.lower().split()
-    return np.fromiter(map(_hashes().__getitem__, words), "u8", len(words))
+    return np.fromiter(map(known.__getitem__, words), "u8", len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,8 +113,9 @@ def bucket_keys(sketches: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Words()  # gone with the task: workers live on and have later stages' tables to hold
     for part, values in texts(batches):
-        words = [word_hashes(t) for t in values]
+        words = [word_hashes(t, known) for t in values]
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), part.column("text_hash"),
              pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in words], pa.binary()),
