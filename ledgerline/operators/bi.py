@@ -48,10 +48,18 @@ def flat(fact_tx: DataFrame, dims: dict[str, DataFrame], attrs: Sequence[str] =
     return out
 
 
-def measures(fact_tx: DataFrame, dims: dict[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:
-    """Total Revenue, Total Expenses, Net Profit, Profit Margin %, ROI % under ``by``."""
-    df = flat(fact_tx, dims, by)
-    agg = df.groupBy(*by).agg(dec_sum("revenue").alias("rev"), dec_sum("expenses").alias("exp"))
+def measures(fact_tx: DataFrame, dims: dict[str, DataFrame], by: Sequence[str] = (),
+             where: Column | None = None) -> DataFrame:
+    """Total Revenue, Total Expenses, Net Profit, Profit Margin %, ROI % under ``by``.
+
+    ``where``: a condition on the fact's columns (a slicer), pushed to its scan.
+    The fact is summed by id first; names are looked up for the sums."""
+    rows = fact_tx if where is None else fact_tx.where(where)
+    ids = [id_col for _, id_col, _, raw_col in DIMENSIONS if raw_col in by]
+    times = [a for a in by if a in CALENDAR_ATTRS]
+    sums = flat(rows, dims, times).groupBy(*ids, *times).agg(F.sum("revenue").alias("rev"), F.sum("expenses").alias("exp"))
+    named = flat(sums, dims, [a for a in by if a not in CALENDAR_ATTRS])
+    agg = named.groupBy(*by).agg(dec_sum("rev").alias("rev"), dec_sum("exp").alias("exp"))
     net = F.col("rev") - F.col("exp")
     return agg.select(*by, as_double("rev").alias("total_revenue"), as_double("exp").alias("total_expenses"),
                       as_double(net).alias("net_profit"), divide(net, F.col("rev")).alias("profit_margin"),

@@ -349,6 +349,13 @@ def _q_bi_core_product(f: Finance) -> DataFrame:
     return bi.measures(f.fact_transactions, _dims(f), by=["product_line"])
 
 
+@query("bi_core_measures_filtered")
+def _q_bi_core_filtered(f: Finance) -> DataFrame:
+    """The measures by region over the dates of one year."""
+    year = F.col("date").between(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"))
+    return bi.measures(f.fact_transactions, _dims(f), by=["region"], where=year)
+
+
 @query("bi_variance_measures")
 def _q_bi_variance(f: Finance) -> DataFrame:
     return bi.variance_measures(f.fact_transactions, f.fact_budgets, _dims(f), by=["department"])

@@ -506,6 +506,12 @@ sql("bi_core_measures_by_product", _q.replace("SELECT p.product_name AS product_
 _q = _core("month", "", "strftime(t.date, '%Y-%m')")
 sql("bi_core_measures_by_month", _q.replace("SELECT strftime(t.date, '%Y-%m') AS month, " + dbl("rev"),
                                             "SELECT month, " + dbl("rev"), 1))
+sql("bi_core_measures_filtered", f"""
+SELECT region, {dbl('rev')} AS total_revenue, {dbl('exp')} AS total_expenses, {dbl('rev - exp')} AS net_profit,
+  {frac('rev - exp', 'rev', False)} AS profit_margin, {frac('rev - exp', 'exp', False)} AS roi
+FROM (SELECT g.region_name AS region, {dsum('t.revenue')} AS rev, {dsum('t.expenses')} AS exp
+      FROM fact_transactions t LEFT JOIN dim_regions g ON t.region_id = g.region_id
+      WHERE year(t.date) = 1996 GROUP BY 1)""")
 sql("bi_variance_measures", f"""
 SELECT coalesce(a.department, b.department) AS department, {dbl('coalesce(a.rev, 0)')} AS total_revenue,
   {dbl('coalesce(b.brev, 0)')} AS budget_revenue, {dbl('coalesce(a.rev, 0) - coalesce(b.brev, 0)')} AS revenue_variance,

@@ -46,3 +46,12 @@ def test_growth_first_month_zero_and_zero_previous_null(spark):
                                 (3, dt.date(2025, 3, 5), _d(15), _d(1), 1, 1, 1, 1, "")], TX)
     g = {r["month"]: r["rev_growth_pct"] for r in metrics.monthly_performance(tx).collect()}
     assert g == {"2025-01": 0.0, "2025-02": None, "2025-03": 50.0}
+
+
+def test_measures_push_their_filter_and_sum_by_id_first(spark, sf_dir):
+    from ledgerline.plans.catalog import queries
+
+    plan = queries()["bi_core_measures_filtered"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date,1996-01-01)" in plan and "LessThanOrEqual(date,1996-12-31)" in plan
+    top = queries()["product_profitability"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in top
