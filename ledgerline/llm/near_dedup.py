@@ -10,7 +10,10 @@ stands when the words' edit similarity, ``1 - distance / longer length``, is 0.8
 classes are the connected components of the links.  Where a bucket's members are
 in several classes then, each is also aligned with the next few members by number
 of words that are in another one: the first member may be like neither of two
-that are like each other.
+that are like each other.  In what is in several classes even then, all members
+of different classes are compared, in blocks that are spread like any rows: by
+the bags of their words first, which never tell alike texts apart, then by
+alignment.  So no two texts that share a sketch and are similar stay in two classes.
 
 Texts of equal words are one node from the start.  Sketches, links and
 components stay in tables; no bucket is gathered in one place.
@@ -39,6 +42,9 @@ DRAWN = 2
 SIMILARITY = 0.8
 #: Members that follow in a bucket of several classes, by number of words, and are aligned too.
 FOLLOWING = 4
+#: Members of a bucket in a block, and bins of a bag of words.
+BLOCK = 128
+BINS = 512
 #: Words whose hashes a task keeps.
 MAX_WORDS = 500_000
 
@@ -107,9 +113,9 @@ def sketch(words: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(sketches: np.ndarray) -> np.ndarray:
-    """A key for each sketch, and for each with the next."""
+    """A key for each sketch, even, and for each with the next, odd: buckets of these lie within those of the even."""
     both = _mix(sketches * np.uint64(3) + np.roll(sketches, 1))
-    return np.concatenate([sketches, both]).astype("i8")
+    return np.concatenate([sketches & ~np.uint64(1), both | np.uint64(1)]).astype("i8")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +255,115 @@ def _followers(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
         .select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct(), "followers")
 
 
+def _tied(links: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components with ``more`` links."""
+    if more.isEmpty():
+        return links, roots
+    tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    return links.unionByName(more), materialize(components(tied), "components")
+
+
+def bag(words: np.ndarray) -> np.ndarray:
+    """How many words fall in each bin, up to 255."""
+    return np.minimum(np.bincount((words % np.uint64(BINS)).astype("i8"), minlength=BINS), 255).astype("u1")
+
+
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Words()
+    for part, values in texts(batches):
+        yield pa.RecordBatch.from_arrays(
+            [part.column("node"), pa.array([bag(word_hashes(t, known)).tobytes() for t in values], pa.binary())],
+            names=["node", "bag"])
+
+
+def _blocks(met: DataFrame, roots: DataFrame, text: DataFrame) -> DataFrame | None:
+    """The members of buckets of several classes by number of words, ``BLOCK`` of them in a row.
+
+    A bucket of two has been aligned with its first member, and buckets of two
+    sketches lie within those of one.
+    """
+    single = met.where(F.col("key").bitwiseAND(F.lit(1)) == 0)
+    classed = single.join(roots, "node", "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("root"))
+    mixed = materialize(classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+                        .where("lo <> hi and n > 2").select("key"), "mixed")
+    if mixed.isEmpty():
+        return None
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(with_row_positions(classed.join(mixed, "key", "left_semi"), ["key", "n_words", "node"], out="place",
+                                            buckets=parts), "placed")
+    bags = materialize(text.join(placed.select("node").distinct(), "node", "left_semi")
+                       .mapInArrow(_bagged, "node binary, bag binary"), "bags")
+    rows = placed.join(bags, "node").groupBy("key", F.floor(F.col("place") / BLOCK).alias("block")).agg(
+        F.min("n_words").alias("lo"), F.max("n_words").alias("hi"),
+        F.collect_list(F.struct("node", "root", "n_words", "bag")).alias("x"))  # at most BLOCK
+    return materialize(rows, "blocks")
+
+
+def _members(column: pa.ListArray, i: int):
+    node, root, n, bags = column.slice(i, 1).flatten().flatten()
+    bags = np.frombuffer(b"".join(bags.to_pylist()), "u1").reshape(-1, BINS)
+    return node.to_pylist(), root.to_pylist(), n.to_numpy(), bags, bags.sum(axis=1, dtype="i8")
+
+
+def _compared(least: float, closest: bool):
+    def pairs(x, y) -> Iterator[tuple[bytes, bytes]]:
+        number: dict = {}
+        x_class, y_class = (np.array([number.setdefault(r, len(number)) for r in m[1]]) for m in (x, y))
+        best: dict = {}
+        for p, (n, own, total) in enumerate(zip(*x[2:])):
+            longer = np.maximum(n, y[2])
+            maybe = (y_class != x_class[p]) & (np.minimum(n, y[2]) >= (least - 1e-9) * longer)
+            if x is y:
+                maybe[:p + 1] = False
+            at = np.flatnonzero(maybe)
+            if not len(at):
+                continue
+            # what either has beyond the other must each be edited
+            other = y[3][at]
+            lacks = (np.maximum(own, other) - other).sum(axis=1, dtype="i8")
+            lacks = np.maximum(lacks, lacks + y[4][at] - total)
+            near = lacks <= ((1 - least) * longer[at] + 1e-9).astype("i8")
+            for q, d in zip(at[near], lacks[near]):
+                found = d, max(x[0][p], y[0][q]), min(x[0][p], y[0][q])
+                if closest:
+                    classes = frozenset((x_class[p], y_class[q]))
+                    best[classes] = min(best.get(classes, found), found)
+                else:
+                    yield found[1:]
+        yield from (found[1:] for found in best.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            for i in range(batch.num_rows):
+                one = _members(x, i)
+                found = list(pairs(one, _members(y, i) if y[i].is_valid else one))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["a", "b"])
+
+    return run
+
+
+def _between(blocks: DataFrame, least: float, closest: bool) -> DataFrame:
+    """The pairs of members of different classes that their lengths and bags of words let be similar.
+
+    With ``closest``, of two blocks and two classes only the pair whose bags differ least.
+    """
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = blocks.select("key", "block", "lo", "hi")
+    two = materialize(
+        ends.select("key", F.col("block").alias("i"), "hi")
+        .join(ends.select("key", F.col("block").alias("j"), F.col("lo").alias("next_lo")), "key")
+        .where((F.col("i") < F.col("j")) & (F.col("hi") >= F.lit(least - 1e-9) * F.col("next_lo")))
+        .select("key", "i", "j"), "block_pairs")
+    x = blocks.select("key", F.col("block").alias("i"), "x")
+    y = blocks.select("key", F.col("block").alias("j"), F.col("x").alias("y"))
+    apart = two.repartition(parts, "key", "i", "j").join(x, ["key", "i"]).join(y, ["key", "j"]).select("x", "y")
+    within = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+    found = [d.mapInArrow(_compared(least, closest), "a binary, b binary") for d in (within, apart)]
+    return materialize(found[0].unionByName(found[1]).distinct(), "between")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, class_id, class_size, n_links, kept.
@@ -284,11 +399,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         links = _align(pairs, text, least)
         roots = materialize(components(links), "components")
-        more = _align(_followers(met, roots, least), text, least)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-            roots = materialize(components(tied), "components")
+        following = _followers(met, roots, least)
+        more = _align(following, text, least)
+        links, roots = _tied(links, roots, more)
+        tried, blocks = pairs.unionByName(following), None
+        for closest in (True, False):  # the second time whatever is left
+            blocks = blocks or _blocks(met, roots, text)
+            if not blocks:
+                break
+            found = _between(blocks, least, closest)
+            if found.isEmpty():
+                break
+            more = _align(found.join(tried, ["a", "b"], "left_anti"), text, least)
+            if not more.isEmpty():
+                links, roots = _tied(links, roots, more)
+                blocks = None
+            tried = tried.unionByName(found)
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     known = (nodes.join(roots, "node", "left").join(degree, "node", "left")

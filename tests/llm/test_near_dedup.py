@@ -73,6 +73,35 @@ def test_first_member_unlike_two_others(spark):
     assert near_dedup._followers(met.where("node <> b"), roots, 0.8).isEmpty()
 
 
+def test_bags_never_tell_alike_texts_apart():
+    rng = random.Random(8)
+    known = near_dedup._Words()
+    for _ in range(300):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(5, 700))]
+        other = edited(rng, words, rng.randint(0, len(words) // 4))
+        a, b = (near_dedup.bag(near_dedup.word_hashes(" ".join(w), known)).astype(int) for w in (words, other))
+        if other and near_dedup.similar(words, other):
+            d = a - b
+            assert max(d[d > 0].sum(), -d[d < 0].sum()) <= int(0.2 * max(len(words), len(other)) + 1e-9)
+
+
+def test_shared_passage_hides_no_pair(spark):
+    """Unlike texts of one length that share a passage; their near copies stand anywhere in the passage's buckets."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(78)]
+    rows, want = [], {}
+    for g in range(400):
+        own = [f"g{g}w{i}" for i in range(22)]
+        for c in range(2 if g % 4 == 0 else 1):
+            i = len(rows)
+            # an edit in each run of five own words: the copies only share shingles of the passage
+            rows.append((i, " ".join(passage + [f"g{g}c{c}e{n}" if c and n % 4 == 0 else w for n, w in enumerate(own)])))
+            want[i] = i - c
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rng.shuffle(rows)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs):
     got = near_dedup.near_duplicates(edge_docs).collect()
     assert len(got) == len(edge_rows)
