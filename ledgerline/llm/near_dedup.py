@@ -3,7 +3,8 @@
 A text is its lower-cased words.  Its shingles of five words are labelled with
 their occurrence, so a repeated one counts as often as it stands there.  Each
 sketch draws the two shingles that are least under its own hash and keeps them
-in text order; texts that agree in a sketch, or for strictness in two at once,
+in text order, and further sketches do so with shingles of three words, of which
+scattered edits leave more; texts that agree in a sketch, or for strictness in two at once,
 meet in a bucket.  Each member of a bucket is aligned with the bucket's first
 member: links grow with the members, not with their square.  A link
 stands when the words' edit similarity, ``1 - distance / longer length``, is 0.8 or more;
@@ -35,8 +36,10 @@ from ledgerline.operators.positions import with_row_positions
 
 #: Words in a shingle.
 SHINGLE = 5
-#: Sketches of a text, and shingles in a sketch.
+SHORT = 3
+#: Sketches of a text, those of its short shingles, and shingles in a sketch.
 SKETCHES = 12
+SHORT_SKETCHES = 24
 DRAWN = 2
 #: Least edit similarity of a link.
 SIMILARITY = 0.8
@@ -48,7 +51,7 @@ BINS = 512
 #: Words whose hashes a task keeps.
 MAX_WORDS = 500_000
 
-_SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch", seed=i) for i in range(SKETCHES)], "u8")
+_SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch", seed=i) for i in range(SKETCHES + SHORT_SKETCHES)], "u8")
 _SKETCHED = "doc_id long, text_hash long, node binary, n_words int, keys array<long>"
 
 
@@ -98,23 +101,28 @@ def sketch(words: np.ndarray) -> np.ndarray:
     """The sketches of a text, each hashed with its number; a text without words has the same as another."""
     if not len(words):
         return _mix(_SEEDS)
-    h = shingles(words)
+    return np.concatenate([_drawn(shingles(words), _SEEDS[:SKETCHES]),
+                           _drawn(shingles(words, SHORT), _SEEDS[SKETCHES:])])
+
+
+def _drawn(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     if len(h) <= DRAWN:
-        own = np.tile(h, (SKETCHES, 1))
+        own = np.tile(h, (len(seeds), 1))
     else:
         labelled = _mix(h + np.uint64(0x9E3779B97F4A7C15) * _occurrences(h))
-        seeds = [_SEEDS] if len(h) < 50_000 else np.split(_SEEDS, SKETCHES)
-        drawn = [np.argpartition(_mix(labelled ^ s[:, None]), DRAWN - 1, axis=1)[:, :DRAWN] for s in seeds]
+        parts = [seeds] if len(h) < 50_000 else np.split(seeds, len(seeds))
+        drawn = [np.argpartition(_mix(labelled ^ s[:, None]), DRAWN - 1, axis=1)[:, :DRAWN] for s in parts]
         own = h[np.sort(np.concatenate(drawn), axis=1)]
-    out = _SEEDS.copy()
+    out = seeds.copy()
     for i in range(own.shape[1]):
         out = _mix(out * np.uint64(31) + own[:, i])
     return out
 
 
 def bucket_keys(sketches: np.ndarray) -> np.ndarray:
-    """A key for each sketch, even, and for each with the next, odd: buckets of these lie within those of the even."""
-    both = _mix(sketches * np.uint64(3) + np.roll(sketches, 1))
+    """A key for each sketch, even, and for each of long shingles with the next, odd: buckets of these lie within those of the even."""
+    long = sketches[:SKETCHES]
+    both = _mix(long * np.uint64(3) + np.roll(long, 1))
     return np.concatenate([sketches & ~np.uint64(1), both | np.uint64(1)]).astype("i8")
 
 

@@ -85,6 +85,23 @@ def test_bags_never_tell_alike_texts_apart():
             assert max(d[d > 0].sum(), -d[d < 0].sum()) <= int(0.2 * max(len(words), len(other)) + 1e-9)
 
 
+def test_scattered_edits_are_met():
+    """Copies with one-word edits all over, by edit similarity."""
+    rng, known = random.Random(6), near_dedup._Words()
+    for percent, least in ((80, 0.9), (85, 0.97), (90, 0.99), (95, 1.0)):
+        met = 0
+        for n in range(200):
+            words = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)]
+            other = list(words)
+            for i in rng.sample(range(200), 2 * (100 - percent)):
+                other[i] = "changed"
+            assert near_dedup.similar(words, other)
+            a, b = (near_dedup.bucket_keys(near_dedup.sketch(near_dedup.word_hashes(" ".join(w), known)))
+                    for w in (words, other))
+            met += bool(set(a.tolist()) & set(b.tolist()))
+        assert met >= least * 200, (percent, met)
+
+
 def test_shared_passage_hides_no_pair(spark):
     """Unlike texts of one length that share a passage; their near copies stand anywhere in the passage's buckets."""
     rng = random.Random(9)
