@@ -166,7 +166,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with all columns: ``und`` goes, and scores under ``min_score``."""
+    """The rows of ``docs`` whose language can be told, with all columns: ``und`` goes, and scores under ``min_score``.
+
+    A model that has learned no language drops only texts without a letter, whatever ``min_score``.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +178,10 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0, text_
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 values = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
-                keep = [lang != NONE and score >= min_score for lang, score, _ in own.predict(values)]
+                if own.languages:
+                    keep = [lang != NONE and score >= min_score for lang, score, _ in own.predict(values)]
+                else:
+                    keep = [has_letter(t) for t in values]
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -56,3 +57,12 @@ def test_edge_rows_go_through_every_stage(spark, edge_docs, no_docs):
             assert docs.columns == columns
         n = corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count()
         assert n == docs.select("doc_id").distinct().count()
+
+
+def test_documents_without_languages_stay(spark, edge_docs):
+    """No labelled row teaches the classifier: only texts without a letter go."""
+    docs = edge_docs.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.identify_language(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [r.text for r in docs.collect() if has_letter(r.text or "")]
+    assert len(want) > 40 and sorted(r.text for r in got.collect()) == sorted(want)
