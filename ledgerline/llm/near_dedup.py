@@ -377,7 +377,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: doc_id, text_hash, class_id, class_size, n_links, kept.
 
     ``class_id`` is the least doc_id of the class, ``n_links`` the links of the
-    text's node, ``kept`` true for the rows that have the class_id and, of
+    text's node that were found while classes were joined (not all its similar
+    texts: members of one class are not compared further), ``kept`` true for the rows that have the class_id and, of
     those, the least ``text_hash``.  A null text is empty, and texts without
     words are one class.  Null ids come last; a class of null ids only has a
     null class_id.  An empty table gives no rows.
