@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (bpe_stream, exact_dedup, language_id, near_dedup, packing, pii, suffix_dedup,
+from ledgerline.llm import (bpe_stream, exact_dedup, language_id, near_dedup, packing, pii, simhash_dedup, suffix_dedup,
                             token_files, topk_search, toxicity)
 
 
@@ -78,10 +78,15 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii, op2_near_dedup, op3_packing, op4_language_id, op5_toxicity, op6_exact_dedup, op7_topk_search,
-        op8_suffix_dedup, op9_token_files, op10_bpe_stream)}
+        op8_suffix_dedup, op9_token_files, op10_bpe_stream, op13_simhash_dedup)}
 
 
 #: Texts are equal when identical after lower-casing A-Z only.
