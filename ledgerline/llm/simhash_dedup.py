@@ -4,8 +4,9 @@ A fingerprint has 64 bits, one for each place where more than half of the
 text's shingle hashes have a one.  Fingerprints link at two or fewer differing
 bits.  Cut into two segments, one segment of a linked pair differs by at most
 one bit, so the two share a variant of that segment with one bit taken out:
-each fingerprint is indexed under its 2 * 32 one-wildcard variants, an equality
-join meets the candidates and a bit count verifies them.
+each fingerprint is indexed under its 2 * 32 one-wildcard variants, equal
+variants meet the candidates (two of them as the least and the greatest of their
+variant, more in a join) and a bit count verifies them.
 
 A variant that more than ``CROWD`` fingerprints share is not paired up.  Its
 members are indexed once more, whole, under themselves and their 64 one-bit
@@ -90,8 +91,10 @@ def _linked(a: str, b: str) -> Column:
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): links of the distinct fingerprints ``fp`` whose components are those of all links."""
     variants = nodes.select(F.explode(_variants()).alias("key"), "fp")
-    shared = materialize(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "variants")
-    met = materialize(variants.join(shared, "key"), "met")
+    shared = materialize(variants.groupBy("key").agg(
+        F.count("*").alias("n"), F.max("fp").alias("a"), F.min("fp").alias("b")).where("n > 1"), "variants")
+    twos = shared.where("n = 2").where(_linked("a", "b")).select("a", "b")
+    met = materialize(variants.join(shared.where("n > 2").select("key", "n"), "key"), "met")
     few = met.where(F.col("n") <= CROWD)
     pairs = (few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key")
              .where("a > b").where(_linked("a", "b")).select("a", "b"))
@@ -100,7 +103,7 @@ def links(nodes: DataFrame) -> DataFrame:
     least = changes.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
     near = (changes.join(least.select("key", "b"), "key").where("fp > b").where(_linked("fp", "b"))
             .select(F.col("fp").alias("a"), "b"))
-    return pairs.unionByName(near).distinct()
+    return twos.unionByName(pairs).unionByName(near).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
