@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (bpe_stream, exact_dedup, language_id, near_dedup, packing, pii, simhash_dedup, suffix_dedup,
-                            token_files, topk_search, toxicity)
+from ledgerline.llm import (bpe_stream, exact_dedup, language_id, lexical_search, near_dedup, packing, pii, simhash_dedup,
+                            suffix_dedup, token_files, topk_search, toxicity)
 
 
 def vocabulary(name: str) -> str:
@@ -78,6 +78,11 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = lexical_search.index(table(spark, sf_dir, "documents"))
+    return lexical_search.top_documents(shards, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", simhash_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -86,7 +91,8 @@ def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii, op2_near_dedup, op3_packing, op4_language_id, op5_toxicity, op6_exact_dedup, op7_topk_search,
-        op8_suffix_dedup, op9_token_files, op10_bpe_stream, op13_simhash_dedup)}
+        op8_suffix_dedup, op9_token_files, op10_bpe_stream,
+        op11_lexical_search, op13_simhash_dedup)}
 
 
 #: Texts are equal when identical after lower-casing A-Z only.
@@ -118,5 +124,36 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), docs AS (SELECT r, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nt FROM docs),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM q) GROUP BY r, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term
+), part AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // nt)))) AS s
+  FROM tf JOIN w USING (term) JOIN docs USING (r), total
+), scored AS (
+  SELECT item_id, doc_id, sum(s)::BIGINT AS score FROM q JOIN part USING (term) JOIN docs USING (r) GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, n::INTEGER AS rank, doc_id, score FROM ranked WHERE n <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_topk_search": OP7_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_topk_search": OP7_SQL, "op11_lexical_search": OP11_SQL}
