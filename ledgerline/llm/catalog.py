@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (bpe_stream, exact_dedup, language_id, lexical_search, near_dedup, packing, pii, simhash_dedup,
-                            suffix_dedup, token_files, topk_search, toxicity)
+                            suffix_dedup, token_files, topk_search, toxicity, whitening)
 
 
 def vocabulary(name: str) -> str:
@@ -83,6 +83,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.top_documents(shards, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", simhash_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -92,7 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii, op2_near_dedup, op3_packing, op4_language_id, op5_toxicity, op6_exact_dedup, op7_topk_search,
         op8_suffix_dedup, op9_token_files, op10_bpe_stream,
-        op11_lexical_search, op13_simhash_dedup)}
+        op11_lexical_search, op12_whitening, op13_simhash_dedup)}
 
 
 #: Texts are equal when identical after lower-casing A-Z only.
