@@ -48,13 +48,42 @@ def flat(fact_tx: DataFrame, dims: dict[str, DataFrame], attrs: Sequence[str] =
     return out
 
 
+#: Calendar attributes from the fact's partition, its month as yyyymm.
+PERIOD_ATTRS = {
+    "year": lambda p: F.floor(p / 100).cast("int"),
+    "quarter": lambda p: F.ceil((p % 100) / 3).cast("int"),
+    "month": lambda p: F.format_string("%04d-%02d", F.floor(p / 100).cast("int"), p % 100),
+    "month_no": lambda p: p % 100,
+}
+
+
+def sliced(fact: DataFrame, dims: dict[str, DataFrame], slicers: dict[str, Sequence]) -> DataFrame:
+    """The fact rows whose attributes are among the selected values, attribute by attribute.
+
+    Calendar attributes filter the month partitions, so files of other months
+    are not listed for reading.  Names are looked up in their dimension, no
+    more ids than selected values, and the ids go to the scan, where the sorted
+    files' statistics skip row groups; a value that is no member selects nothing.
+    """
+    for attr, values in slicers.items():
+        if attr in PERIOD_ATTRS:
+            fact = fact.where(PERIOD_ATTRS[attr](F.col("period")).isin(list(values)))
+            continue
+        table, id_col, name_col, _ = next(d for d in DIMENSIONS if d[3] == attr)
+        ids = dims[table].where(F.col(name_col).isin(list(values))).select(id_col).collect()  # at most one for each value
+        fact = fact.where(F.col(id_col).isin([r[0] for r in ids]))
+    return fact
+
+
 def measures(fact_tx: DataFrame, dims: dict[str, DataFrame], by: Sequence[str] = (),
-             where: Column | None = None) -> DataFrame:
+             where: Column | None = None, slicers: dict[str, Sequence] | None = None) -> DataFrame:
     """Total Revenue, Total Expenses, Net Profit, Profit Margin %, ROI % under ``by``.
 
-    ``where``: a condition on the fact's columns (a slicer), pushed to its scan.
+    ``where``: a condition on the fact's columns, ``slicers``: selected values of
+    calendar and dimension attributes; both reach the fact's scan.
     The fact is summed by id first; names are looked up for the sums."""
     rows = fact_tx if where is None else fact_tx.where(where)
+    rows = sliced(rows, dims, slicers or {})
     ids = [id_col for _, id_col, _, raw_col in DIMENSIONS if raw_col in by]
     times = [a for a in by if a in CALENDAR_ATTRS]
     sums = flat(rows, dims, times).groupBy(*ids, *times).agg(F.sum("revenue").alias("rev"), F.sum("expenses").alias("exp"))

@@ -65,13 +65,22 @@ def _by_key(fact: DataFrame, key: str, cols: dict[str, str]) -> DataFrame:
             .agg(*[dec_sum(src).alias(dst) for dst, src in cols.items()]))
 
 
+def _if_any(df: DataFrame, *inputs: DataFrame) -> DataFrame:
+    """``df``, or no rows where one of ``inputs`` is empty: a row of each is looked for, no more."""
+    for other in inputs:
+        some = other.select(F.lit(1).alias("_some")).limit(1)
+        df = df.join(some, F.lit(True), "left_semi")
+    return df
+
+
 def department_performance(fact_tx: DataFrame, fact_budgets: DataFrame, dim_departments: DataFrame) -> DataFrame:
     """Actual vs budget per department; departments seen in either fact
-    (full outer join of the two pre-aggregates), name null if not in the dim."""
+    (full outer join of the two pre-aggregates), name null if not in the dim.
+    No rows where an input is empty."""
     actuals = _by_key(fact_tx, "dept_id", {"actual_revenue": "revenue", "actual_expenses": "expenses"})
     budgets = _by_key(fact_budgets, "dept_id",
                       {"budget_revenue": "budgeted_revenue", "budget_expenses": "budgeted_expenses"})
-    merged = actuals.join(budgets, "dept_id", "full_outer").na.fill(0)
+    merged = _if_any(actuals.join(budgets, "dept_id", "full_outer").na.fill(0), fact_tx, fact_budgets, dim_departments)
     named = merged.join(dim_departments, "dept_id", "left")
     return named.select(
         F.col("dept_name").alias("department"),
@@ -85,7 +94,8 @@ def department_performance(fact_tx: DataFrame, fact_budgets: DataFrame, dim_depa
 
 
 def regional_profitability(fact_tx: DataFrame, dim_regions: DataFrame) -> DataFrame:
-    agg = _by_key(fact_tx, "region_id", {"revenue": "revenue", "expenses": "expenses"})
+    """Revenue, expenses and profit by region; no rows where an input is empty."""
+    agg = _if_any(_by_key(fact_tx, "region_id", {"revenue": "revenue", "expenses": "expenses"}), dim_regions)
     named = agg.join(dim_regions, "region_id", "left")
     net = F.col("revenue") - F.col("expenses")
     return named.select(
@@ -98,8 +108,8 @@ def regional_profitability(fact_tx: DataFrame, dim_regions: DataFrame) -> DataFr
 
 
 def product_profitability(fact_tx: DataFrame, dim_products: DataFrame) -> DataFrame:
-    """Adds each product's share of the total profit (total over products)."""
-    agg = _by_key(fact_tx, "product_id", {"revenue": "revenue", "expenses": "expenses"})
+    """Adds each product's share of the total profit (total over products); no rows where an input is empty."""
+    agg = _if_any(_by_key(fact_tx, "product_id", {"revenue": "revenue", "expenses": "expenses"}), dim_products)
     agg = agg.withColumn("net", F.col("revenue") - F.col("expenses"))
     named = attach_scalar(agg.join(dim_products, "product_id", "left"), agg.agg(F.sum("net").alias("total")))
     return named.select(
@@ -113,7 +123,8 @@ def product_profitability(fact_tx: DataFrame, dim_products: DataFrame) -> DataFr
 
 
 def expenses_by_category(fact_tx: DataFrame, dim_categories: DataFrame) -> DataFrame:
-    agg = _by_key(fact_tx, "category_id", {"expenses": "expenses"})
+    """Expenses and their share by category; no rows where an input is empty."""
+    agg = _if_any(_by_key(fact_tx, "category_id", {"expenses": "expenses"}), dim_categories)
     named = attach_scalar(agg.join(dim_categories, "category_id", "left"), agg.agg(F.sum("expenses").alias("total")))
     return named.select(
         F.col("category_name").alias("category"),

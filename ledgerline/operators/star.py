@@ -111,6 +111,11 @@ def fact_invoices(raw_invoices: DataFrame) -> DataFrame:
     )
 
 
+def period_of(date: F.Column) -> F.Column:
+    """The month of a date as yyyymm, the fact's partition; null without a date."""
+    return (F.year(date) * 100 + F.month(date)).cast("int")
+
+
 def dim_calendar(fact_tx: DataFrame) -> DataFrame:
     """One row per day between the first and last transaction date."""
     bounds = fact_tx.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))

@@ -54,7 +54,7 @@ def _q_dim_categories(f: Finance) -> DataFrame:
 
 @query("star_fact_transactions")
 def _q_fact_transactions(f: Finance) -> DataFrame:
-    return f.fact_transactions
+    return f.fact_transactions.drop("period")
 
 
 @query("star_fact_budgets")
@@ -252,17 +252,17 @@ def _q_log_entry(f: Finance) -> DataFrame:
 
 @query("ingestion_issues")
 def _q_ingestion_issues(f: Finance) -> DataFrame:
-    """Every issue entry of the audited uploads, written to a store and read back through its log."""
+    """Every issue entry of the audited uploads, written to a store and read back through its commit."""
     from ..session import scratch_path
     from ..sources import tables
 
     root = scratch_path(f.spark, "audit")
     seed = ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT)
     log_max = seed.agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("log_max"))
-    tables.write_table(seed, root, "ingestion_log")
-    tables.write_issues(ingest.stored_issues(f.upload_verdicts, f.upload_issues, log_max), root, 2)
-    entries = ingest.log_entries(f.upload_verdicts, f.upload_issues, log_max, fixtures.UPLOAD_SUBMITTED_AT)
-    tables.write_table(entries, root, "ingestion_log", mode="append")
+    run = tables.new_run()
+    tables.write_issues(ingest.stored_issues(f.upload_verdicts, f.upload_issues, log_max), root, run)
+    tables.write_log(ingest.log_entries(f.upload_verdicts, f.upload_issues, log_max, fixtures.UPLOAD_SUBMITTED_AT), root, run)
+    tables.commit(f.spark, root, None, audits=[run])
     return tables.read_table(f.spark, root, tables.ISSUES)
 
 
@@ -352,8 +352,14 @@ def _q_bi_core_product(f: Finance) -> DataFrame:
 @query("bi_core_measures_filtered")
 def _q_bi_core_filtered(f: Finance) -> DataFrame:
     """The measures by region over the dates of one year."""
-    year = F.col("date").between(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"))
-    return bi.measures(f.fact_transactions, _dims(f), by=["region"], where=year)
+    return bi.measures(f.fact_transactions, _dims(f), by=["region"], slicers={"year": [1996]})
+
+
+@query("bi_core_measures_sliced")
+def _q_bi_core_sliced(f: Finance) -> DataFrame:
+    """The measures by product line for two regions and the second halves of two years."""
+    return bi.measures(f.fact_transactions, _dims(f), by=["product_line"], slicers={
+        "region": ["ASIA", "EUROPE"], "year": [1995, 1996], "quarter": [3, 4]})
 
 
 @query("bi_variance_measures")
@@ -395,11 +401,10 @@ def _q_bi_clean(f: Finance) -> DataFrame:
 # streaming ingestion
 # ----------------------------------------------------------------------------
 
-@query("stream_ingest")
-def _q_stream_ingest(f: Finance) -> DataFrame:
-    """The upload batches written as CSV files (one folder per upload) and
-    announced, drained by the file stream into a copy of the stored star; returns the fact rows
-    the stream appended (same rows as ``merge_transactions``)."""
+def _streamed(f: Finance, folders: list[tuple[F.Column, list[str]]]) -> DataFrame:
+    """The upload batches written as CSV files, one folder per upload, under the
+    headers that ``folders`` gives the batches of a condition, announced and drained by the file
+    stream into a copy of the stored star; the fact rows that the stream appended."""
     from ..session import scratch_path
     from ..sources import tables
     from ..streaming.ingest import start_file_ingest
@@ -407,18 +412,35 @@ def _q_stream_ingest(f: Finance) -> DataFrame:
     spark = f.spark
     base = scratch_path(spark, "stream")
     root, inbox, ready, ckpt = f"{base}/store", f"{base}/inbox", f"{base}/ready", f"{base}/checkpoint"
-    tables.write_star(f.star, root)
-    tables.write_log(ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT), root)
+    loaded = tables.write_star(f.star, root, ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["filename", "event_id", "copy"]
-    (f.raw_upload.repartitionByRange(n, *order).sortWithinPartitions(*order)
-     .drop("batch_id", "event_id", "copy")
-     .write.partitionBy("filename").option("header", True)
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(inbox))
+    for which, headers in folders:
+        (f.raw_upload.where(which).repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .select("filename", *[F.col(h.split("=")[0]).alias(h.split("=")[-1]) for h in headers])
+         .write.partitionBy("filename").mode("append").option("header", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(inbox))
     (f.raw_upload.select(F.concat(F.lit(f"{inbox}/filename="), "filename").alias("value")).distinct()
      .coalesce(1).write.text(ready))  # a line for each upload
-    q = start_file_ingest(spark, ready, root, ckpt, list(fixtures.UPLOAD_HEADERS),
-                          as_of=fixtures.UPLOAD_AS_OF, submitted_at=fixtures.UPLOAD_SUBMITTED_AT,
+    q = start_file_ingest(spark, ready, root, ckpt, as_of=fixtures.UPLOAD_AS_OF, submitted_at=fixtures.UPLOAD_SUBMITTED_AT,
                           max_files_per_trigger=1, announced=True)
     q.awaitTermination()
-    return tables.committed(spark, root, tables.SEGMENTED).where(F.col("segment") > 0).drop("segment")
+    return tables.committed(spark, root, tables.SEGMENTED).where(~F.col("segment").isin(loaded.facts)).drop("segment", "period")
+
+
+@query("stream_ingest")
+def _q_stream_ingest(f: Finance) -> DataFrame:
+    """All upload batches through the file stream (same rows as ``merge_transactions``)."""
+    return _streamed(f, [(F.lit(True), list(fixtures.UPLOAD_HEADERS))])
+
+
+@query("stream_ingest_headers")
+def _q_stream_ingest_headers(f: Finance) -> DataFrame:
+    """The same batches in three kinds of files: two further sets of header synonyms, in other orders of
+    columns and with a column more; each file is mapped by its own header line."""
+    more = ["customer=Customer ID", "type=Cost Type", "event_id=line", "segment=Product Line", "area=Zone",
+            "division=Cost_Center", "spending=Total Costs", "sales=Income", "transaction_date=Date"]
+    other = ["sales=REVENUE", "spending=expenses", "transaction_date=Txn_Date", "division=dept", "area=region",
+             "segment=product", "type=category", "customer=client"]
+    kind = F.col("batch_id") % 3
+    return _streamed(f, [(kind == 0, list(fixtures.UPLOAD_HEADERS)), (kind == 1, more), (kind == 2, other)])

@@ -512,6 +512,13 @@ SELECT region, {dbl('rev')} AS total_revenue, {dbl('exp')} AS total_expenses, {d
 FROM (SELECT g.region_name AS region, {dsum('t.revenue')} AS rev, {dsum('t.expenses')} AS exp
       FROM fact_transactions t LEFT JOIN dim_regions g ON t.region_id = g.region_id
       WHERE year(t.date) = 1996 GROUP BY 1)""")
+sql("bi_core_measures_sliced", f"""
+SELECT product_line, {dbl('rev')} AS total_revenue, {dbl('exp')} AS total_expenses, {dbl('rev - exp')} AS net_profit,
+  {frac('rev - exp', 'rev', False)} AS profit_margin, {frac('rev - exp', 'exp', False)} AS roi
+FROM (SELECT p.product_name AS product_line, {dsum('t.revenue')} AS rev, {dsum('t.expenses')} AS exp
+      FROM fact_transactions t JOIN dim_regions g ON t.region_id = g.region_id
+      LEFT JOIN dim_products p ON t.product_id = p.product_id
+      WHERE g.region_name IN ('ASIA', 'EUROPE') AND year(t.date) IN (1995, 1996) AND quarter(t.date) IN (3, 4) GROUP BY 1)""")
 sql("bi_variance_measures", f"""
 SELECT coalesce(a.department, b.department) AS department, {dbl('coalesce(a.rev, 0)')} AS total_revenue,
   {dbl('coalesce(b.brev, 0)')} AS budget_revenue, {dbl('coalesce(a.rev, 0) - coalesce(b.brev, 0)')} AS revenue_variance,
@@ -578,3 +585,5 @@ FROM raw_upload""")
 # ---------------------------------------------------------------------------
 _SQL["stream_ingest"] = _SQL["merge_transactions"].replace(
     "coalesce(c.client_id, '') AS client_id, c.batch_id\n", "coalesce(c.client_id, '') AS client_id\n")
+# the mapping of headers is the same whatever their spelling
+_SQL["stream_ingest_headers"] = _SQL["stream_ingest"]

@@ -18,6 +18,12 @@ def spark():
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         # one session for all tests: room for its plans, and few of them kept
+         .config("spark.driver.memory", "8g")
+         .config("spark.sql.ui.retainedExecutions", "5")
+         .config("spark.ui.retainedJobs", "20")
+         .config("spark.ui.retainedStages", "20")
+         .config("spark.ui.retainedTasks", "200")
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")

@@ -22,6 +22,40 @@ def test_empty_facts(spark):
     assert funnel.invoice_funnel(none).count() == funnel.invoice_funnel_theta(none).count() == 0
 
 
+def test_one_empty_input(spark):
+    """Each input empty alone: no rows, as with all of them empty."""
+    tx = spark.sql("select date'2025-01-05' date, cast(10 as decimal(18,4)) revenue, cast(4 as decimal(18,4)) expenses,"
+                   " 1 dept_id, 1 region_id, 1 product_id, 1 category_id, 'C' client_id")
+    bud = spark.sql("select 1 dept_id, cast(8 as decimal(18,4)) budgeted_revenue, cast(3 as decimal(18,4)) budgeted_expenses")
+    depts = spark.createDataFrame([(1, "Sales")], "dept_id int, dept_name string")
+    assert metrics.department_performance(tx, bud, depts).count() == 1
+    for i in range(3):
+        inputs = [tx, bud, depts]
+        inputs[i] = inputs[i].limit(0)
+        assert metrics.department_performance(*inputs).count() == 0
+    for f, key, name in ((metrics.regional_profitability, "region_id", "region_name"),
+                         (metrics.product_profitability, "product_id", "product_name"),
+                         (metrics.expenses_by_category, "category_id", "category_name")):
+        dim = spark.createDataFrame([(2, "other")], f"{key} int, {name} string")
+        assert f(tx, dim).count() == 1  # not a member: a row without a name
+        assert f(tx, dim.limit(0)).count() == 0 and f(tx.limit(0), dim).count() == 0
+
+
+def test_results_are_in_order(spark, sf_dir):
+    """Rows come in the order the original sorts them, not only as a set."""
+    import __spark_entry__ as entry
+
+    qs = entry.queries()
+    for name, keys, falling in (("department_performance", ["actual_revenue"], True), ("regional_profitability", ["net_profit"], True),
+                                ("product_profitability", ["net_profit"], True), ("expenses_by_category", ["expenses"], True),
+                                ("monthly_performance", ["month"], False), ("revenue_cohorts", ["cohort_month", "elapsed_months"], False)):
+        rows = [tuple(r[k] for k in keys) for r in qs[name](spark, sf_dir).collect()]
+        assert len(rows) > 1 and rows == sorted(rows, reverse=falling), name
+    for table, key, label in (("star_dim_departments", "dept_id", "dept_name"), ("star_dim_regions", "region_id", "region_name")):
+        rows = sorted((r[key], r[label]) for r in qs[table](spark, sf_dir).collect())
+        assert [n for _, n in rows] == sorted(n for _, n in rows) and [i for i, _ in rows] == list(range(1, len(rows) + 1))
+
+
 def test_export_report(spark, tmp_path):
     from ledgerline.sources.tables import export_report
 
