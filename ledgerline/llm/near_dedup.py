@@ -260,7 +260,8 @@ def _followers(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     other = placed.select("place", *[F.col(c).alias(f"o_{c}") for c in ("key", "node", "n_words", "root")])
     return materialize(
         ahead.join(other, "place").where("key = o_key and root <> o_root").where(_alike_in_length("n_words", "o_n_words", least))
-        .select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct(), "followers")
+        .select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b"),
+                F.col("n_words").alias("n"), F.col("o_n_words").alias("b_n")).distinct(), "followers")
 
 
 def _tied(links: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,29 +280,54 @@ def bag(words: np.ndarray) -> np.ndarray:
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for part, values in texts(batches):
+        bags = [bag(word_hashes(t, known)) for t in values]
         yield pa.RecordBatch.from_arrays(
-            [part.column("node"), pa.array([bag(word_hashes(t, known)).tobytes() for t in values], pa.binary())],
-            names=["node", "bag"])
+            [part.column("node"), pa.array([b.tobytes() for b in bags], pa.binary()),
+             pa.array([int(b.sum(dtype="i8")) for b in bags], pa.int64())], names=["node", "bag", "total"])
 
 
-def _blocks(met: DataFrame, roots: DataFrame, text: DataFrame) -> DataFrame | None:
+def _lets(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, BINS) for c in ("bag", "b_bag"))
+            lacks = np.empty(len(a), "i8")
+            for i in range(0, len(a), 4096):
+                lacks[i:i + 4096] = (np.maximum(a[i:i + 4096], b[i:i + 4096]) - b[i:i + 4096]).sum(axis=1, dtype="i8")
+            totals, n = ([batch.column(c).to_numpy() for c in names] for names in (("total", "b_total"), ("n", "b_n")))
+            # what either has beyond the other must each be edited
+            lacks = np.maximum(lacks, lacks + totals[1] - totals[0])
+            near = lacks <= ((1 - least) * np.maximum(*n) + 1e-9).astype("i8")
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near))
+
+    return run
+
+
+def _let(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, n, b_n) that their bags of words let be similar, before any text is carried to them."""
+    told = (pairs.join(bags.withColumnRenamed("node", "a"), "a")
+            .join(bags.select(F.col("node").alias("b"), F.col("bag").alias("b_bag"), F.col("total").alias("b_total")), "b"))
+    return materialize(told.mapInArrow(_lets(least), "a binary, b binary"), "let")
+
+
+def _blocks(met: DataFrame, roots: DataFrame, bags: DataFrame) -> DataFrame | None:
     """The members of buckets of several classes by number of words, ``BLOCK`` of them in a row.
 
     A bucket of two has been aligned with its first member, and buckets of two
-    sketches lie within those of one.
+    sketches lie within those of one.  Of buckets with the same members, one is
+    taken: texts that share a passage often meet in many.
     """
     single = met.where(F.col("key").bitwiseAND(F.lit(1)) == 0)
     classed = single.join(roots, "node", "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("root"))
-    mixed = materialize(classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-                        .where("lo <> hi and n > 2").select("key"), "mixed")
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"same{i}") for i in range(2)]  # 128 bits of the set of members
+    mixed = (classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), *same)
+             .where("lo <> hi and n > 2"))
+    mixed = materialize(mixed.groupBy("n", "same0", "same1").agg(F.min("key").alias("key")).select("key"), "mixed")
     if mixed.isEmpty():
         return None
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(with_row_positions(classed.join(mixed, "key", "left_semi"), ["key", "n_words", "node"], out="place",
                                             buckets=parts), "placed")
-    bags = materialize(text.join(placed.select("node").distinct(), "node", "left_semi")
-                       .mapInArrow(_bagged, "node binary, bag binary"), "bags")
-    rows = placed.join(bags, "node").groupBy("key", F.floor(F.col("place") / BLOCK).alias("block")).agg(
+    rows = placed.join(bags.select("node", "bag"), "node").groupBy("key", F.floor(F.col("place") / BLOCK).alias("block")).agg(
         F.min("n_words").alias("lo"), F.max("n_words").alias("hi"),
         F.collect_list(F.struct("node", "root", "n_words", "bag")).alias("x"))  # at most BLOCK
     return materialize(rows, "blocks")
@@ -391,29 +417,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.first("keys").alias("keys")), "nodes")
 
     member = nodes.select(F.explode("keys").alias("key"), "node", "n_words")
-    buckets = (member.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("head"), F.count("*").alias("n"))
-               .where("n > 1").select("key", F.col("head.node").alias("b"), F.col("head.n_words").alias("b_words")))
+    # keys alone are counted first: most stand alone, and their members are then not carried further
+    shared = materialize(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    met = materialize(member.join(shared, "key"), "members")
+    buckets = met.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("head")).select(
+        "key", F.col("head.node").alias("b"), F.col("head.n_words").alias("b_words"))
     buckets = materialize(buckets, "buckets")  # so that both sides of the join are plain exchanges, and skew can be split
-    met = materialize(member.join(buckets, "key"), "met")
-    pairs = materialize(met.where("node <> b").where(_alike_in_length("n_words", "b_words", least))
-                        .select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    pairs = materialize(met.join(buckets, "key").where("node <> b").where(_alike_in_length("n_words", "b_words", least))
+                        .select(F.col("node").alias("a"), "b", F.col("n_words").alias("n"), F.col("b_words").alias("b_n"))
+                        .distinct(), "pairs")
 
     places = nodes.join(met.select("node").distinct(), "node").select("node", "first.*")
     text = materialize(
-        rows.withColumn("id", last).join(places, ["id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text")),
+        rows.withColumn("id", last).join(places, ["id", "text_hash"])
+        .groupBy("id", "text_hash", "node").agg(F.first("text").alias("text")).select("node", "text"),  # where the join left it
         "texts") if not met.isEmpty() else None
     if text is None:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
         degree = nodes.select("node", F.lit(0).cast("long").alias("n_links")).limit(0)
     else:
-        links = _align(pairs, text, least)
+        bags = materialize(text.mapInArrow(_bagged, "node binary, bag binary, total long"), "bags")
+        links = _align(_let(pairs, bags, least), text, least)
         roots = materialize(components(links), "components")
         following = _followers(met, roots, least)
-        more = _align(following, text, least)
+        more = _align(_let(following, bags, least), text, least)
         links, roots = _tied(links, roots, more)
-        tried, blocks = pairs.unionByName(following), None
+        tried, blocks = pairs.unionByName(following).select("a", "b"), None
         for closest in (True, False):  # the second time whatever is left
-            blocks = blocks or _blocks(met, roots, text)
+            blocks = blocks or _blocks(met, roots, bags)
             if not blocks:
                 break
             found = _between(blocks, least, closest)
