@@ -31,6 +31,9 @@ CHUNK = re.compile(f" ?[{LETTERS}]++(?![^{WHITE}{MARKS}])|[{MARKS}]++(?![^{WHITE
 
 WORD = re.compile(f"[{LETTERS}]++(?![^{WHITE}{MARKS}])|[{MARKS}]++(?![^{WHITE}])|[^{WHITE}]++")
 
+#: Chunks of letters only, which a byte-level vocabulary hands whole to its merges.
+PLAIN = re.compile(f" ?[{LETTERS}]+")
+
 #: Beyond these characters the library alone decides what is lower case.
 BEYOND = re.compile("[^\\x00-\u012f\u0131-\u024f]")
 
@@ -40,6 +43,14 @@ def id_bytes(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest
+    for 256 and following."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the library's own."""
 
@@ -55,12 +66,27 @@ class ChunkEncoder:
         spaces = any(self._encode([" ", "\n"])) or self._encode([" a"]) != self._encode(["a"])
         self.chunk = CHUNK if spaces else WORD
         self.lower = self._encode(["Aa"]) == self._encode(["aa"])
+        self.bytes, self.model = byte_characters(), self.library.model
+        probes = [" thonst", "Étée", "ß", " ÿa", "x"]
+        self.merges_alone = self.library.normalizer is None and [self._merged(c) for c in probes] == self._encode(probes)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [id_bytes(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, chunk: str) -> bytes:
+        """Ids of a chunk of letters by the library's merges alone, without what comes before and after them."""
+        text = "".join(map(self.bytes.__getitem__, chunk.encode()))
+        return id_bytes([t.id for t in self.model.tokenize(text)])
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        if not self.merges_alone:
+            return self._encode(chunks)
+        plain = [PLAIN.fullmatch(c) is not None for c in chunks]
+        others = iter(self._encode([c for c, p in zip(chunks, plain) if not p]))
+        return [self._merged(c) if p else next(others) for c, p in zip(chunks, plain)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the chunks that are new in all of them go to the library together."""
         split = [None if any(s in t for s in self.specials) else
@@ -72,7 +98,8 @@ class ChunkEncoder:
         again = {c: self.older[c] for c in new if c in self.older}
         new.difference_update(again)
         known.update(again)
-        known.update(zip(new, self._encode(list(new))))
+        fresh = list(new)
+        known.update(zip(fresh, self._encode_chunks(fresh)))
         out = [self._encode([t])[0]  # a special token's string also splits the white space beside it
                if chunks is None else b"".join(map(known.__getitem__, chunks)) for t, chunks in zip(texts, split)]
         for c in new:

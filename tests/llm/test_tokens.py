@@ -76,3 +76,37 @@ def test_files(spark, edge_docs, edge_rows, path):
 
 def test_files_of_no_documents(spark, no_docs):
     assert token_files.summarise(spark, token_files.write(no_docs, BYTES)).count() == 0
+
+
+def test_merges_alone_equal_the_library():
+    """Chunks of letters, seen and not, go past the splitting; the other vocabulary takes the library's way."""
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x24f) if chr(c).isalpha() and tokens.PLAIN.fullmatch(chr(c))]
+    chunks = [rng.choice(["", " "]) + "".join(rng.choice(letters[:52] * 5 + letters) for _ in range(rng.randint(1, 20)))
+              for _ in range(5000)] + [" " + "a" * 500]
+    encoder = tokens.ChunkEncoder(BYTES)
+    assert encoder.merges_alone and not tokens.ChunkEncoder(WORDS).merges_alone
+    assert encoder._encode_chunks(chunks) == encoder._encode(chunks)
+
+
+def test_token_file_query(spark, sf_dir):
+    """The registered query against the library, document by document."""
+    library, start = Tokenizer.from_file(BYTES), 0
+    got = {r.doc_id: r for r in catalog.op9_token_files(spark, sf_dir).collect()}
+    rows = sorted((r.doc_id, r.text) for r in catalog.table(spark, sf_dir, "documents").collect())
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        r = got[doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_stream_query(spark, sf_dir):
+    library = Tokenizer.from_file(BYTES)
+    got = {r.doc_id: r for r in catalog.op10_bpe_stream(spark, sf_dir).collect()}
+    for r in catalog.table(spark, sf_dir, "documents").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256, got[r.doc_id].decoded_sha256) == (
+            len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+            hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
