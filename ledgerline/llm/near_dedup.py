@@ -8,13 +8,12 @@ scattered edits leave more; texts that agree in a sketch, or for strictness in t
 meet in a bucket.  Each member of a bucket is aligned with the bucket's first
 member: links grow with the members, not with their square.  A link
 stands when the words' edit similarity, ``1 - distance / longer length``, is 0.8 or more;
-classes are the connected components of the links.  Where a bucket's members are
-in several classes then, each is also aligned with the next few members by number
-of words that are in another one: the first member may be like neither of two
-that are like each other.  In what is in several classes even then, all members
-of different classes are compared, in blocks that are spread like any rows: by
-the bags of their words first, which never tell alike texts apart, then by
-alignment.  So no two texts that share a sketch and are similar stay in two classes.
+classes are the connected components of the links.  The first member may be like
+neither of two that are like each other, so where a bucket's members are in
+several classes then, all members of different classes are compared, in blocks
+that are spread like any rows: by the bags of their words first, which never tell
+alike texts apart, then by alignment, of two blocks' two classes the closest pair
+before all others.  So no two texts that share a sketch and are similar stay in two classes.
 
 Texts of equal words are one node from the start.  Sketches, links and
 components stay in tables; no bucket is gathered in one place.
@@ -43,8 +42,6 @@ SHORT_SKETCHES = 24
 DRAWN = 2
 #: Least edit similarity of a link.
 SIMILARITY = 0.8
-#: Members that follow in a bucket of several classes, by number of words, and are aligned too.
-FOLLOWING = 4
 #: Members of a bucket in a block, and bins of a bag of words.
 BLOCK = 128
 BINS = 512
@@ -244,26 +241,6 @@ def _align(pairs: DataFrame, text: DataFrame, least: float) -> DataFrame:
     return materialize(told.mapInArrow(_aligned(least), "a binary, b binary"), "aligned")
 
 
-def _followers(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs of different classes that stand close by number of words in a bucket.
-
-    Places in one global order are joined on place, so a hot bucket is spread like any rows.
-    """
-    classed = met.join(roots, "node", "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("root"))
-    mixed = materialize(classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                        .where("lo <> hi").select("key"), "mixed")
-    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = with_row_positions(classed.join(mixed, "key", "left_semi"), ["key", "n_words", "node"], out="place",
-                                buckets=parts)
-    ahead = placed.select("key", "node", "n_words", "root", F.explode(F.sequence(
-        F.col("place") + 1, F.col("place") + FOLLOWING)).alias("place"))
-    other = placed.select("place", *[F.col(c).alias(f"o_{c}") for c in ("key", "node", "n_words", "root")])
-    return materialize(
-        ahead.join(other, "place").where("key = o_key and root <> o_root").where(_alike_in_length("n_words", "o_n_words", least))
-        .select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b"),
-                F.col("n_words").alias("n"), F.col("o_n_words").alias("b_n")).distinct(), "followers")
-
-
 def _tied(links: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and components with ``more`` links."""
     if more.isEmpty():
@@ -439,10 +416,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bags = materialize(text.mapInArrow(_bagged, "node binary, bag binary, total long"), "bags")
         links = _align(_let(pairs, bags, least), text, least)
         roots = materialize(components(links), "components")
-        following = _followers(met, roots, least)
-        more = _align(_let(following, bags, least), text, least)
-        links, roots = _tied(links, roots, more)
-        tried, blocks = pairs.unionByName(following).select("a", "b"), None
+        tried, blocks = pairs.select("a", "b"), None
         for closest in (True, False):  # the second time whatever is left
             blocks = blocks or _blocks(met, roots, bags)
             if not blocks:

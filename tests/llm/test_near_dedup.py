@@ -62,15 +62,18 @@ def test_classes(spark):
 def test_first_member_unlike_two_others(spark):
     """Two texts that only share a bucket whose first member is like neither."""
     words = {b"a": "p q r s t u v w", b"b": "k l m n o p q r s t", b"c": "k l m n o p q r s u"}
-    rows = [(1, n, len(w.split()), b"a", 8) for n, w in words.items()]
-    met = spark.createDataFrame(rows, "key long, node binary, n_words int, b binary, b_words int")
+    met = spark.createDataFrame([(2, n, len(w.split())) for n, w in words.items()], "key long, node binary, n_words int")
     none = spark.createDataFrame([], "node binary, root binary")
-    pairs = near_dedup._followers(met, none, 0.8)
-    assert {(bytes(r.a), bytes(r.b)) for r in pairs.collect()} == {(b"b", b"a"), (b"c", b"a"), (b"c", b"b")}
     text = spark.createDataFrame(list(words.items()), "node binary, text string")
-    assert [(bytes(r.a), bytes(r.b)) for r in near_dedup._align(pairs, text, 0.8).collect()] == [(b"c", b"b")]
-    roots = spark.createDataFrame([(b"c", b"b"), (b"b", b"b")], "node binary, root binary")
-    assert near_dedup._followers(met.where("node <> b"), roots, 0.8).isEmpty()
+    bags = text.mapInArrow(near_dedup._bagged, "node binary, bag binary, total long")
+    for closest in (True, False):
+        pairs = near_dedup._between(near_dedup._blocks(met, none, bags), 0.8, closest)
+        assert [(bytes(r.a), bytes(r.b)) for r in near_dedup._align(pairs, text, 0.8).collect()] == [(b"c", b"b")]
+    # buckets of the same members are compared once, and one class not at all
+    twice = met.unionByName(met.selectExpr("4L as key", "node", "n_words"))
+    assert near_dedup._blocks(twice, none, bags).count() == 1
+    one = spark.createDataFrame([(n, b"a") for n in words], "node binary, root binary")
+    assert near_dedup._blocks(met, one, bags) is None
 
 
 def test_bags_never_tell_alike_texts_apart():
