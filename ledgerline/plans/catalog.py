@@ -352,7 +352,8 @@ def _q_bi_core_product(f: Finance) -> DataFrame:
 @query("bi_core_measures_filtered")
 def _q_bi_core_filtered(f: Finance) -> DataFrame:
     """The measures by region over the dates of one year."""
-    return bi.measures(f.fact_transactions, _dims(f), by=["region"], slicers={"year": [1996]})
+    year = F.col("date").between(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"))
+    return bi.measures(f.fact_transactions, _dims(f), by=["region"], where=year, slicers={"year": [1996]})
 
 
 @query("bi_core_measures_sliced")

@@ -53,5 +53,6 @@ def test_measures_push_their_filter_and_sum_by_id_first(spark, sf_dir):
 
     plan = queries()["bi_core_measures_filtered"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(date,1996-01-01)" in plan and "LessThanOrEqual(date,1996-12-31)" in plan
+    assert "period" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]  # files of other months are not read
     top = queries()["product_profitability"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in top
