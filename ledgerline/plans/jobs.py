@@ -11,6 +11,7 @@ import datetime as _dt
 import json
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, quality
 from ..operators import star as star_ops
 from ..session import materialize
-from ..sources import tables
+from ..sources import files, tables
 from ..sources.uploads import UploadRejected, read_upload
 
 #: Times a run is planned again because another writer committed first.
@@ -26,16 +27,28 @@ MAX_TRIES = 50
 
 
 def init_load(spark: SparkSession, root: str, raw_tx: DataFrame, raw_budgets: DataFrame, raw_invoices: DataFrame,
-              submitted_at: str | None = None, filename: str = "transactions.csv") -> star_ops.Star:
-    """Build the star from the raw files and write it (replacing), with the seed log row."""
+              submitted_at: str | None = None, filename: str = "transactions.csv",
+              rejects: DataFrame | None = None) -> star_ops.Star:
+    """Build the star from the raw files and write it (replacing), with the seed log row and the files' ``rejects``."""
     submitted_at = submitted_at or _dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
     star = star_ops.build_star(raw_tx, raw_budgets, raw_invoices)
     fact = materialize(star.fact_transactions, "facts")  # the load and its log row read the numbered rows once
     star = replace(star, fact_transactions=fact)
-    tables.write_star(star, root, ingest.initial_log(fact, submitted_at, filename))
+    tables.write_star(star, root, ingest.initial_log(fact, submitted_at, filename), rejects=rejects)
     return tables.read_star(spark, root)
 
 
+def init_load_checked(spark: SparkSession, root: str, transactions: str, budgets: str, invoices: str | None = None,
+                      submitted_at: str | None = None) -> star_ops.Star:
+    """``init_load`` from the paths of the files: records that can't be stored become rejects, and the others load."""
+    read = {"transactions": files.read_checked_transactions(spark, transactions),
+            "budgets": files.read_checked_budgets(spark, budgets),
+            "invoices": files.read_checked_invoices(spark, invoices)}
+    rejects = [r.withColumn("input", F.lit(name)).select("input", *r.columns) for name, (_, r) in read.items()]
+    return init_load(spark, root, *(rows for rows, _ in read.values()), submitted_at=submitted_at,
+                     rejects=reduce(DataFrame.unionByName, rejects))
+
+
 def audit_batch(clean_df: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     return quality.issues(clean_df, as_of), ingest.verdicts(clean_df, as_of)
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.star import Star, period_of
+from . import files
 
 DIMENSION_TABLES = ("dim_departments", "dim_regions", "dim_products", "dim_expense_categories")
 STAR_TABLES = ("fact_transactions", "fact_budgets", "fact_invoices", *DIMENSION_TABLES)
@@ -37,12 +38,14 @@ SEGMENTED = "fact_transactions"
 ISSUES = "dq_issues"
 LOG = "ingestion_log"
 COMMITS = "commits"
+REJECTS = "load_rejects"
 #: Segments that a reader opens by name; more are joined.
 NAMED_SEGMENTS = 1000
 #: What log rows hold beyond the log's own columns: the epoch that wrote them and the upload they are of.
 LOG_KEYS = ("commit_key", "upload_key", "was_read")
 
 #: Given, so that a fact without rows, which has no files, can be read.
+REJECT_SCHEMA = f"input string, {files.REJECT_SCHEMA}"
 FACT_SCHEMA = ("transaction_id bigint, date date, revenue decimal(18,4), expenses decimal(18,4), dept_id int, region_id int, "
                "product_id int, category_id int, client_id string, segment string, period int")
 
@@ -194,12 +197,15 @@ def write_folder(df: DataFrame, root: str, name: str, run: str) -> str:
     return f"v={run}"
 
 
-def write_star(star: Star, root: str, log_rows: DataFrame | None = None, run: str | None = None) -> Commit:
+def write_star(star: Star, root: str, log_rows: DataFrame | None = None, run: str | None = None,
+               rejects: DataFrame | None = None) -> Commit:
     """Initial load: all tables and, once they lie there, the commit that shows them instead of what was before."""
     spark = star.fact_transactions.sparkSession
     base, run = head(spark, root), run or new_run()
     tables = star.tables()
     folders = {name: write_folder(tables[name], root, name, run) for name in STAR_TABLES if name != SEGMENTED}
+    if rejects is not None:
+        folders[REJECTS] = write_folder(rejects, root, REJECTS, run)
     write_segment(tables[SEGMENTED].drop("period"), root, run)
     if log_rows is not None:
         write_log(log_rows, root, run)
@@ -214,6 +220,14 @@ def read_star(spark: SparkSession, root: str) -> Star:
     return Star(**{name: read_table(spark, root, name, at) for name in STAR_TABLES})
 
 
+def read_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """What the initial load did not store (input, place in the file, record, reason); empty where it was not told apart."""
+    at = head(spark, root)
+    if at is None or REJECTS not in at.folders:
+        return spark.createDataFrame([], REJECT_SCHEMA)
+    return read_table(spark, root, REJECTS, at)
+
+
 def export_report(report: DataFrame, path: str) -> None:
     """Download export of a report table: one CSV file with a header.  Reports
     are bounded by the dimension sizes (a handful of rows), so one task is fine."""

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from ledgerline.plans.jobs import init_load
+from ledgerline.plans.jobs import init_load, init_load_checked
 from ledgerline.session import scratch_path
 from ledgerline.sources import files, tables
 
@@ -63,3 +63,49 @@ def test_dates_with_a_time(spark, tmp_path):
     rows = files.read_transactions(spark, str(tmp_path / "tx.csv")).orderBy("_src_pos").collect()
     assert [r["date"] for r in rows] == [dt.date(2025, 1, 5), dt.date(2025, 1, 6), None]
     assert rows[1]["revenue"] is None and float(rows[0]["revenue"]) == 1.0
+
+
+def test_records_that_cannot_be_stored_are_kept_as_rejects(spark, tmp_path):
+    good = TX.splitlines()
+    bad = ["2025-02-12,12x,1.00,Sales,North,Software Licenses,Salaries,CL-003",        # no amount
+           "2025-02-12,1e20,x,Sales,North,Software Licenses,Salaries,CL-003",          # two that can't be stored
+           "2025-02-13,1.00,2.00,Sales",                                               # too few fields
+           "2025-02-14,1.00,2.00,Sales,North,Consulting Services,Salaries,CL-4,more"]  # too many
+    (tmp_path / "tx.csv").write_text("\n".join([good[0], bad[0], good[1], bad[1], good[2], bad[2], *good[3:], bad[3]]) + "\n")
+    (tmp_path / "budgets.csv").write_text(BUDGETS + "2025-03,Sales,East,much,1.00\n")
+    (tmp_path / "inv.csv").write_text("Invoice ID,Client ID,Issue Date,Amount,Status\nI1,CL-001,2025-01-05,10.00,Paid\nI2,CL-001\n")
+    root = scratch_path(spark, "test-rejects")
+    star = init_load_checked(spark, root, *(str(tmp_path / f) for f in ("tx.csv", "budgets.csv", "inv.csv")),
+                             submitted_at="2025-03-01 00:00:00")
+    fact = star.fact_transactions.orderBy("transaction_id").collect()
+    assert [float(r["revenue"]) for r in fact] == [1000.5, 0.0, 2500.0, 0.0]  # a missing amount is no reject
+    assert star.fact_budgets.count() == 3 and star.fact_invoices.count() == 1
+    rejects = tables.read_rejects(spark, root)
+    ragged = "Wrong number of fields"
+    amount = "{} is not an amount that can be stored".format
+    assert [(r["input"], r["record"], r["reason"]) for r in rejects.orderBy("input", "_src_pos").collect()] == [
+        ("budgets", "2025-03,Sales,East,much,1.00", amount("Budgeted Revenue")),
+        ("invoices", "I2,CL-001", ragged),
+        ("transactions", bad[0], amount("Revenue")),
+        ("transactions", bad[1], f"{amount('Revenue')}; {amount('Expenses')}"),
+        ("transactions", bad[2], ragged),
+        ("transactions", bad[3], ragged)]
+    # each record of the file is either a row or a reject
+    assert len(fact) + rejects.where("input = 'transactions'").count() == len(good) - 1 + len(bad)
+    # a later load that tells none apart has none
+    (tmp_path / "good.csv").write_text(TX)
+    (tmp_path / "good_budgets.csv").write_text(BUDGETS)
+    init_load(spark, root, files.read_transactions(spark, str(tmp_path / "good.csv")),
+              files.read_budgets(spark, str(tmp_path / "good_budgets.csv")), files.read_invoices(spark, None))
+    assert tables.read_rejects(spark, root).count() == 0
+
+
+def test_checked_file_without_rejects_reads_alike(spark, tmp_path):
+    (tmp_path / "tx.csv").write_text(TX)
+    plain = files.read_transactions(spark, str(tmp_path / "tx.csv"))
+    rows, rejects = files.read_checked_transactions(spark, str(tmp_path / "tx.csv"))
+    assert rejects.count() == 0 and rows.columns == plain.columns
+    assert rows.orderBy("_src_pos").collect() == plain.orderBy("_src_pos").collect()
+    (tmp_path / "head.csv").write_text(TX.splitlines()[0] + "\n")
+    assert [d.count() for d in files.read_checked_transactions(spark, str(tmp_path / "head.csv"))] == [0, 0]
+    assert [d.count() for d in files.read_checked_invoices(spark, str(tmp_path / "none.csv"))] == [0, 0]
