@@ -3,8 +3,11 @@
 Two zstandard dictionaries share one trained on ordinary text; one goes on with
 single words that toxic documents repeat and ordinary ones hardly hold, the other
 with as many zero bytes.  No dictionary is trained on toxic text as a whole, so
-toxic phrases of words that are ordinary by themselves are not seen.  A window that is toxic comes out shorter with the first than with
-the second.  A document's windows give three numbers (windows whose gain
+toxic phrases of words that are ordinary by themselves are not seen.  Two
+dictionaries trained on windows of either class, the plain form of the method,
+find next to nothing: what toxic documents repeat is mostly ordinary text
+(figures in the README).  A window that is toxic comes out shorter with the first
+than with the second.  A document's windows give three numbers (windows whose gain
 reaches a threshold, their share, the largest gain), which a logistic
 curve, fitted on documents that the dictionaries have not seen, turns into a
 probability.

@@ -59,6 +59,11 @@ def test_toxicity_query(spark):
     marked = [r for r in held if toxic[r.doc_id] and any(w in text[r.doc_id] for w in ("idiot", "stupid", "moron"))]
     clean = [r for r in held if not toxic[r.doc_id]]
     assert np.mean([r.predicted for r in marked]) > 0.9 and np.mean([r.predicted for r in clean]) < 0.02
+    # all held-out rows of label 1, whatever their words: under half reach the cut
+    bad = np.array([r.score for r in held if toxic[r.doc_id]])
+    good = np.array([r.score for r in clean])
+    assert np.mean(bad >= 0.7) > 0.4
+    assert np.mean((bad[:, None] > good).mean(axis=1) + (bad[:, None] == good).mean(axis=1) / 2) > 0.88  # area under the curve
 
 
 def test_toxicity_edges(spark, edge_docs, edge_rows, no_docs):
