@@ -17,10 +17,15 @@ from ..functions.constants import COHORT_MONTHS
 from ..functions.numeric import as_double, dec_sum, money, pct
 
 
+def is_valid_revenue() -> F.Column:
+    """Whether a row counts for cohorts: positive revenue, a client id, a date."""
+    return ((F.col("revenue") > 0) & F.col("client_id").isNotNull() & (F.col("client_id") != "")
+            & F.col("date").isNotNull())
+
+
 def valid_revenue(fact_tx: DataFrame) -> DataFrame:
-    """Rows that count for cohorts: positive revenue, a client id, a date."""
-    return (fact_tx.where((F.col("revenue") > 0) & F.col("client_id").isNotNull() & (F.col("client_id") != "")
-                          & F.col("date").isNotNull())
+    """Rows that count for cohorts."""
+    return (fact_tx.where(is_valid_revenue())
             .select("client_id", F.date_format("date", "yyyy-MM").alias("trans_month"), "revenue"))
 
 

@@ -145,6 +145,55 @@ def _q_pivot_clients(f: Finance) -> DataFrame:
     return cohorts.cohort_pivot(cohorts.revenue_cohorts(f.fact_transactions), "client_retention_pct")
 
 
+# ----------------------------------------------------------------------------
+# incremental aggregates: the star after the uploads were appended, answered from rollups of its segments
+# ----------------------------------------------------------------------------
+
+@query("rollup_kpis")
+def _q_rollup_kpis(f: Finance) -> DataFrame:
+    return metrics.kpis(f.rolled.fact_transactions, f.rolled.fact_budgets)
+
+
+@query("rollup_monthly_performance")
+def _q_rollup_monthly(f: Finance) -> DataFrame:
+    return metrics.monthly_performance(f.rolled.fact_transactions)
+
+
+@query("rollup_department_performance")
+def _q_rollup_departments(f: Finance) -> DataFrame:
+    return metrics.department_performance(f.rolled.fact_transactions, f.rolled.fact_budgets, f.rolled.dim_departments)
+
+
+@query("rollup_regional_profitability")
+def _q_rollup_regions(f: Finance) -> DataFrame:
+    return metrics.regional_profitability(f.rolled.fact_transactions, f.rolled.dim_regions)
+
+
+@query("rollup_product_profitability")
+def _q_rollup_products(f: Finance) -> DataFrame:
+    return metrics.product_profitability(f.rolled.fact_transactions, f.rolled.dim_products)
+
+
+@query("rollup_expenses_by_category")
+def _q_rollup_categories(f: Finance) -> DataFrame:
+    return metrics.expenses_by_category(f.rolled.fact_transactions, f.rolled.dim_expense_categories)
+
+
+@query("rollup_report_monthly_margin")
+def _q_rollup_margin(f: Finance) -> DataFrame:
+    return reports.report_monthly_margin(f.rolled.fact_transactions)
+
+
+@query("rollup_cohort_sizes")
+def _q_rollup_cohort_sizes(f: Finance) -> DataFrame:
+    return cohorts.cohort_sizes(f.rolled_clients)
+
+
+@query("rollup_revenue_cohorts")
+def _q_rollup_cohorts(f: Finance) -> DataFrame:
+    return cohorts.revenue_cohorts(f.rolled_clients)
+
+
 # ----------------------------------------------------------------------------
 # invoice funnel
 # ----------------------------------------------------------------------------

@@ -9,6 +9,7 @@ plan from those tables to its result.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,34 @@ class Finance:
         tables.write_star(self.build_star(), root)
         return tables.read_star(self.spark, root)
 
+    @cached_property
+    def rolled_store(self) -> str:
+        """A store of its own in which the rollups were refreshed, the uploads appended and the rollups refreshed again."""
+        from . import jobs, rollups
+        from ..operators import ingest
+
+        root, at = scratch_path(self.spark, "rolled"), fixtures.UPLOAD_SUBMITTED_AT
+        tables.write_star(self.star, root, ingest.initial_log(self.fact_transactions, at))
+        rollups.refresh(self.spark, root)
+        jobs.apply_batches(self.spark, root, self.upload_clean, fixtures.UPLOAD_AS_OF, at)
+        rollups.refresh(self.spark, root)
+        return root
+
+    @cached_property
+    def rolled(self) -> star_ops.Star:
+        """That store's star with the rollup by month and ids in the fact's place."""
+        from . import rollups
+
+        star = tables.read_star(self.spark, self.rolled_store)
+        return replace(star, fact_transactions=rollups.cells(self.spark, self.rolled_store))
+
+    @cached_property
+    def rolled_clients(self) -> DataFrame:
+        """That store's rollup by client and month."""
+        from . import rollups
+
+        return rollups.client_months(self.spark, self.rolled_store)
+
     @property
     def fact_transactions(self) -> DataFrame:
         return self.star.fact_transactions

@@ -6,15 +6,19 @@ the fixture views and the star schema as CTEs, then the query.
 
 from __future__ import annotations
 
+import re
+
 from ..operators.star import SQL_STAR
 from ..sources.fixtures import SQL_FIXTURES
 
 PREFIX = "WITH " + SQL_FIXTURES.strip() + ",\n" + SQL_STAR.strip() + "\n"
 
 _SQL: dict[str, str] = {}
+_PARTS: dict[str, tuple[str, str]] = {}
 
 
 def sql(name: str, body: str, extra_ctes: str = "") -> None:
+    _PARTS[name] = (body, extra_ctes)
     prefix = PREFIX if not extra_ctes else PREFIX.rstrip() + ",\n" + extra_ctes.strip() + "\n"
     _SQL[name] = prefix + body.strip()
 
@@ -587,3 +591,26 @@ _SQL["stream_ingest"] = _SQL["merge_transactions"].replace(
     "coalesce(c.client_id, '') AS client_id, c.batch_id\n", "coalesce(c.client_id, '') AS client_id\n")
 # the mapping of headers is the same whatever their spelling
 _SQL["stream_ingest_headers"] = _SQL["stream_ingest"]
+
+# ---------------------------------------------------------------------------
+# incremental aggregates: the same queries over the star with the merged uploads' rows
+# ---------------------------------------------------------------------------
+_GROWN = {"fact_transactions": "grown_transactions", "dim_departments": "ext_departments", "dim_regions": "ext_regions",
+          "dim_products": "ext_products", "dim_expense_categories": "ext_categories"}
+GROWN_CTES = EXT_CTES + f""",
+appended AS ({_PARTS["merge_transactions"][0]}),
+grown_transactions AS (
+  SELECT * FROM fact_transactions UNION ALL BY NAME SELECT * EXCLUDE (batch_id) FROM appended
+)"""
+
+
+def _grown(text: str) -> str:
+    for old, new in _GROWN.items():
+        text = re.sub(rf"\b{old}\b", new, text)
+    return text
+
+
+for _key in ("kpis", "monthly_performance", "department_performance", "regional_profitability", "product_profitability",
+             "expenses_by_category", "report_monthly_margin", "cohort_sizes", "revenue_cohorts"):
+    _body, _ctes = _PARTS[_key]
+    sql(f"rollup_{_key}", _grown(_body), GROWN_CTES + (",\n" + _grown(_ctes) if _ctes else ""))

@@ -64,6 +64,8 @@ class Commit:
     folders: dict[str, str] = field(default_factory=dict)
     next_transaction_id: int = 1
     next_log_id: int = 1
+    #: Rollup folders, each with the fact's segments it stands for.
+    rollups: dict[str, list[str]] = field(default_factory=dict)
 
 
 def table_path(root: str, name: str) -> str:
@@ -144,7 +146,11 @@ def read_table(spark: SparkSession, root: str, name: str, at: Commit | None = No
 def committed(spark: SparkSession, root: str, name: str, at: Commit | None = None) -> DataFrame:
     """A segmented table with its ``segment``, as far as the commit names its segments."""
     at = at or head(spark, root) or Commit()
-    names = at.facts if name == SEGMENTED else at.audits
+    return segments(spark, root, name, at.facts if name == SEGMENTED else at.audits)
+
+
+def segments(spark: SparkSession, root: str, name: str, names: Sequence[str]) -> DataFrame:
+    """The rows of the segments ``names``, with their ``segment``."""
     base = table_path(root, name)
     reader = spark.read.option("basePath", base)
     if name == SEGMENTED:
@@ -212,7 +218,7 @@ def write_star(star: Star, root: str, log_rows: DataFrame | None = None, run: st
     stored = spark.read.schema(FACT_SCHEMA).parquet(f"{table_path(root, SEGMENTED)}/segment={run}")
     last = stored.agg(F.max("transaction_id")).first()[0] or 0
     return commit(spark, root, base, facts=[run], audits=[run] if log_rows is not None else [], folders=folders,
-                  next_transaction_id=last + 1, next_log_id=2 if log_rows is not None else 1)
+                  next_transaction_id=last + 1, next_log_id=2 if log_rows is not None else 1, rollups={})
 
 
 def read_star(spark: SparkSession, root: str) -> Star:
