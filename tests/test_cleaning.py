@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,41 @@ def test_parse_date(spark, text, expected):
     assert _one(spark, parse_date, text) == expected
 
 
+def _by_pandas(text):
+    try:
+        day = pd.to_datetime(text)
+    except (ValueError, OverflowError):
+        return None
+    return None if pd.isna(day) else day.date()
+
+
+def test_free_dates_are_those_of_pandas(spark):
+    """Spellings beyond the listed formats: every month's names in every usual order, and texts that are no dates."""
+    forms = ["15 {} 2025", "{} 15 2025", "{} 15, 2025", "{} 15th, 2025", "15th of {} 2025", "15-{}-25", "15{}2025", "2025 {} 15",
+             "2025-{}-15", "{}-15-2025", "15. {} 2025", "Sunday, {} 15, 2025", "Sun 15 {} 2025", "{} 2025", "2025 {}",
+             "{}. 15, 2025", "15/{}/2025", "{} 15 2025 10:30", "{} 15, 2025 3:45 PM", "{} 15, 2025 at 3pm", "{} 3rd 2024",
+             "15 {} 2025 10:30:45.5", "15 {} 2025T10:30", "{} 31 2025", "{} 29, 2024", "{} 0, 2024", "{}, 2025", "{} 15 25",
+             "{} 2025 15", "15 2025 {}", "2025 15 {}", "the {} 2025", "{} 15 2025 25:10"]
+    names = ["Jan", "February", "MAR", "april", "May", "Jun", "July", "aug", "Sept", "september", "Oct", "nov", "DECEMBER", "Foo"]
+    texts = [f.format(n) for f in forms for n in names]
+    texts += ["15.06.2025", "06.15.2025", "01.05.2025", "2025.06.15", "2025 6 15", "6 15 2025", "2025-06", "06/2025", "06-2025",
+              "2025", "2025Q2", "2025-Q3", "4Q2024", "2025-13-06", "31.04.2025", "13.13.2025", "99999", "12.5", "5-", "12.2025",
+              "2025.06.15 13:30 PM", "15.06.2025 10:30", "2025-06-15 24:00", "00/2025", "2025-00-10", "on 15 June 2025",
+              "2025-06-15 10:30 +0200", "June 15 2025, 10:30 UTC", "2025-6-5 3 PM", "Thursday 19 June 2025", "abc 2025"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = {r["x"]: r["d"] for r in df.select("x", parse_date(F.col("x")).alias("d")).collect()}
+    want = {t: _by_pandas(t) for t in texts}
+    assert sum(d is not None for d in want.values()) > 300
+    assert {t: d for t, d in got.items() if d != want[t]} == {}
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("15 Jun 68", dt.date(2068, 6, 15)), ("Jun 15 69", dt.date(1969, 6, 15)), ("25.06.15", None), ("June 15", None), ("10:30", None),
+    ("-5", None), ("June 15, 2025" + " " * 80 + "x", None), ("2025Q5", None)])
+def test_free_dates_of_our_own(spark, text, expected):
+    assert _one(spark, parse_date, text) == expected
+
+
 @pytest.mark.parametrize("text,expected", [("(500.00)", 500.0), ("$1,234.50", 1234.5), ("TBD", None), ("-5", -5.0)])
 def test_bi_number(spark, text, expected):
     assert _one(spark, bi_number, text) == expected
