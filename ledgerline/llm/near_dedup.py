@@ -286,6 +286,21 @@ def _let(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return materialize(told.mapInArrow(_lets(least), "a binary, b binary"), "let")
 
 
+def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(classed: DataFrame, *more: Column) -> DataFrame:
+    """The keys of buckets whose members are of several classes."""
+    return classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).where("lo <> hi")
+
+
+def _collected(members: DataFrame) -> DataFrame:
+    return materialize(members.groupBy("key", "block").agg(
+        F.min("n_words").alias("lo"), F.max("n_words").alias("hi"),
+        F.collect_list(F.struct("node", "root", "n_words", "bag")).alias("x")), "blocks")  # at most BLOCK
+
+
 def _blocks(met: DataFrame, roots: DataFrame, bags: DataFrame) -> DataFrame | None:
     """The members of buckets of several classes by number of words, ``BLOCK`` of them in a row.
 
@@ -293,21 +308,28 @@ def _blocks(met: DataFrame, roots: DataFrame, bags: DataFrame) -> DataFrame | No
     sketches lie within those of one.  Of buckets with the same members, one is
     taken: texts that share a passage often meet in many.
     """
-    single = met.where(F.col("key").bitwiseAND(F.lit(1)) == 0)
-    classed = single.join(roots, "node", "left").select("key", "node", "n_words", F.coalesce("root", "node").alias("root"))
+    classed = _classed(met.where(F.col("key").bitwiseAND(F.lit(1)) == 0), roots).select("key", "node", "n_words", "root")
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"same{i}") for i in range(2)]  # 128 bits of the set of members
-    mixed = (classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), *same)
-             .where("lo <> hi and n > 2"))
+    mixed = _mixed(classed, F.count("*").alias("n"), *same).where("n > 2")
     mixed = materialize(mixed.groupBy("n", "same0", "same1").agg(F.min("key").alias("key")).select("key"), "mixed")
     if mixed.isEmpty():
         return None
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(with_row_positions(classed.join(mixed, "key", "left_semi"), ["key", "n_words", "node"], out="place",
-                                            buckets=parts), "placed")
-    rows = placed.join(bags.select("node", "bag"), "node").groupBy("key", F.floor(F.col("place") / BLOCK).alias("block")).agg(
-        F.min("n_words").alias("lo"), F.max("n_words").alias("hi"),
-        F.collect_list(F.struct("node", "root", "n_words", "bag")).alias("x"))  # at most BLOCK
-    return materialize(rows, "blocks")
+    members = materialize(classed.join(mixed, "key", "left_semi"), "in_mixed")  # the sort reads its input twice
+    placed = materialize(with_row_positions(members, ["key", "n_words", "node"], out="place", buckets=parts), "placed")
+    return _collected(placed.withColumn("block", F.floor(F.col("place") / BLOCK)).join(bags.select("node", "bag"), "node"))
+
+
+def _still_mixed(blocks: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """``blocks`` after classes were joined: buckets that are one class now go, the others' members get their new class.
+
+    Members stay where they are, and classes only grow, so no bucket comes anew."""
+    members = blocks.select("key", F.explode("x.node").alias("node"))
+    mixed = materialize(_mixed(_classed(members, roots)).select("key"), "mixed")
+    if mixed.isEmpty():
+        return None
+    left = blocks.join(mixed, "key", "left_semi").select("key", "block", F.explode("x").alias("m"))
+    return _collected(_classed(left.select("key", "block", "m.node", "m.n_words", "m.bag"), roots))
 
 
 def _members(column: pa.ListArray, i: int):
@@ -416,10 +438,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bags = materialize(text.mapInArrow(_bagged, "node binary, bag binary, total long"), "bags")
         links = _align(_let(pairs, bags, least), text, least)
         roots = materialize(components(links), "components")
-        tried, blocks = pairs.select("a", "b"), None
+        tried, blocks = pairs.select("a", "b"), _blocks(met, roots, bags)
         for closest in (True, False):  # the second time whatever is left
-            blocks = blocks or _blocks(met, roots, bags)
-            if not blocks:
+            if blocks is None:
                 break
             found = _between(blocks, least, closest)
             if found.isEmpty():
@@ -427,7 +448,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             more = _align(found.join(tried, ["a", "b"], "left_anti"), text, least)
             if not more.isEmpty():
                 links, roots = _tied(links, roots, more)
-                blocks = None
+                blocks = _still_mixed(blocks, roots) if closest else None
             tried = tried.unionByName(found)
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
