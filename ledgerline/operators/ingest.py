@@ -27,7 +27,7 @@ META = ["batch_id", "filename", "row_num"]
 
 def number_rows(raw: DataFrame, order_cols: Sequence[str]) -> DataFrame:
     """1-based row number inside each batch by ``order_cols`` (file order)."""
-    return with_row_positions(raw, list(order_cols), ["batch_id"], out="row_num").drop(*order_cols)
+    return with_row_positions(raw, list(order_cols), ["batch_id"], out="row_num", keep_order=False)
 
 
 def mapped(numbered_raw: DataFrame) -> DataFrame:

@@ -22,38 +22,48 @@ from pyspark.sql import functions as F
 from ..session import materialize, scratch_path
 
 
-RANGE_BYTES = 64 * 1024 * 1024
+#: Bytes of (compressed) files in a key range: in memory, where a task sorts them, rows take several times as much.
+RANGE_BYTES = 8 * 1024 * 1024
+#: Fewer ranges than the session has cores only where each would hold less than this.
+LEAST_BYTES = 512 * 1024
 
 
 _DERIVED = re.compile(r"\b(Join|Aggregate|Generate|Window|Expand|Union)\b")
 
 
-def _partition_count(df: DataFrame, requested: int | None) -> int:
-    """Key ranges sized by the data: one per ~64 MiB of the files that ``df`` scans."""
-    if requested:
-        return requested
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size // RANGE_BYTES + 1
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written first unless it is a plain scan: an estimate of more than a scan may be far off."""
+    return materialize(df, "unsorted") if _DERIVED.search(df._jdf.queryExecution().optimizedPlan().toString()) else df
+
+
+def range_count(scan: DataFrame) -> int:
+    """Key ranges sized by the data: one per ~8 MiB of the files that ``scan`` reads, and one for each core if they are worth it."""
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return max(size // RANGE_BYTES + 1, min(cores, size // LEAST_BYTES + 1))
 
 
 def with_row_positions(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-                       out: str = "row_num", buckets: int | None = None) -> DataFrame:
+                       out: str = "row_num", buckets: int | None = None, keep_order: bool = True) -> DataFrame:
     """Add ``out`` = position of the row inside its group, ordered by ``order_cols``.
 
     The order must be total, or ties must be rows that are otherwise
-    identical.  ``buckets``: number of key ranges (default: one per ~64 MiB of
-    the input, which is written first unless it is a plain scan).
+    identical.  ``buckets``: number of key ranges (default: ``range_count`` of
+    the input, which is written first unless it is a plain scan).  Without
+    ``keep_order`` the columns ``order_cols`` end with the sort.
     """
     spark = df.sparkSession
-    if not buckets and _DERIVED.search(df._jdf.queryExecution().optimizedPlan().toString()):
-        df = materialize(df, "unsorted")  # an estimate of more than a scan may be far off
+    if not buckets:
+        df = stored(df)
+        buckets = range_count(df)
     keys = [*group_cols, *order_cols]
     path = scratch_path(spark, "sorted")
-    (df.repartitionByRange(_partition_count(df, buckets), *keys).sortWithinPartitions(*keys)
-     .write.mode("overwrite").parquet(path))
+    in_order = df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+    if not keep_order:
+        in_order = in_order.drop(*order_cols)
+    in_order.write.mode("overwrite").parquet(path)
     name = F.col("_metadata.file_name")
-    stored = spark.read.schema(df.schema).parquet(path)
-    tagged = stored.select(
+    tagged = spark.read.schema(in_order.schema).parquet(path).select(
         "*",
         F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("_lp_part"),
         F.regexp_extract(name, r"-c(\d+)\.", 1).cast("long").alias("_lp_chunk"),

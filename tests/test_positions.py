@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.positions import smallest_k, with_row_positions
+from ledgerline.operators.positions import range_count, smallest_k, with_row_positions
 
 
 def test_row_positions_match_row_number_under_skew(spark):
@@ -32,3 +32,18 @@ def test_smallest_k_exact(spark):
         local.setdefault(r["g"], []).append(r["v"])
     want = {(g, v) for g, vs in local.items() for v in sorted(vs)[:10]}
     assert got == want
+
+
+def test_ranges_use_the_cores_and_stay_small(spark, tmp_path):
+    """Some MB of compressed rows are sorted by all cores, into a file each, and not by one task."""
+    path = str(tmp_path / "rows")
+    spark.range(0, 400_000, 1, 2).select("id", F.rand(7).alias("x"), (F.col("id") % 3).alias("g")).write.parquet(path)
+    scan = spark.read.parquet(path)
+    n = range_count(scan)
+    assert n >= min(spark.sparkContext.defaultParallelism, 4)
+    got = with_row_positions(scan, ["x"], ["g"], out="pos", keep_order=False)
+    assert got.columns == ["id", "g", "pos"]
+    files = [f for f in got.inputFiles() if "ledgerline-sorted" in f]
+    assert len(files) == n
+    want = scan.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("x")))
+    assert got.join(want, "id").where("pos <> rn").count() == 0 and got.count() == 400_000
