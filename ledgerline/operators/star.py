@@ -17,7 +17,7 @@ from ..functions.constants import INVOICE_STATUSES
 from ..functions.numeric import MONEY
 from ..session import materialize
 from ..sources.fixtures import TRANSACTION_ORDER
-from .positions import with_row_positions
+from .positions import range_count, stored, with_row_positions
 
 # (dimension table, id column, name column, raw column)
 DIMENSIONS = (
@@ -72,16 +72,19 @@ def _order(df: DataFrame, default: list[str]) -> list[str]:
 
 def fact_transactions(raw_tx: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Ids are row positions in file order (or, for the fixture view, in
-    line-item order)."""
-    numbered = with_row_positions(raw_tx, _order(raw_tx, list(TRANSACTION_ORDER)), out="transaction_id")
-    facts = lookup_ids(numbered, dims)
-    return facts.select(
-        "transaction_id", "date",
+    line-item order).  Names give way to their ids before the sort, so neither
+    its shuffle nor its table carries them."""
+    raw_tx = stored(raw_tx)
+    order = _order(raw_tx, list(TRANSACTION_ORDER))
+    rows = lookup_ids(raw_tx, dims).select(
+        *order, "date",
         F.coalesce(F.col("revenue"), F.lit(0)).cast(MONEY).alias("revenue"),
         F.coalesce(F.col("expenses"), F.lit(0)).cast(MONEY).alias("expenses"),
         "dept_id", "region_id", "product_id", "category_id",
         F.coalesce(F.col("client_id"), F.lit("")).alias("client_id"),
     )
+    numbered = with_row_positions(rows, order, out="transaction_id", buckets=range_count(raw_tx), keep_order=False)
+    return numbered.select("transaction_id", *[c for c in numbered.columns if c != "transaction_id"])
 
 
 def fact_budgets(raw_budgets: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import headers
 from ..operators import bi, cohorts, funnel, ingest, metrics, quality, reports
+from ..operators.positions import range_count
 from ..sources import fixtures
 from .context import Finance
 
@@ -463,14 +464,14 @@ def _streamed(f: Finance, folders: list[tuple[F.Column, list[str]]]) -> DataFram
     base = scratch_path(spark, "stream")
     root, inbox, ready, ckpt = f"{base}/store", f"{base}/inbox", f"{base}/ready", f"{base}/checkpoint"
     loaded = tables.write_star(f.star, root, ingest.initial_log(f.fact_transactions, fixtures.UPLOAD_SUBMITTED_AT))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), range_count(f.upload_raw))
     order = ["filename", "event_id", "copy"]
     for which, headers in folders:
-        (f.raw_upload.where(which).repartitionByRange(n, *order).sortWithinPartitions(*order)
+        (f.upload_raw.where(which).repartitionByRange(n, *order).sortWithinPartitions(*order)
          .select("filename", *[F.col(h.split("=")[0]).alias(h.split("=")[-1]) for h in headers])
          .write.partitionBy("filename").mode("append").option("header", True)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(inbox))
-    (f.raw_upload.select(F.concat(F.lit(f"{inbox}/filename="), "filename").alias("value")).distinct()
+    (f.upload_raw.select(F.concat(F.lit(f"{inbox}/filename="), "filename").alias("value")).distinct()
      .coalesce(1).write.text(ready))  # a line for each upload
     q = start_file_ingest(spark, ready, root, ckpt, as_of=fixtures.UPLOAD_AS_OF, submitted_at=fixtures.UPLOAD_SUBMITTED_AT,
                           max_files_per_trigger=1, announced=True)

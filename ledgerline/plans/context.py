@@ -132,6 +132,13 @@ class Finance:
         return star_ops.dim_calendar(self.fact_transactions)
 
     # dirty upload stream -------------------------------------------------------
+    @cached_property
+    def upload_raw(self) -> DataFrame:
+        """The upload rows written once: the joins run once, for the numbering and for the stream's files."""
+        from ..session import materialize
+
+        return materialize(self.raw_upload, "raw_upload")
+
     @cached_property
     def upload_numbered(self) -> DataFrame:
         """The upload rows with their row number inside each batch, written
@@ -139,8 +146,7 @@ class Finance:
         from ..operators import ingest
         from ..session import materialize
 
-        raw = materialize(self.raw_upload, "raw_upload")  # the joins run once
-        return materialize(ingest.number_rows(raw, ["event_id", "copy"]), "upload_numbered")
+        return materialize(ingest.number_rows(self.upload_raw, ["event_id", "copy"]), "upload_numbered")
 
     @cached_property
     def upload_mapped(self) -> DataFrame:

@@ -48,7 +48,8 @@ def _customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transactions file: one row per line item."""
+    """The transactions file: one row per line item.  Orders meet their customers
+    before the line items, of which there are several times as many."""
     li = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -56,8 +57,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = _customer_geo(spark, sf_dir)
     returned = F.col("l_returnflag") == "R"
     return (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(geo, o.o_custkey == geo.c_custkey)
+        li.join(o.join(geo, o.o_custkey == geo.c_custkey), li.l_orderkey == o.o_orderkey)
         .join(p, li.l_partkey == p.p_partkey)
         .select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",

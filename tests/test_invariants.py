@@ -48,3 +48,26 @@ def test_upload_verdicts_cover_all_outcomes(q):
     assert sorted(by_status["Needs Review"]) == [10, 20]          # garbage amounts on those days
     assert sorted(by_status["Rejected"]) == [26, 27, 28, 29, 30]  # every row dated after as_of
     assert len(by_status["Accepted"]) == 23
+
+
+def test_names_are_not_carried_through_the_sort(spark, sf_dir):
+    """The numbered facts are sorted with their ids: neither names nor the order's columns are written again."""
+    from ledgerline.operators import star
+    from ledgerline.session import materialize
+    from ledgerline.sources import fixtures
+
+    raw = materialize(fixtures.raw_transactions(spark, sf_dir), "raw")
+    dims = star.dimensions(raw, fixtures.raw_budgets(spark, sf_dir))
+    facts = star.fact_transactions(raw, dims)
+    files = [f for f in facts.inputFiles() if "ledgerline-sorted" in f]
+    written = set(spark.read.parquet(*files).columns)
+    assert written == set(facts.columns) - {"transaction_id"}
+
+
+def test_upload_rows_are_joined_once(spark, sf_dir):
+    """The numbering and the stream's files read the written upload rows."""
+    from ledgerline.plans.context import Finance
+
+    f = Finance.of(spark, sf_dir)
+    assert "Join" not in f.upload_raw._jdf.queryExecution().optimizedPlan().toString()
+    assert f.upload_raw is f.upload_raw and f.upload_raw.columns == f.raw_upload.columns
