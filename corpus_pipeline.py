@@ -12,6 +12,9 @@ from ledgerline.llm import exact_dedup, language_id, near_dedup, packing, pii
 from ledgerline.llm.catalog import table, vocabulary
 from ledgerline.llm.common import materialize
 
+#: Chunks whose ids a worker keeps while it packs: less than alone, as the workers and the JVM hold what earlier stages took.
+KEPT_CHUNKS = 100_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no letter; the classifier learns from the stage's own input."""
@@ -35,7 +38,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their ids, each with its sequence and place in it."""
-    return packing.assign(packing.pieces(docs, vocabulary("word_bpe_49k.json")))
+    return packing.assign(packing.pieces(docs, vocabulary("word_bpe_49k.json"), kept=KEPT_CHUNKS))
 
 
 STAGES = [("language_id", identify_language), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies),

@@ -39,13 +39,13 @@ PIECE = ("part int, units int, place long, doc_id long, start long, length long,
          "ids_crc32 long, ids binary")
 
 
-def _cut(path: str, length: int, grain: int, end: int, keep_ids: bool):
+def _cut(path: str, length: int, grain: int, end: int, keep_ids: bool, kept: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         places = np.zeros(length // grain + 1, "i8")  # pieces of each length so far
         for batch, values in texts(batches):
             rows = []
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(values)):
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoder(path, kept).encode(values)):
                 data += last
                 n = len(data) // 4
                 for a in range(0, n, length):
@@ -62,17 +62,18 @@ def _cut(path: str, length: int, grain: int, end: int, keep_ids: bool):
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-           grain: int = GRAIN, end: int = END, keep_ids: bool = True) -> DataFrame:
+           grain: int = GRAIN, end: int = END, keep_ids: bool = True, kept: int | None = None) -> DataFrame:
     """The documents cut at multiples of ``length``, as a written table: what ``assign`` takes.
 
     ``place`` numbers the pieces of one length in one partition.  A null or
     empty text is its end id alone; rows that repeat are cut each; an empty
     table has no pieces.  ``ids`` holds little-endian unsigned 32-bit ids, or null without
-    ``keep_ids``.  ``grain`` must divide ``length``.
+    ``keep_ids``.  ``grain`` must divide ``length``.  ``kept``: chunks whose ids a worker
+    keeps (see ``tokens``); fewer take less memory and more time, for the same ids.
     """
     if length % grain:
         raise ValueError(f"{grain} does not divide {length}")
-    return materialize(narrow(docs, id_col, text_col).mapInArrow(_cut(path, length, grain, end, keep_ids), PIECE),
+    return materialize(narrow(docs, id_col, text_col).mapInArrow(_cut(path, length, grain, end, keep_ids, kept), PIECE),
                        "pieces")
 
 

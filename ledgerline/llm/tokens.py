@@ -54,7 +54,8 @@ def byte_characters() -> list[str]:
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the library's own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
+        self.kept = kept or MAX_CHUNKS
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
@@ -91,7 +92,7 @@ class ChunkEncoder:
         """Ids of each text; the chunks that are new in all of them go to the library together."""
         split = [None if any(s in t for s in self.specials) else
                  self.chunk.findall(t.lower() if self.lower and not BEYOND.search(t) else t) for t in texts]
-        if len(self.known) > MAX_CHUNKS:
+        if len(self.known) > self.kept:
             self.older, self.known = self.known, {}
         known = self.known
         new = set().union(*(c for c in split if c)).difference(known)
@@ -109,6 +110,6 @@ class ChunkEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, kept: int | None = None) -> ChunkEncoder:
     """One encoder for each Python worker and file; the file lies on every node, like the library."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, kept)

@@ -83,3 +83,17 @@ def test_knapsack():
     worth = np.array([0.0, 0.3, 0.5, 0.0, 0.95])
     assert packing.knapsack(worth, 5)[0] == pytest.approx(0.95)
     assert packing.knapsack(worth, 8)[0] == pytest.approx(0.95 + 0.5)
+
+
+def test_few_kept_chunks_give_the_same_pieces(spark, edge_docs):
+    """The pipeline keeps fewer chunks than the operator alone, for memory; the ids are the same."""
+    own = ["doc_id", "start", "ids_crc32", "ids"]
+    few, all_ = (sorted(packing.pieces(edge_docs, WORDS, kept=k).select(*own).collect(), key=str) for k in (5, None))
+    assert few == all_
+    from ledgerline.llm.tokens import MAX_CHUNKS, ChunkEncoder
+    import corpus_pipeline
+
+    encoder = ChunkEncoder(WORDS, 5)
+    for i in range(20):
+        encoder.encode([f"first{i} second{i}"])
+    assert len(encoder.known) <= 8 and len(encoder.older) <= 8 and corpus_pipeline.KEPT_CHUNKS < MAX_CHUNKS
