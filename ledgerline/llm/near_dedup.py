@@ -12,8 +12,9 @@ classes are the connected components of the links.  The first member may be like
 neither of two that are like each other, so where a bucket's members are in
 several classes then, all members of different classes are compared, in blocks
 that are spread like any rows: by the bags of their words first, which never tell
-alike texts apart, then by alignment, of two blocks' two classes the closest pair
-before all others.  So no two texts that share a sketch and are similar stay in two classes.
+alike texts apart, then by alignment, of two blocks each member's closest pair
+before all others, in rounds as long as these are many and join classes: a large group
+of alike texts is few classes before all pairs of different classes are.  So no two texts that share a sketch and are similar stay in two classes.
 
 Texts of equal words are one node from the start.  Sketches, links and
 components stay in tables; no bucket is gathered in one place.
@@ -45,6 +46,8 @@ SIMILARITY = 0.8
 #: Members of a bucket in a block, and bins of a bag of words.
 BLOCK = 128
 BINS = 512
+#: From this many pairs on, another round of closest pairs comes before all that are left.
+MANY = 2000
 #: Words whose hashes a task keeps.
 MAX_WORDS = 500_000
 
@@ -298,7 +301,7 @@ def _mixed(classed: DataFrame, *more: Column) -> DataFrame:
 def _collected(members: DataFrame) -> DataFrame:
     return materialize(members.groupBy("key", "block").agg(
         F.min("n_words").alias("lo"), F.max("n_words").alias("hi"),
-        F.collect_list(F.struct("node", "root", "n_words", "bag")).alias("x")), "blocks")  # at most BLOCK
+        F.collect_list(F.struct("node", "root", "n_words", "bag", "keys")).alias("x")), "blocks")  # at most BLOCK
 
 
 def _blocks(met: DataFrame, roots: DataFrame, bags: DataFrame) -> DataFrame | None:
@@ -317,7 +320,9 @@ def _blocks(met: DataFrame, roots: DataFrame, bags: DataFrame) -> DataFrame | No
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = materialize(classed.join(mixed, "key", "left_semi"), "in_mixed")  # the sort reads its input twice
     placed = materialize(with_row_positions(members, ["key", "n_words", "node"], out="place", buckets=parts), "placed")
-    return _collected(placed.withColumn("block", F.floor(F.col("place") / BLOCK)).join(bags.select("node", "bag"), "node"))
+    own = members.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most one for each sketch
+    told = bags.select("node", "bag").join(own, "node")
+    return _collected(placed.withColumn("block", F.floor(F.col("place") / BLOCK)).join(told, "node"))
 
 
 def _still_mixed(blocks: DataFrame, roots: DataFrame) -> DataFrame | None:
@@ -329,21 +334,21 @@ def _still_mixed(blocks: DataFrame, roots: DataFrame) -> DataFrame | None:
     if mixed.isEmpty():
         return None
     left = blocks.join(mixed, "key", "left_semi").select("key", "block", F.explode("x").alias("m"))
-    return _collected(_classed(left.select("key", "block", "m.node", "m.n_words", "m.bag"), roots))
+    return _collected(_classed(left.select("key", "block", "m.node", "m.n_words", "m.bag", "m.keys"), roots))
 
 
 def _members(column: pa.ListArray, i: int):
-    node, root, n, bags = column.slice(i, 1).flatten().flatten()
+    node, root, n, bags, keys = column.slice(i, 1).flatten().flatten()
     bags = np.frombuffer(b"".join(bags.to_pylist()), "u1").reshape(-1, BINS)
-    return node.to_pylist(), root.to_pylist(), n.to_numpy(), bags, bags.sum(axis=1, dtype="i8")
+    return node.to_pylist(), root.to_pylist(), n.to_numpy(), bags, bags.sum(axis=1, dtype="i8"), [*map(set, keys.to_pylist())]
 
 
 def _compared(least: float, closest: bool):
-    def pairs(x, y) -> Iterator[tuple[bytes, bytes]]:
+    def pairs(key, x, y) -> Iterator[tuple[bytes, bytes]]:
         number: dict = {}
         x_class, y_class = (np.array([number.setdefault(r, len(number)) for r in m[1]]) for m in (x, y))
         best: dict = {}
-        for p, (n, own, total) in enumerate(zip(*x[2:])):
+        for p, (n, own, total) in enumerate(zip(*x[2:5])):
             longer = np.maximum(n, y[2])
             maybe = (y_class != x_class[p]) & (np.minimum(n, y[2]) >= (least - 1e-9) * longer)
             if x is y:
@@ -357,20 +362,22 @@ def _compared(least: float, closest: bool):
             lacks = np.maximum(lacks, lacks + y[4][at] - total)
             near = lacks <= ((1 - least) * longer[at] + 1e-9).astype("i8")
             for q, d in zip(at[near], lacks[near]):
-                found = d, max(x[0][p], y[0][q]), min(x[0][p], y[0][q])
+                if min(x[5][p] & y[5][q]) != key:
+                    continue  # they meet in several buckets: the pair is made in the least of them alone
+                a, b = x[0][p], y[0][q]
+                found = d, max(a, b), min(a, b)
                 if closest:
-                    classes = frozenset((x_class[p], y_class[q]))
-                    best[classes] = min(best.get(classes, found), found)
+                    best[a], best[b] = min(best.get(a, found), found), min(best.get(b, found), found)
                 else:
                     yield found[1:]
-        yield from (found[1:] for found in best.values())
+        yield from {found[1:] for found in best.values()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
             for i in range(batch.num_rows):
                 one = _members(x, i)
-                found = list(pairs(one, _members(y, i) if y[i].is_valid else one))
+                found = list(pairs(batch.column("key")[i].as_py(), one, _members(y, i) if y[i].is_valid else one))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["a", "b"])
 
@@ -378,9 +385,9 @@ def _compared(least: float, closest: bool):
 
 
 def _between(blocks: DataFrame, least: float, closest: bool) -> DataFrame:
-    """The pairs of members of different classes that their lengths and bags of words let be similar.
+    """The pairs of members of different classes that their lengths and bags of words let be similar, each once.
 
-    With ``closest``, of two blocks and two classes only the pair whose bags differ least.
+    With ``closest``, of two blocks only each member's pair whose bags differ least: at most as many as members.
     """
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = blocks.select("key", "block", "lo", "hi")
@@ -391,8 +398,8 @@ def _between(blocks: DataFrame, least: float, closest: bool) -> DataFrame:
         .select("key", "i", "j"), "block_pairs")
     x = blocks.select("key", F.col("block").alias("i"), "x")
     y = blocks.select("key", F.col("block").alias("j"), F.col("x").alias("y"))
-    apart = two.repartition(parts, "key", "i", "j").join(x, ["key", "i"]).join(y, ["key", "j"]).select("x", "y")
-    within = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+    apart = two.repartition(parts, "key", "i", "j").join(x, ["key", "i"]).join(y, ["key", "j"]).select("key", "x", "y")
+    within = blocks.select("key", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
     found = [d.mapInArrow(_compared(least, closest), "a binary, b binary") for d in (within, apart)]
     return materialize(found[0].unionByName(found[1]).distinct(), "between")
 
@@ -439,16 +446,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = _align(_let(pairs, bags, least), text, least)
         roots = materialize(components(links), "components")
         tried, blocks = pairs.select("a", "b"), _blocks(met, roots, bags)
-        for closest in (True, False):  # the second time whatever is left
-            if blocks is None:
-                break
+        closest = True
+        while blocks is not None:
             found = _between(blocks, least, closest)
-            if found.isEmpty():
+            many = found.count()
+            if not many:
                 break
             more = _align(found.join(tried, ["a", "b"], "left_anti"), text, least)
-            if not more.isEmpty():
+            joined = not more.isEmpty()
+            if joined:
                 links, roots = _tied(links, roots, more)
                 blocks = _still_mixed(blocks, roots) if closest else None
+            if not closest:
+                break
+            closest = joined and many >= MANY  # the last time whatever is left
             tried = tried.unionByName(found)
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))

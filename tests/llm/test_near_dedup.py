@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerline.llm import near_dedup
 
 
@@ -177,3 +179,31 @@ def test_query_finds_similar_pairs(spark, sf_dir):
     for i, c in got.items():
         if c != i:
             assert any(near_dedup.similar(texts[i], texts[j]) for j in got if j != i and got[j] == c)
+
+
+def test_closest_pairs_grow_with_the_members(spark):
+    """Of a bucket of texts that are each a class, all alike, the first round makes at most a pair for each member."""
+    n = near_dedup.BLOCK
+    members = [(bytes([i]), bytes([i]), 100, bytes([100] + [0] * (near_dedup.BINS - 1)), [2, 4]) for i in range(n)]
+    rows = [(key, 0, members, 100, 100) for key in (2, 4)]  # they meet in two buckets
+    blocks = spark.createDataFrame(
+        rows, "key long, block long, x array<struct<node: binary, root: binary, n_words: int, bag: binary, keys: array<bigint>>>, lo int, hi int")
+    assert near_dedup._between(blocks, 0.8, False).count() == n * (n - 1) // 2
+    assert n // 2 <= near_dedup._between(blocks, 0.8, True).count() <= n
+    made = blocks.select("key", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y")).mapInArrow(
+        near_dedup._compared(0.8, False), "a binary, b binary")
+    assert made.count() == n * (n - 1) // 2  # each once, not in each bucket
+
+
+def test_large_group_of_near_copies_is_one_class(spark, monkeypatch):
+    """Copies with some words edited each, many unlike the bucket's first: rounds of closest pairs end in one class."""
+    monkeypatch.setattr(near_dedup, "MANY", 20)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(f"e{i}n{n}" if rng.random() < 0.09 else w for n, w in enumerate(base))) for i in range(300)]
+    rows += [(1000 + i, f"other{i} text{i} alone{i}") for i in range(20)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: t.split() for i, t in rows}
+    near = [(i, j) for i in range(300) for j in range(i) if near_dedup.similar(sets[i], sets[j])]
+    assert all(got[1000 + i] == 1000 + i for i in range(20))
+    assert sum(got[i] != got[j] for i, j in near) <= len(near) // 100
