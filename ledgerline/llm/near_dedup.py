@@ -13,7 +13,7 @@ neither of two that are like each other, so where a bucket's members are in
 several classes then, all members of different classes are compared, in blocks
 that are spread like any rows: by the bags of their words first, which never tell
 alike texts apart, then by alignment, of two blocks each member's closest pair
-before all others, in rounds as long as these are many and join classes: a large group
+before all others, in rounds as long as these are many and a good part of them links: a large group
 of alike texts is few classes before all pairs of different classes are.  So no two texts that share a sketch and are similar stay in two classes.
 
 Texts of equal words are one node from the start.  Sketches, links and
@@ -46,8 +46,9 @@ SIMILARITY = 0.8
 #: Members of a bucket in a block, and bins of a bag of words.
 BLOCK = 128
 BINS = 512
-#: From this many pairs on, another round of closest pairs comes before all that are left.
+#: From this many pairs on, of which one in so many is a link, another round of closest pairs comes before all that are left.
 MANY = 2000
+LINKED = 8
 #: Words whose hashes a task keeps.
 MAX_WORDS = 500_000
 
@@ -208,21 +209,26 @@ def _aligned(least: float):
     return run
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node of ``edges`` (u, v; v less than u) is either a root or has one edge to one: no star changes them then."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return (ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            .where(F.col("up") + F.col("down") > 1).agg(F.count("*")).first()[0] == 0)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b): the least node of its connected component.
 
     Alternates large and small stars (each node's neighbours move to the least
-    of them) over written tables until nothing changes.
+    of them) over written tables until every node has one edge, to its root.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .where("u <> v").distinct(), "links")
-    before = None
     while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        if _are_stars(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -246,8 +252,6 @@ def _align(pairs: DataFrame, text: DataFrame, least: float) -> DataFrame:
 
 def _tied(links: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and components with ``more`` links."""
-    if more.isEmpty():
-        return links, roots
     tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return links.unionByName(more), materialize(components(tied), "components")
 
@@ -401,7 +405,7 @@ def _between(blocks: DataFrame, least: float, closest: bool) -> DataFrame:
     apart = two.repartition(parts, "key", "i", "j").join(x, ["key", "i"]).join(y, ["key", "j"]).select("key", "x", "y")
     within = blocks.select("key", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
     found = [d.mapInArrow(_compared(least, closest), "a binary, b binary") for d in (within, apart)]
-    return materialize(found[0].unionByName(found[1]).distinct(), "between")
+    return materialize(found[0].unionByName(found[1]), "between")  # a pair is in one block, or two, of its least key alone
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -453,13 +457,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not many:
                 break
             more = _align(found.join(tried, ["a", "b"], "left_anti"), text, least)
-            joined = not more.isEmpty()
+            joined = more.count()
             if joined:
                 links, roots = _tied(links, roots, more)
                 blocks = _still_mixed(blocks, roots) if closest else None
             if not closest:
                 break
-            closest = joined and many >= MANY  # the last time whatever is left
+            closest = joined * LINKED >= many >= MANY  # the last time whatever is left: mostly pairs that are no links
             tried = tried.unionByName(found)
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))

@@ -207,3 +207,36 @@ def test_large_group_of_near_copies_is_one_class(spark, monkeypatch):
     near = [(i, j) for i in range(300) for j in range(i) if near_dedup.similar(sets[i], sets[j])]
     assert all(got[1000 + i] == 1000 + i for i in range(20))
     assert sum(got[i] != got[j] for i, j in near) <= len(near) // 100
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Links that are stars are components as they stand, without a round of stars to see that nothing changes."""
+    written = []
+    real = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name="table": written.append(name) or real(df, name))
+    links = [(b"b", b"a"), (b"a", b"c"), (b"y", b"x"), (b"c", b"a")]
+    got = near_dedup.components(spark.createDataFrame(links, "a binary, b binary")).collect()
+    assert sorted((bytes(r.node), bytes(r.root)) for r in got) == [
+        (b"a", b"a"), (b"b", b"a"), (b"c", b"a"), (b"x", b"x"), (b"y", b"x")]
+    assert written == ["links"]
+    chain = spark.createDataFrame([(b"a", b"b"), (b"b", b"c"), (b"d", b"c")], "a binary, b binary")
+    assert {bytes(r.root) for r in near_dedup.components(chain).collect()} == {b"a"}
+
+
+def test_closest_rounds_end_when_few_pairs_are_links(spark, monkeypatch):
+    """A large group of texts that share a passage and are not similar: one round of closest pairs, then all pairs."""
+    monkeypatch.setattr(near_dedup, "MANY", 20)
+    rounds, real = [], near_dedup._between
+    monkeypatch.setattr(near_dedup, "_between", lambda blocks, least, closest: rounds.append(closest) or real(blocks, least, closest))
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(78)]
+    words = [f"own{i}" for i in range(22)]
+    # the same own words in another order: bags never tell them apart, the alignment does
+    rows = [(i, " ".join(passage + rng.sample(words, 22))) for i in range(60)]
+    # copies that are like the first of the group by less than they are like each other: one link in the closest round
+    rows += [(100 + i, " ".join(passage + [f"pair{i // 2}w{n}" if n % 4 or i % 2 else f"e{i}n{n}" for n in range(22)])) for i in range(4)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {i: t.split() for i, t in rows}
+    like = [(i, j) for i in texts for j in texts if i < j and near_dedup.similar(texts[i], texts[j])]
+    assert all(got[i] == got[j] for i, j in like)
+    assert rounds == [True, False]
